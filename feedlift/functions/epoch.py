@@ -10,10 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Seconds whose microseconds still fit the 64 bits of a timestamp.
-MAX_SECONDS = (2**63 - 1) // 1_000_000
-
-
 def _epoch_start() -> Column:
     return F.expr("timestamp_ntz'1970-01-01 00:00:00'")
 
@@ -24,9 +20,8 @@ def epoch_to_timestamp(seconds: Column) -> Column:
     NULL, NaN, infinities and seconds beyond a timestamp's range give NULL, so
     one odd message cannot fail its batch on every retry.
     """
-    whole = seconds.try_cast("bigint")
-    moment = _epoch_start() + F.expr("interval '1' second") * whole
-    return F.when(whole.between(-MAX_SECONDS, MAX_SECONDS), moment)
+    since = F.try_multiply(F.expr("interval '1' second"), seconds.try_cast("bigint"))
+    return _epoch_start() + since
 
 
 def epoch_to_string(seconds: Column) -> Column:

@@ -23,15 +23,6 @@ def rebalance(*columns: str) -> Spread:
     return lambda df: df.hint("rebalance", *columns)
 
 
-def by_key(key: str, partitions: int) -> Spread:
-    """All rows of a key in one of ``partitions`` partitions.
-
-    The partition of a hot key, or of NULL keys, grows with that key.  Use it
-    where keys are known to be even, and :func:`by_salted_key` elsewhere.
-    """
-    return lambda df: df.repartition(partitions, F.col(key))
-
-
 def salt(columns: Sequence[str], salts: int) -> Column:
     """A bucket in ``[0, salts)`` from the sum of whole-number columns.
 
@@ -44,15 +35,23 @@ def salt(columns: Sequence[str], salts: int) -> Column:
     return F.pmod(total, F.lit(salts)).cast("int")
 
 
-def by_salted_key(
+def by_key(
     key: str,
-    partitions: int,
-    salts: int,
+    partitions: int | None = None,
+    salts: int = 8,
     salt_columns: Sequence[str] = ("kafka_partition", "kafka_offset"),
 ) -> Spread:
-    """Rows of a key in at most ``salts`` partitions, about evenly.
+    """Rows of a key together, in at most ``salts`` partitions.
 
-    Offsets are dense, so a key with a third of all rows puts about a third of
-    them divided by ``salts`` into each of its buckets.
+    Offsets are dense, so a key that holds a third of all rows, NULL included,
+    is split about evenly over its salts and no task gets it whole.  With
+    ``salts=1`` each key is in one partition, however large that makes it.
+    Without ``partitions`` the session's setting applies and adaptive execution
+    merges small ones; a fixed number is kept as it is, whatever the data.
     """
-    return lambda df: df.repartition(partitions, F.col(key), salt(salt_columns, salts))
+
+    def spread(df: DataFrame) -> DataFrame:
+        columns = [F.col(key)] if salts == 1 else [F.col(key), salt(salt_columns, salts)]
+        return df.repartition(*columns if partitions is None else (partitions, *columns))
+
+    return spread

@@ -1,7 +1,7 @@
 """Feeds of raw posts, derived row by row from the given tables.
 
-Besides a raw post's ten columns each has ``partition``, ``offset`` and
-``timestamp``, which stand for what a broker would assign.  Some texts and
+Besides a raw post's ten columns each has those of ``PLACE``, which stand
+for what a broker would assign.  Some texts and
 authors are left out by a rule on the id, since the tables hold no NULLs.  The
 same expressions serve batch and stream; no step depends on the session zone.
 """
@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from feedlift.functions.epoch import utc_to_epoch, utc_to_instant
 from feedlift.sources.feed import one_table, read_feed
 
-PLACE = ("partition", "offset", "timestamp")
 PARTITIONS = 3
 START = 1_700_000_000
 

@@ -185,9 +185,6 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT CAST(1 AS INTEGER) AS batch, count(*) AS n_rows FROM documents""",
     "repartition_by_key": """
-        SELECT event_type AS subreddit, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_partitions
-        FROM events GROUP BY event_type""",
-    "repartition_salted": """
         SELECT event_type AS subreddit, CAST((event_id % 3 + event_id // 3) % 8 AS INTEGER) AS salt,
                count(*) AS n_rows, CAST(1 AS BIGINT) AS n_partitions
         FROM events GROUP BY ALL""",

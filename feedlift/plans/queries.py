@@ -26,8 +26,8 @@ from feedlift.operators.messages import (
     with_lineage,
 )
 from feedlift.operators.normalize import flag_unusable, normalize_posts
-from feedlift.operators.placement import by_key, by_salted_key, rebalance, salt
-from feedlift.plans.feeds import FEEDS, PARTITIONS, PLACE, events_feed, table
+from feedlift.operators.placement import by_key, rebalance, salt
+from feedlift.plans.feeds import FEEDS, PARTITIONS, events_feed, table
 from feedlift.schema import TARGET_COLUMNS, WIRE_TYPES, ddl, target_read_types
 from feedlift.session import fresh_folder
 from feedlift.sinks.table import (
@@ -37,7 +37,7 @@ from feedlift.sinks.table import (
     ensure_table,
     replace_in_folder,
 )
-from feedlift.sinks.topic import place_as_files, stream_topic, write_topic
+from feedlift.sinks.topic import PLACE, place_as_files, stream_topic, write_topic
 from feedlift.sources.topic import read_topic
 from feedlift.streaming.batches import batch_writer
 from feedlift.streaming.ingest import (
@@ -110,15 +110,11 @@ def normalize_unusable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Message bytes, each field read back on its own from the text."""
-    text = F.col("value").cast("string")
+    """Message bytes, the fields read back from the text as they stand there."""
     values = events_feed(spark, sf_dir).transform(posts_to_messages)
-    return values.select(
-        *(
-            F.get_json_object(text, f"$.{name}").cast(kind.lower()).alias(name)
-            for name, kind in WIRE_TYPES.items()
-        )
-    )
+    text = F.col("value").cast("string")
+    fields = values.select(F.json_tuple(text, *WIRE_TYPES).alias(*WIRE_TYPES))
+    return fields.select(*(F.col(name).cast(kind).alias(name) for name, kind in WIRE_TYPES.items()))
 
 
 def json_encode_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +159,7 @@ def topic_publish_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{work}/checkpoint",
         replace_in_folder(f"{work}/topic"),
         replace_in_folder(f"{work}/rejects"),
-        keep=PLACE,
+        to_messages=_envelope,
         trigger=ALL_NOW,
     ).awaitTermination()
     sent = spark.read.parquet(f"{work}/topic").transform(with_lineage).transform(decode_messages)
@@ -289,7 +285,7 @@ def src_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = fresh_folder(spark, "latest")
     path, checkpoint = f"{work}/topic", f"{work}/checkpoint"
     _publish(spark, sf_dir, path, "events")
-    skip_existing(_topic(spark, path).transform(read_posts), checkpoint)
+    skip_existing(_topic(spark, path, maxBytesPerTrigger=None).transform(read_posts), checkpoint)
     _publish(spark, sf_dir, path, "documents")
     _ingest(_topic(spark, path), f"{work}/out", checkpoint)
     return _ingested(spark, f"{work}/out").drop(BATCH)
@@ -316,13 +312,12 @@ def stream_empty_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch whose rows are all filtered out, then a whole feed: rows per batch."""
     work = fresh_folder(spark, "empty")
     path, checkpoint = f"{work}/topic", f"{work}/checkpoint"
-    write = replace_in_folder(f"{work}/out")
-    writer = batch_writer(write, skip_empty=True)
+    writer = batch_writer(replace_in_folder(f"{work}/out"), skip_empty=True)
     _publish(spark, sf_dir, path, "documents")
-    nothing = _topic(spark, path).where(F.col("topic") != TOPIC)
-    drain(nothing.transform(read_posts), writer, checkpoint)
+    whole = _topic(spark, path, maxBytesPerTrigger=None)
+    drain(whole.where(F.col("topic") != TOPIC).transform(read_posts), writer, checkpoint)
     _publish(spark, sf_dir, path, "events")
-    drain(_topic(spark, path).transform(read_posts), writer, checkpoint)
+    drain(whole.transform(read_posts), writer, checkpoint)
     rows = _ingested(spark, f"{work}/out")
     return rows.groupBy(F.col(BATCH).alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -414,7 +409,8 @@ def batch_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = fresh_folder(spark, "counts")
     for feed in ("events", "documents"):
         _publish(spark, sf_dir, f"{work}/topic", feed)
-        _ingest(_topic(spark, f"{work}/topic"), f"{work}/out", f"{work}/checkpoint")
+        whole = _topic(spark, f"{work}/topic", maxBytesPerTrigger=None)
+        _ingest(whole, f"{work}/out", f"{work}/checkpoint")
     rows = _ingested(spark, f"{work}/out")
     return rows.groupBy(F.col(BATCH).alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -435,12 +431,8 @@ def _places(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def repartition_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flatten_typed(spark, sf_dir)
-    return _places(rows.transform(by_key("subreddit", 6)), "subreddit")
-
-
-def repartition_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flatten_typed(spark, sf_dir).transform(by_salted_key("subreddit", 6, salts=8))
+    """Typed rows placed by community, hot ones split: each piece is in one partition."""
+    rows = flatten_typed(spark, sf_dir).transform(by_key("subreddit", salts=8))
     bucket = salt(["kafka_partition", "kafka_offset"], 8)
     return _places(rows.withColumn("salt", bucket), "subreddit", "salt")
 
@@ -486,6 +478,5 @@ QUERIES: dict[str, Query] = {
     "sink_append_format": sink_append_format,
     "batch_row_counts": batch_row_counts,
     "repartition_by_key": repartition_by_key,
-    "repartition_salted": repartition_salted,
     "repartition_rebalanced": repartition_rebalanced,
 }

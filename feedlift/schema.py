@@ -16,6 +16,9 @@ WIRE_TYPES = {
     "selftext": "STRING",
 }
 
+# A raw post before normalisation; its counts may come as any number.
+RAW_TYPES = WIRE_TYPES | {"score": "DOUBLE", "num_comments": "DOUBLE"}
+
 # Spark's public schema of a Kafka topic.
 ENVELOPE_TYPES = {
     "key": "BINARY",

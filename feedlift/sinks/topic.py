@@ -10,11 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 from feedlift.schema import ENVELOPE_TYPES
 from feedlift.streaming.run import Trigger, with_trigger
 
+# What a broker would assign to a message; a topic kept as files needs it given.
+PLACE = ("partition", "offset", "timestamp")
 
-def kafka_sink_options(servers: str, topic: str, **extra: object) -> dict[str, str]:
-    """Options for writing to ``format("kafka")``; ``extra`` passes anything else on."""
-    options = {"kafka.bootstrap.servers": servers, "topic": topic, **extra}
-    return {name: str(value) for name, value in options.items() if value is not None}
+
+def kafka_sink_options(servers: str, topic: str, **options: object) -> dict[str, str]:
+    """Options for writing to ``format("kafka")``; any other of Kafka's may be given."""
+    chosen = {"kafka.bootstrap.servers": servers, "topic": topic, **options}
+    return {name: str(value) for name, value in chosen.items()}
 
 
 def _columns(messages: DataFrame, fmt: str) -> DataFrame:
@@ -46,9 +49,8 @@ def stream_topic(
 def place_as_files(messages: DataFrame, topic: str) -> DataFrame:
     """Messages in the full envelope, for a topic kept as files.
 
-    ``partition``, ``offset`` and ``timestamp`` stand for what a broker would
-    assign and must be columns of ``messages``; the key is NULL, as for any
-    message sent without one.
+    The columns of ``PLACE`` must be among those of ``messages``; the key is
+    NULL, as for any message sent without one.
     """
     return messages.selectExpr(
         "CAST(NULL AS BINARY) AS key",

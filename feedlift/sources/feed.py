@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+# What one batch takes of a backlog unless told otherwise, in bytes of files.
+BACKLOG_BYTES = 512 * 1024**3
+
+
 def read_feed(
     spark: SparkSession,
     path: str,
@@ -16,11 +20,16 @@ def read_feed(
 ) -> DataFrame:
     """Posts under ``path``, as an endless stream or as what is there now.
 
-    For a stream, ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds what
-    one batch takes of a backlog.
+    A stream's batches are bounded, so that one lost with the driver is soon
+    done again; the rest of a backlog waits for later batches.  Set the bound
+    with ``maxBytesPerTrigger`` (None for no bound) or ``maxFilesPerTrigger``.
     """
-    reader = spark.readStream if stream else spark.read
-    return reader.format(fmt).schema(schema).options(**options).load(path)
+    if not stream:
+        return spark.read.format(fmt).schema(schema).options(**options).load(path)
+    if "maxFilesPerTrigger" not in options:
+        options.setdefault("maxBytesPerTrigger", BACKLOG_BYTES)
+    options = {name: value for name, value in options.items() if value is not None}
+    return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
 def one_table(folder: str, name: str) -> str:

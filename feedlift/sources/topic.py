@@ -7,34 +7,33 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from feedlift.schema import ENVELOPE_TYPES, ddl
+from feedlift.sources.feed import read_feed
 
 
-def kafka_source_options(
-    servers: str,
-    topic: str,
-    starting_offsets: str = "latest",
-    max_offsets_per_trigger: int | None = 50_000_000,
-    max_records_per_partition: int | None = 500_000,
-    **extra: object,
-) -> dict[str, str]:
-    """Options for ``format("kafka")``.
-
-    ``latest`` skips what the topic held before the first start; after that the
-    checkpoint decides.  ``max_offsets_per_trigger`` bounds the first batch
-    after downtime, and nothing is lost: the rest waits for later batches.
-    ``max_records_per_partition`` splits a topic partition that holds far more
-    than the others over several tasks.  ``extra`` passes anything else on, such
-    as ``failOnDataLoss`` or ``kafka.security.protocol``.
+# Unless told otherwise: skip what the topic held before the first start (after
+# that the checkpoint decides), bound what one batch takes of a backlog (the
+# rest waits for later batches), and split a topic partition that holds far
+# more than the others over several tasks.
+KAFKA_DEFAULTS = {
+    "startingOffsets": "latest",
+    "maxOffsetsPerTrigger": "50000000",
+    "maxRecordsPerPartition": "500000",
+}
+
+
+def kafka_source_options(servers: str, topic: str, **options: object) -> dict[str, str]:
+    """Options for ``format("kafka")``; those given win over the defaults, None drops one.
+
+    Any of Kafka's may be given, such as ``failOnDataLoss`` or, in a dictionary,
+    ``kafka.security.protocol``.
     """
-    options: dict[str, object] = {
+    chosen = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
-        "startingOffsets": starting_offsets,
-        "maxOffsetsPerTrigger": max_offsets_per_trigger,
-        "maxRecordsPerPartition": max_records_per_partition,
-        **extra,
+        **KAFKA_DEFAULTS,
+        **options,
     }
-    return {name: str(value) for name, value in options.items() if value is not None}
+    return {name: str(value) for name, value in chosen.items() if value is not None}
 
 
 def read_topic(
@@ -48,7 +47,8 @@ def read_topic(
     Any format that yields the envelope will do; a file format needs its schema
     stated, a ``path``, and serves as the topic where there is no broker.
     """
-    reader = (spark.readStream if stream else spark.read).format(fmt)
+    options = dict(options or {})
     if fmt != "kafka":
-        reader = reader.schema(ddl(ENVELOPE_TYPES))
-    return reader.options(**dict(options or {})).load()
+        return read_feed(spark, options.pop("path"), ddl(ENVELOPE_TYPES), stream, fmt, **options)
+    reader = spark.readStream if stream else spark.read
+    return reader.format(fmt).options(**options).load()

@@ -25,16 +25,16 @@ def start_publish(
     checkpoint: str,
     write: WriteBatch,
     write_rejects: WriteBatch,
-    keep: Sequence[str] = (),
+    to_messages: Callable[[DataFrame], DataFrame] = posts_to_messages,
     trigger: Trigger | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
     """Send a feed's posts to a topic, and posts that lack a required number aside.
 
-    Without rejects, ``stream_topic`` on :func:`posts_to_messages` does: there
-    such a post is sent with nulls for what it lacks.
+    Where those need not be set aside, ``stream_topic`` on
+    :func:`posts_to_messages` is simpler: it sends nulls for what a post lacks.
     """
-    splitter = splitting_writer(write, write_rejects, lambda df: posts_to_messages(df, keep))
+    splitter = splitting_writer(write, write_rejects, to_messages)
     return start_batches(raw.transform(flag_unusable), splitter, checkpoint, trigger, name)
 
 

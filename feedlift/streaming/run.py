@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 # Keyword arguments of ``DataStreamWriter.trigger``.
@@ -45,10 +45,18 @@ def drain(
     return query
 
 
+def has_progress(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether a stream with this checkpoint has ever committed a batch."""
+    first = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/0")
+    return first.getFileSystem(spark._jsc.hadoopConfiguration()).exists(first)
+
+
 def skip_existing(rows: DataFrame, checkpoint: str) -> None:
     """Record all that is there now as seen, so that the stream starts behind it.
 
-    Only for a new checkpoint.  The batch is committed without being read, so
-    the cost is that of listing the source.  Kafka has ``startingOffsets``.
+    On a restart this does nothing: what came meanwhile is not skipped.  Read
+    ``rows`` without a bound, for one batch that is committed without being
+    read; the cost is that of listing the source.  Kafka has ``startingOffsets``.
     """
-    drain(rows, lambda batch, number: None, checkpoint)
+    if not has_progress(rows.sparkSession, checkpoint):
+        drain(rows, lambda batch, number: None, checkpoint)

@@ -1,0 +1,100 @@
+"""Epoch seconds as UTC timestamps, whatever the session zone."""
+
+import datetime as dt
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from feedlift.functions.epoch import (
+    epoch_to_string,
+    epoch_to_timestamp,
+    instant_to_utc,
+    utc_to_epoch,
+    utc_to_instant,
+)
+
+GOLDEN = [
+    (0.0, "1970-01-01 00:00:00"),
+    (1700000000.0, "2023-11-14 22:13:20"),
+    (1700000000.999, "2023-11-14 22:13:20"),
+    (-0.5, "1970-01-01 00:00:00"),
+    (-1.5, "1969-12-31 23:59:59"),
+    (None, None),
+    (1730611800.0, "2024-11-03 05:30:00"),
+    (1730615400.0, "2024-11-03 06:30:00"),
+    (1710054000.0, "2024-03-10 07:00:00"),
+    (253402300800.0, "+10000-01-01 00:00:00"),
+    (-62135596801.0, "0000-12-31 23:59:59"),
+    (float("nan"), None),
+    (float("inf"), None),
+    (float("-inf"), None),
+    (1e13, None),
+    (-1e300, None),
+]
+
+
+def texts(spark, seconds):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seconds)], "i INT, s DOUBLE")
+    s = F.col("s")
+    rows = df.select("i", epoch_to_string(s), epoch_to_timestamp(s).cast("string")).collect()
+    assert all(text == moment for _, text, moment in rows)
+    return [text for _, text, _ in sorted(rows)]
+
+
+def test_golden(spark, zone):
+    assert texts(spark, [s for s, _ in GOLDEN]) == [text for _, text in GOLDEN]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_golden_with_and_without_ansi(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        assert texts(spark, [s for s, _ in GOLDEN]) == [text for _, text in GOLDEN]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.floats(-6e10, 2.5e11), min_size=1, max_size=200))
+def test_equals_from_unixtime_in_utc(spark, seconds):
+    df = spark.createDataFrame([(s,) for s in seconds], "s DOUBLE")
+    same = epoch_to_string(F.col("s")).eqNullSafe(F.from_unixtime("s"))
+    assert df.where(~same).isEmpty()
+
+
+def test_fold_hour_differs_from_the_session_zone_way(spark):
+    """The way through the session zone loses an hour where we do not."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(1730615400.0,)], "s DOUBLE")
+        through_zone = F.from_unixtime("s").cast("timestamp").cast("long")
+        ours = F.unix_micros(utc_to_instant(epoch_to_timestamp(F.col("s")))) / 1_000_000
+        assert df.select(through_zone, ours).first()[:] == (1730611800, 1730615400.0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_instants_keep_microseconds(spark, zone):
+    moments = [
+        dt.datetime(2024, 3, 10, 2, 30, 0, 123456),
+        dt.datetime(2024, 11, 3, 1, 30, 0, 1),
+        dt.datetime(1969, 12, 31, 23, 59, 59, 999999),
+    ]
+    df = spark.createDataFrame([(m,) for m in moments], "m TIMESTAMP_NTZ")
+    there = utc_to_instant(F.col("m"))
+    rows = df.select("m", instant_to_utc(there), F.unix_micros(there)).collect()
+    start = dt.datetime(1970, 1, 1)
+    for moment, back, micros in rows:
+        assert back == moment
+        assert micros == (moment - start) // dt.timedelta(microseconds=1)
+
+
+def test_epoch_of_a_timestamp_keeps_its_fraction(spark, zone):
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2023-11-14 22:13:20.25' AS m")
+    assert df.select(utc_to_epoch(F.col("m"))).first()[0] == 1700000000.25
+
+
+def test_nothing_for_null(spark):
+    df = spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS t")
+    assert df.select(instant_to_utc(F.col("t"))).first()[0] is None

@@ -35,6 +35,7 @@ HEADLINE = [
     "stream_micro_batches",
     "stream_resume",
     "stream_rejects",
+    "stream_rejects_one_pass",
     "sink_ensure_table",
     "sink_append",
     "batch_row_counts",

@@ -21,7 +21,7 @@ from feedlift.sinks.table import append_to, replace_in_folder
 from feedlift.sinks.topic import PLACE, place_as_files, stream_topic
 from feedlift.sources.feed import read_feed
 from feedlift.streaming.ingest import posts_to_messages, start_publish
-from feedlift.streaming.run import skip_existing
+from feedlift.streaming.run import ALL_NOW, Trigger, skip_existing
 
 
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -53,20 +53,16 @@ def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
         options = {**dict(arguments.feed_option), **options}
         return read_feed(spark, arguments.feed, ddl(types), fmt=arguments.feed_format, **options)
 
+    def send(raw: DataFrame, when: Trigger | None) -> StreamingQuery:
+        if not arguments.rejects:
+            return stream_topic(raw.transform(to_messages), checkpoint, fmt, arguments.topic, when)
+        write, write_rejects = append_to(fmt, **arguments.topic), replace_in_folder(arguments.rejects)
+        return start_publish(raw, checkpoint, write, write_rejects, to_messages, when, "publish")
+
     if not arguments.include_existing:
-        skip_existing(feed(maxBytesPerTrigger=None, maxFilesPerTrigger=None), checkpoint)
-    if not arguments.rejects:
-        messages = feed().transform(to_messages)
-        return stream_topic(messages, checkpoint, fmt, arguments.topic, trigger(arguments))
-    return start_publish(
-        feed(),
-        checkpoint,
-        append_to(fmt, **arguments.topic),
-        replace_in_folder(arguments.rejects),
-        to_messages,
-        trigger(arguments),
-        name="publish",
-    )
+        whole = feed(maxBytesPerTrigger=None, maxFilesPerTrigger=None)
+        skip_existing(whole, checkpoint, lambda nothing: send(nothing, ALL_NOW))
+    return send(feed(), trigger(arguments))
 
 
 def main(argv: Sequence[str] | None = None) -> None:

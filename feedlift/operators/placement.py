@@ -24,15 +24,13 @@ def rebalance(*columns: str) -> Spread:
 
 
 def salt(columns: Sequence[str], salts: int) -> Column:
-    """A bucket in ``[0, salts)`` from the sum of whole-number columns.
+    """A bucket in ``[0, salts)`` from a hash of what tells a row from others.
 
     It depends on the row alone, unlike ``rand()``, so a task that is run again
-    after an executor is lost sends every row to the same place.
+    after an executor is lost sends every row to the same place.  A hash, since
+    a plain remainder may follow the same rhythm as the key.
     """
-    total = F.coalesce(F.col(columns[0]).cast("bigint"), F.lit(0))
-    for name in columns[1:]:
-        total = total + F.coalesce(F.col(name).cast("bigint"), F.lit(0))
-    return F.pmod(total, F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
 def by_key(
@@ -43,8 +41,8 @@ def by_key(
 ) -> Spread:
     """Rows of a key together, in at most ``salts`` partitions.
 
-    Offsets are dense, so a key that holds a third of all rows, NULL included,
-    is split about evenly over its salts and no task gets it whole.  With
+    A key that holds a third of all rows, NULL included, is split about evenly
+    over its salts, so that no task gets it whole.  With
     ``salts=1`` each key is in one partition, however large that makes it.
     Without ``partitions`` the session's setting applies and adaptive execution
     merges small ones; a fixed number is kept as it is, whatever the data.

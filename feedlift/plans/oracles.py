@@ -121,6 +121,13 @@ _GAPS = """concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'score' END,
                  CASE WHEN event_id % 23 = 0 THEN 'upvote_ratio' END,
                  CASE WHEN event_id % 17 = 0 THEN 'created_utc' END)"""
 
+_OUTCOMES = f"""
+SELECT kafka_partition, kafka_offset, {_REPAIRS["id"]} AS id,
+       CASE WHEN {_LOST} OR n % 12 IN (1, 8) THEN 'unreadable'
+            WHEN n % 12 = 9 THEN 'too long: title' ELSE 'ok' END AS outcome
+FROM ({EVENTS})
+"""
+
 ORACLES: dict[str, str] = {
     "normalize_posts": _wire(EVENTS),
     "normalize_unusable": f"""
@@ -172,11 +179,8 @@ ORACLES: dict[str, str] = {
         SELECT CAST(1 AS INTEGER) AS batch, count(*) AS n_rows FROM events""",
     "stream_resume": _target(EVENTS, DOCUMENTS),
     "stream_replay": _target(EVENTS),
-    "stream_rejects": f"""
-        SELECT kafka_partition, kafka_offset, {_REPAIRS["id"]} AS id,
-               CASE WHEN {_LOST} OR n % 12 IN (1, 8) THEN 'unreadable'
-                    WHEN n % 12 = 9 THEN 'too long: title' ELSE 'ok' END AS outcome
-        FROM ({EVENTS})""",
+    "stream_rejects": _OUTCOMES,
+    "stream_rejects_one_pass": _OUTCOMES,
     "sink_ensure_table": _target(EVENTS),
     "sink_append": _target(EVENTS, CONVERSATIONS),
     "sink_append_format": _target(EVENTS, PAGES),
@@ -185,8 +189,8 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT CAST(1 AS INTEGER) AS batch, count(*) AS n_rows FROM documents""",
     "repartition_by_key": """
-        SELECT event_type AS subreddit, CAST((event_id % 3 + event_id // 3) % 8 AS INTEGER) AS salt,
-               count(*) AS n_rows, CAST(1 AS BIGINT) AS n_partitions
-        FROM events GROUP BY ALL""",
+        SELECT event_type AS subreddit, count(*) AS n_rows, CAST(8 AS BIGINT) AS n_pieces,
+               CAST(0 AS BIGINT) AS n_split
+        FROM events GROUP BY event_type""",
     "repartition_rebalanced": _target(EVENTS),
 }

@@ -42,6 +42,7 @@ from feedlift.sources.topic import read_topic
 from feedlift.streaming.batches import batch_writer
 from feedlift.streaming.ingest import (
     posts_to_messages,
+    start_folder_ingest,
     start_ingest,
     start_publish,
     start_table_ingest,
@@ -365,6 +366,18 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(aside.select(*places, F.col("reject_reason").alias("outcome")))
 
 
+def stream_rejects_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same outcomes from one folder, written in one pass."""
+    work = fresh_folder(spark, "rejects")
+    envelope = _envelope(events_feed(spark, sf_dir, stream=True)).transform(_damage)
+    start_folder_ingest(
+        envelope, f"{work}/out", f"{work}/checkpoint", trigger=ALL_NOW
+    ).awaitTermination()
+    rows = spark.read.parquet(f"{work}/out")
+    outcome = F.when(F.col("rejected"), F.col("reject_reason")).otherwise("ok")
+    return rows.select("kafka_partition", "kafka_offset", "id", outcome.alias("outcome"))
+
+
 # --- the target table -----------------------------------------------------
 
 
@@ -418,23 +431,27 @@ def batch_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- placement ------------------------------------------------------------
 
 
-def _places(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of each key, and how many partitions hold them."""
-    per_partition = (
-        df.withColumn("place", F.spark_partition_id())
-        .groupBy(*keys, "place")
+def repartition_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed rows placed by community, each in eight pieces that are not split further.
+
+    Rows are counted per piece and partition where they are; what is grouped
+    again are a few counts per community.
+    """
+    rows = flatten_typed(spark, sf_dir).transform(by_key("subreddit", salts=8))
+    piece = salt(["kafka_partition", "kafka_offset"], 8)
+    counts = (
+        rows.select("subreddit", piece.alias("piece"), F.spark_partition_id().alias("place"))
+        .groupBy("subreddit", "piece", "place")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return per_partition.groupBy(*keys).agg(
-        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_partitions")
+    pieces = counts.groupBy("subreddit", "piece").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("places")
+    )
+    return pieces.groupBy("subreddit").agg(
+        F.sum("n").alias("n_rows"),
+        F.count(F.lit(1)).alias("n_pieces"),
+        F.count_if(F.col("places") > 1).alias("n_split"),
     )
-
-
-def repartition_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed rows placed by community, hot ones split: each piece is in one partition."""
-    rows = flatten_typed(spark, sf_dir).transform(by_key("subreddit", salts=8))
-    bucket = salt(["kafka_partition", "kafka_offset"], 8)
-    return _places(rows.withColumn("salt", bucket), "subreddit", "salt")
 
 
 def repartition_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,6 +490,7 @@ QUERIES: dict[str, Query] = {
     "stream_resume": stream_resume,
     "stream_replay": stream_replay,
     "stream_rejects": stream_rejects,
+    "stream_rejects_one_pass": stream_rejects_one_pass,
     "sink_ensure_table": sink_ensure_table,
     "sink_append": sink_append,
     "sink_append_format": sink_append_format,

@@ -8,7 +8,7 @@ so that what a reader sees is exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,14 +78,15 @@ def append_to(fmt: str, **options: object) -> WriteBatch:
     return write
 
 
-def replace_in_folder(path: str, fmt: str = "parquet") -> WriteBatch:
-    """Overwrite only this batch's folder below ``path``.
+def replace_in_folder(path: str, fmt: str = "parquet", by: Sequence[str] = ()) -> WriteBatch:
+    """Overwrite only this batch's folder below ``path``, with a folder per value of ``by``.
 
     The stream's id is part of the folder: batch numbers start again when a
     checkpoint is lost, and must not then fall on an older stream's folders.
     """
 
     def write(batch: DataFrame, run: str, number: int) -> None:
-        batch.write.format(fmt).mode("overwrite").save(f"{path}/{RUN}={run}/{BATCH}={number}")
+        folder = f"{path}/{RUN}={run}/{BATCH}={number}"
+        batch.write.format(fmt).partitionBy(*by).mode("overwrite").save(folder)
 
     return write

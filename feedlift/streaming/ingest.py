@@ -10,7 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from feedlift.operators.messages import encode_messages, read_posts, read_posts_flagged
 from feedlift.operators.normalize import flag_unusable, normalize_posts
 from feedlift.operators.placement import Spread
-from feedlift.sinks.table import WriteBatch, append_to_table, ensure_table, replace_in_table
+from feedlift.sinks.table import (
+    WriteBatch,
+    append_to_table,
+    ensure_table,
+    replace_in_folder,
+    replace_in_table,
+)
 from feedlift.streaming.batches import batch_writer, splitting_writer
 from feedlift.streaming.run import Trigger, start_batches
 
@@ -68,6 +74,25 @@ def start_ingest(
     return start_batches(flagged, splitter, checkpoint, trigger, name)
 
 
+def start_folder_ingest(
+    envelope: DataFrame,
+    path: str,
+    checkpoint: str,
+    spread: Spread | None = None,
+    trigger: Trigger | None = None,
+    name: str | None = None,
+) -> StreamingQuery:
+    """All messages to one folder, those that are rejects below ``rejected=true``.
+
+    One pass and nothing kept in between, where two targets need the batch
+    twice.  A reader that filters on ``rejected`` opens only the files it needs.
+    """
+    flagged = envelope.transform(read_posts_flagged)
+    sided = flagged.withColumn("rejected", flagged.reject_reason.isNotNull())
+    writer = batch_writer(replace_in_folder(path, by=["rejected"]), spread)
+    return start_batches(sided, writer, checkpoint, trigger, name)
+
+
 def start_table_ingest(
     spark: SparkSession,
     envelope: DataFrame,
@@ -82,6 +107,8 @@ def start_table_ingest(
 
     ``exact`` makes a batch that runs twice replace itself, at the price of a
     partition per batch.  Without it rows are appended, at least once each.
+    A session that read the table before must ``REFRESH TABLE`` to see more:
+    the stream writes in a session of its own.
     """
 
     def prepare() -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 # Keyword arguments of ``DataStreamWriter.trigger``.
@@ -51,12 +51,20 @@ def has_progress(spark: SparkSession, checkpoint: str) -> bool:
     return first.getFileSystem(spark._jsc.hadoopConfiguration()).exists(first)
 
 
-def skip_existing(rows: DataFrame, checkpoint: str) -> None:
+def skip_existing(
+    rows: DataFrame, checkpoint: str, start: Callable[[DataFrame], StreamingQuery] | None = None
+) -> None:
     """Record all that is there now as seen, so that the stream starts behind it.
 
     On a restart this does nothing: what came meanwhile is not skipped.  Read
     ``rows`` without a bound, for one batch that is committed without being
-    read; the cost is that of listing the source.  Kafka has ``startingOffsets``.
+    read; the cost is that of listing the source.  Give ``start`` for a sink
+    that keeps a log of its own, such as files: it is handed the stream without
+    its rows.  Kafka has ``startingOffsets`` instead.
     """
-    if not has_progress(rows.sparkSession, checkpoint):
+    if has_progress(rows.sparkSession, checkpoint):
+        return
+    if start is None:
         drain(rows, lambda batch, number: None, checkpoint)
+    else:
+        start(rows.where(F.lit(False))).awaitTermination()

@@ -56,8 +56,9 @@ def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
     def send(raw: DataFrame, when: Trigger | None) -> StreamingQuery:
         if not arguments.rejects:
             return stream_topic(raw.transform(to_messages), checkpoint, fmt, arguments.topic, when)
-        write, write_rejects = append_to(fmt, **arguments.topic), replace_in_folder(arguments.rejects)
-        return start_publish(raw, checkpoint, write, write_rejects, to_messages, when, "publish")
+        aside = replace_in_folder(arguments.rejects)
+        write = append_to(fmt, **arguments.topic)
+        return start_publish(raw, checkpoint, write, aside, to_messages, when, "publish")
 
     if not arguments.include_existing:
         whole = feed(maxBytesPerTrigger=None, maxFilesPerTrigger=None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedlift.operators.messages import encode_messages, read_posts, read_posts_flagged
@@ -82,15 +82,16 @@ def start_folder_ingest(
     trigger: Trigger | None = None,
     name: str | None = None,
 ) -> StreamingQuery:
-    """All messages to one folder, those that are rejects below ``rejected=true``.
+    """All messages to one folder, rows below ``outcome=row``, others ``outcome=reject``.
 
     One pass and nothing kept in between, where two targets need the batch
-    twice.  A reader that filters on ``rejected`` opens only the files it needs.
+    twice.  A reader that filters on ``outcome`` opens only the files it needs.
     """
     flagged = envelope.transform(read_posts_flagged)
-    sided = flagged.withColumn("rejected", flagged.reject_reason.isNotNull())
-    writer = batch_writer(replace_in_folder(path, by=["rejected"]), spread)
-    return start_batches(sided, writer, checkpoint, trigger, name)
+    outcome = F.when(F.col("reject_reason").isNull(), "row").otherwise("reject")
+    writer = batch_writer(replace_in_folder(path, by=["outcome"]), spread)
+    rows = flagged.withColumn("outcome", outcome)
+    return start_batches(rows, writer, checkpoint, trigger, name)
 
 
 def start_table_ingest(

@@ -34,10 +34,11 @@ def test_what_is_missing_is_named(capsys, parse, argv, named):
 
 
 def test_arguments():
-    got = ingest.parse(["--table", "t", *BROKER, "--topic-option", "subscribe=a=b", "--every", "5 s"])
+    argv = ["--table", "t", *BROKER, "--topic-option", "subscribe=a=b"]
+    got = ingest.parse([*argv, "--every", "5 s"])
     assert got.topic == {"kafka.bootstrap.servers": "h:1", "subscribe": "a=b"}
     assert ingest.trigger(got) == {"processingTime": "5 s"}
-    assert ingest.trigger(ingest.parse(["--table", "t", *BROKER, "--topic-option", "subscribe=a"])) is None
+    assert ingest.trigger(ingest.parse(argv)) is None
 
 
 def feed_files(spark, path, mode="append"):
@@ -87,7 +88,8 @@ def test_what_is_there_is_skipped_once(spark, tmp_path):
     run_publish(spark, work)
     feed_files(spark, f"{work}/feed")
     run_publish(spark, work)
-    assert_all(spark, read_topic(spark, "parquet", {"path": f"{work}/topic"}, False).transform(read_posts))
+    topic = read_topic(spark, "parquet", {"path": f"{work}/topic"}, False)
+    assert_all(spark, topic.transform(read_posts))
 
 
 def test_unusable_posts_go_aside(spark, tmp_path):
@@ -123,7 +125,8 @@ def test_other_targets(spark, tmp_path, target):
 
 def test_appending_to_a_table_and_skipping(spark, tmp_path):
     work = str(tmp_path)
-    append = ["--table", "jobs_append", "--location", f"{work}/t", "--at-least-once", "--skip-existing"]
+    append = ["--table", "jobs_append", "--location", f"{work}/t"]
+    append += ["--at-least-once", "--skip-existing"]
     for copies in (0, 1, 2):
         _envelope(events_feed(spark, SMALL)).write.mode("append").parquet(f"{work}/topic")
         run_ingest(spark, work, *append)

@@ -1,7 +1,7 @@
 """Defaults, conversions and what cannot be converted."""
 
 from feedlift.operators.normalize import flag_unusable, normalize_posts
-from feedlift.schema import RAW_TYPES, WIRE_COLUMNS, ddl
+from feedlift.schema import RAW_TYPES, WIRE_COLUMNS, WIRE_TYPES, ddl
 
 FULL = {
     "id": "a1",
@@ -29,9 +29,7 @@ def normalized(spark, *changes):
 def test_columns_and_types(spark):
     wire = raw(spark, {}).transform(normalize_posts)
     assert wire.columns == WIRE_COLUMNS
-    assert [t for _, t in wire.dtypes] == [
-        "string", "string", "string", "string", "int", "double", "int", "double", "string", "string",
-    ]
+    assert dict(wire.dtypes) == {name: kind.lower() for name, kind in WIRE_TYPES.items()}
 
 
 def test_missing_and_empty_texts_are_empty(spark):

@@ -6,7 +6,7 @@ import pytest
 
 from conftest import SMALL
 from feedlift.session import fresh_folder, shared_root
-from feedlift.sinks.topic import kafka_sink_options
+from feedlift.sinks.topic import _columns, kafka_sink_options
 from feedlift.sources.feed import one_table, read_feed
 from feedlift.sources.topic import kafka_source_options, read_topic
 from feedlift.streaming.run import drain
@@ -35,6 +35,12 @@ def test_kafka_sink_names_servers_and_topic():
     assert options == {"kafka.bootstrap.servers": "h:1", "topic": "t", "kafka.acks": "all"}
 
 
+def test_a_broker_is_sent_values_only(spark):
+    messages = spark.sql("SELECT X'00' AS value, 1 AS partition")
+    assert _columns(messages, "kafka").columns == ["value"]
+    assert _columns(messages, "parquet").columns == ["value", "partition"]
+
+
 def test_the_broker_format_is_asked_for_by_name(spark):
     """Without the connector the session says which data source it misses."""
     with pytest.raises(Exception, match="(?i)kafka"):
@@ -72,7 +78,8 @@ def test_the_bound_on_a_batch(spark, tmp_path):
     ]:
         seen = []
         feed = read_feed(spark, path, events.schema, **options)
-        drain(feed, lambda batch, number: seen.append(number), f"{tmp_path}/{len(options)}{batches}{options}")
+        checkpoint = f"{tmp_path}/{'-'.join(options)}-{batches}"
+        drain(feed, lambda batch, number: seen.append(number), checkpoint)
         assert len(seen) == batches
 
 

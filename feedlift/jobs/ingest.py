@@ -16,14 +16,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedlift.jobs.arguments import add_options, add_running, topic_options, trigger
 from feedlift.operators.messages import read_posts
-from feedlift.operators.placement import by_key, rebalance
+from feedlift.operators.placement import rebalance
 from feedlift.session import shared_root
 from feedlift.sinks.table import append_to, replace_in_folder
 from feedlift.sources.topic import kafka_source_options, read_topic
 from feedlift.streaming.ingest import start_ingest, start_table_ingest
 from feedlift.streaming.run import skip_existing
 
-SPREADS = {"none": None, "rebalance": rebalance(), "key": by_key("subreddit")}
+SPREADS = {"none": None, "rebalance": rebalance(), "key": rebalance("subreddit")}
 
 
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:

@@ -33,23 +33,33 @@ def salt(columns: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
+def salts_for(df: DataFrame, partitions: int | None = None) -> int:
+    """So many salts that a third of all rows, cut into them, are average partitions."""
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return -(-partitions // 3)
+
+
 def by_key(
     key: str,
     partitions: int | None = None,
-    salts: int = 8,
+    salts: int | None = None,
     salt_columns: Sequence[str] = ("kafka_partition", "kafka_offset"),
 ) -> Spread:
     """Rows of a key together, in at most ``salts`` partitions.
 
     A key that holds a third of all rows, NULL included, is split about evenly
-    over its salts, so that no task gets it whole.  With
-    ``salts=1`` each key is in one partition, however large that makes it.
-    Without ``partitions`` the session's setting applies and adaptive execution
-    merges small ones; a fixed number is kept as it is, whatever the data.
+    over its salts, so that no task gets it whole; by default there are as many
+    as :func:`salts_for` says.  With ``salts=1`` each key is in one partition,
+    however large that makes it.  Without ``partitions`` the session's setting
+    applies and adaptive execution merges small ones; a given number is kept.
+    Where the number of pieces need not be fixed, ``rebalance(key)`` splits
+    only the keys that are large.
     """
 
     def spread(df: DataFrame) -> DataFrame:
-        columns = [F.col(key)] if salts == 1 else [F.col(key), salt(salt_columns, salts)]
+        pieces = salts_for(df, partitions) if salts is None else salts
+        columns = [F.col(key)] if pieces == 1 else [F.col(key), salt(salt_columns, pieces)]
         return df.repartition(*columns if partitions is None else (partitions, *columns))
 
     return spread

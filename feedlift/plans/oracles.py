@@ -189,8 +189,7 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT CAST(1 AS INTEGER) AS batch, count(*) AS n_rows FROM documents""",
     "repartition_by_key": """
-        SELECT event_type AS subreddit, count(*) AS n_rows, CAST(8 AS BIGINT) AS n_pieces,
-               CAST(0 AS BIGINT) AS n_split
+        SELECT event_type AS subreddit, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_split
         FROM events GROUP BY event_type""",
     "repartition_rebalanced": _target(EVENTS),
 }

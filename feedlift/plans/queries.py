@@ -26,7 +26,7 @@ from feedlift.operators.messages import (
     with_lineage,
 )
 from feedlift.operators.normalize import flag_unusable, normalize_posts
-from feedlift.operators.placement import by_key, rebalance, salt
+from feedlift.operators.placement import by_key, rebalance, salt, salts_for
 from feedlift.plans.feeds import FEEDS, PARTITIONS, events_feed, table
 from feedlift.schema import TARGET_COLUMNS, WIRE_TYPES, ddl, target_read_types
 from feedlift.session import fresh_folder
@@ -434,15 +434,16 @@ def batch_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repartition_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed rows placed by community, each in eight pieces that are not split further.
+    """Typed rows placed by community, each in pieces that are not split further.
 
     Rows are counted per piece and partition where they are; what is grouped
     again are a few counts per community.
     """
-    rows = flatten_typed(spark, sf_dir).transform(by_key("subreddit", salts=8))
-    piece = salt(["kafka_partition", "kafka_offset"], 8)
+    rows = flatten_typed(spark, sf_dir)
+    piece = salt(["kafka_partition", "kafka_offset"], salts_for(rows))
     counts = (
-        rows.select("subreddit", piece.alias("piece"), F.spark_partition_id().alias("place"))
+        rows.transform(by_key("subreddit"))
+        .select("subreddit", piece.alias("piece"), F.spark_partition_id().alias("place"))
         .groupBy("subreddit", "piece", "place")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -450,9 +451,7 @@ def repartition_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("places")
     )
     return pieces.groupBy("subreddit").agg(
-        F.sum("n").alias("n_rows"),
-        F.count(F.lit(1)).alias("n_pieces"),
-        F.count_if(F.col("places") > 1).alias("n_split"),
+        F.sum("n").alias("n_rows"), F.count_if(F.col("places") > 1).alias("n_split")
     )
 
 

@@ -47,8 +47,11 @@ def drain(
 
 def has_progress(spark: SparkSession, checkpoint: str) -> bool:
     """Whether a stream with this checkpoint has ever committed a batch."""
-    first = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/0")
-    return first.getFileSystem(spark._jsc.hadoopConfiguration()).exists(first)
+    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    files = commits.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(commits):
+        return False
+    return any(status.getPath().getName().isdigit() for status in files.listStatus(commits))
 
 
 def skip_existing(

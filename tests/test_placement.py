@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from feedlift.operators.placement import by_key, rebalance, salt
+from feedlift.operators.placement import by_key, rebalance, salt, salts_for
 
 
 @pytest.fixture
@@ -47,6 +47,19 @@ def test_hot_and_missing_keys_are_split(skewed, partitions):
             assert max(shares) <= sum(shares) * 3 / 8
 
 
+@pytest.mark.parametrize(("partitions", "salts"), [(1, 1), (6, 2), (8, 3), (3000, 1000)])
+def test_salts_grow_with_partitions(spark, skewed, partitions, salts):
+    assert salts_for(skewed, partitions) == salts
+    assert salts_for(skewed) == salts_for(skewed, 8)
+
+
+def test_by_default_the_hot_key_makes_no_large_partition(skewed):
+    """40% of all rows are hot; each partition has its share of them and of the rest."""
+    places = sizes(skewed.transform(by_key("subreddit", 48)))
+    assert sum(places.values()) == 30_000
+    assert max(places.values()) <= 4 * 30_000 / 48
+
+
 def test_salts_are_even_and_repeatable(skewed):
     columns = ["kafka_partition", "kafka_offset"]
     salted = skewed.withColumn("salt", salt(columns, 8))

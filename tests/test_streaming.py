@@ -1,5 +1,7 @@
 """Streams: equal to batches, resumed, replayed, empty, split, stopped."""
 
+import os
+
 import pytest
 from pyspark import StorageLevel
 from pyspark.errors import StreamingQueryException
@@ -164,6 +166,17 @@ def test_skip_existing(spark, work, topic):
     assert_whole(spark, f"{work}/out")
 
 
+def test_progress_is_known_after_old_commits_are_gone(spark, work, topic):
+    """Spark deletes the commits of old batches."""
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", "1")
+    try:
+        drain(topic(maxFilesPerTrigger=1), lambda batch, number: None, f"{work}/checkpoint")
+    finally:
+        spark.conf.unset("spark.sql.streaming.minBatchesToRetain")
+    assert not os.path.exists(f"{work}/checkpoint/commits/0")
+    assert has_progress(spark, f"{work}/checkpoint")
+
+
 def test_spread_before_the_write(spark, work, topic):
     spread = by_key("subreddit", 5, salts=1)
     drain(

@@ -86,6 +86,7 @@ def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
 
 def main(argv: Sequence[str] | None = None) -> None:
     logging.basicConfig(level=logging.INFO)
+    logging.getLogger("py4j").setLevel(logging.WARNING)
     arguments = parse(argv)
     spark = SparkSession.builder.appName("feedlift ingest").getOrCreate()
     start(spark, arguments).awaitTermination()

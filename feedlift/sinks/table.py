@@ -17,7 +17,8 @@ from feedlift.schema import TARGET_COLUMNS, TARGET_TYPES, ddl
 # Columns that tell whose batch a row came with, in tables that replace batches.
 RUN, BATCH = "ingest_run", "ingest_batch"
 
-# Takes a batch, the id of the stream that made it and the batch's number.
+# Takes a batch, the id of the stream that made it and the batch's number, and
+# runs an action on that batch, the one its rows are counted by.
 WriteBatch = Callable[[DataFrame, str, int], None]
 
 

@@ -20,11 +20,25 @@ def _log_count(number: int, rows: int) -> None:
     log.info("batch %d: %d rows", number, rows)
 
 
+def _log_rejects(number: int, rows: int) -> None:
+    log.info("batch %d: %d rows set aside", number, rows)
+
+
 def _run_id(batch: DataFrame) -> str:
     """The stream's id: made with its checkpoint, the same after every restart."""
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
+def _write_counted(
+    write: WriteBatch, rows: DataFrame, run: str, number: int, spread: Spread | None
+) -> int:
+    """Write, and count with the same action what was written."""
+    counted = Observation()
+    rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
+    write(spread(rows) if spread else rows, run, number)
+    return counted.get["rows"]
+
+
 def batch_writer(
     write: WriteBatch,
     spread: Spread | None = None,
@@ -43,10 +57,7 @@ def batch_writer(
         if skip_empty and batch.isEmpty():
             log.info("batch %d: empty, not written", number)
             return
-        counted = Observation()
-        rows = batch.observe(counted, F.count(F.lit(1)).alias("rows"))
-        write(spread(rows) if spread else rows, _run_id(batch), number)
-        on_count(number, counted.get["rows"])
+        on_count(number, _write_counted(write, batch, _run_id(batch), number, spread))
 
     return write_batch
 
@@ -56,6 +67,8 @@ def splitting_writer(
     write_rejects: WriteBatch,
     accept: Callable[[DataFrame], DataFrame],
     spread: Spread | None = None,
+    on_count: OnCount = _log_count,
+    on_rejects: OnCount = _log_rejects,
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
 ) -> Callable[[DataFrame, int], None]:
     """Rows without ``reject_reason`` go through ``accept`` to ``write``, others aside.
@@ -70,8 +83,9 @@ def splitting_writer(
         batch.persist(storage)
         try:
             good = accept(batch.where(F.col("reject_reason").isNull()))
-            write(spread(good) if spread else good, run, number)
-            write_rejects(batch.where(F.col("reject_reason").isNotNull()), run, number)
+            on_count(number, _write_counted(write, good, run, number, spread))
+            rejects = batch.where(F.col("reject_reason").isNotNull())
+            on_rejects(number, _write_counted(write_rejects, rejects, run, number, None))
         finally:
             batch.unpersist()
 

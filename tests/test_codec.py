@@ -100,6 +100,17 @@ def test_agrees_with_another_json_library(spark, rows):
         assert tuple(json.loads(bytes(row.ours)).values()) == want
 
 
+def test_what_json_has_no_number_for(spark):
+    """NaN and infinities survive, as other libraries write them and as ours does."""
+    theirs = json.dumps({"upvote_ratio": float("nan"), "created_utc": float("-inf")}).encode()
+    df = spark.createDataFrame([(bytearray(theirs),)], "value BINARY")
+    decoded = df.select(decode_record(F.col("value")).alias("j")).select("j.*")
+    again = decoded.select(encode_record().alias("value"))
+    for record in (decoded, again.select(decode_record(F.col("value")).alias("j")).select("j.*")):
+        row = record.first()
+        assert row.upvote_ratio != row.upvote_ratio and row.created_utc == float("-inf")
+
+
 def test_nulls_are_written_out(spark):
     df = spark.createDataFrame([(None,) * len(WIRE_TYPES)], ddl(WIRE_TYPES))
     text = df.select(encode_record()).first()[0].decode()

@@ -210,6 +210,21 @@ def test_split(spark, work, topic):
     assert "reject_reason" not in spark.read.parquet(f"{work}/out").columns
 
 
+def test_split_counts_both_sides(spark, work, topic):
+    flagged = topic().withColumn("reject_reason", F.expr("IF(partition = 0, 'zero', NULL)"))
+    counts = {}
+    splitter = splitting_writer(
+        replace_in_folder(f"{work}/out"),
+        replace_in_folder(f"{work}/rejects"),
+        lambda good: good,
+        on_count=lambda number, rows: counts.update(rows=rows),
+        on_rejects=lambda number, rows: counts.update(rejects=rows),
+    )
+    drain(flagged, splitter, f"{work}/checkpoint")
+    zero = envelope(spark).where("partition = 0").count()
+    assert counts == {"rows": N - zero, "rejects": zero}
+
+
 def test_one_folder_for_rows_and_rejects(spark, work, topic):
     damaged = topic().withColumn("value", F.expr(JUNK_IN_PARTITION_0))
     query = start_folder_ingest(damaged, f"{work}/out", f"{work}/checkpoint", trigger=ALL_NOW)

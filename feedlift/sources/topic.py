@@ -16,7 +16,7 @@ from feedlift.sources.feed import read_feed
 # more than the others over several tasks.
 KAFKA_DEFAULTS = {
     "startingOffsets": "latest",
-    "maxOffsetsPerTrigger": "50000000",
+    "maxOffsetsPerTrigger": "1000000000",
     "maxRecordsPerPartition": "500000",
 }
 

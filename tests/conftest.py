@@ -16,8 +16,13 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory) -> SparkSession:
     shared = str(tmp_path_factory.mktemp("shared"))
-    conf = {"spark.checkpoint.dir": shared, "spark.sql.warehouse.dir": f"{shared}/warehouse"}
-    session = local_session(8, "tests", **conf)
+    conf = {
+        "spark.checkpoint.dir": shared,
+        "spark.sql.warehouse.dir": f"{shared}/warehouse",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    # As on a cluster, a task may fail three times before its job does.
+    session = local_session("8,4", "tests", **conf)
     # Streams started and lost on purpose would fill the output with stack traces.
     session.sparkContext.setLogLevel("OFF")
     yield session

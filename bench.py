@@ -31,6 +31,7 @@ HEADLINE = [
     "topic_envelope",
     "topic_publish_stream",
     "src_stream_scan",
+    "src_topic_scan",
     "stream_foreach_batch",
     "stream_micro_batches",
     "stream_resume",

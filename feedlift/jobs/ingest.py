@@ -20,7 +20,7 @@ from feedlift.operators.placement import rebalance
 from feedlift.session import shared_root
 from feedlift.sinks.table import append_to, replace_in_folder
 from feedlift.sources.topic import kafka_source_options, read_topic
-from feedlift.streaming.ingest import start_ingest, start_table_ingest
+from feedlift.streaming.ingest import start_folder_ingest, start_ingest, start_table_ingest
 from feedlift.streaming.run import skip_existing
 
 SPREADS = {"none": None, "rebalance": rebalance(), "key": rebalance("subreddit")}
@@ -38,11 +38,16 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--provider", default="parquet", help="of a new table; '' for none")
     parser.add_argument("--location", help="of a new table")
     parser.add_argument("--at-least-once", action="store_true", help="append to the table")
+    parser.add_argument(
+        "--outcomes", action="store_true", help="folder: rows and rejects apart, in one pass"
+    )
     parser.add_argument("--skip-existing", action="store_true", help="files: start behind them")
     parser.add_argument("--skip-empty", action="store_true")
     parser.add_argument("--spread", choices=SPREADS, default="none")
     add_running(parser)
     arguments = parser.parse_args(argv)
+    if arguments.outcomes and (arguments.rejects or arguments.skip_empty or not arguments.folder):
+        parser.error("--outcomes goes with --folder, without --rejects or --skip-empty")
     arguments.topic = topic_options(parser, arguments, "kafka.bootstrap.servers", "subscribe")
     return arguments
 
@@ -61,12 +66,14 @@ def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
         skip_existing(whole.transform(read_posts), checkpoint)
     envelope = read_topic(spark, fmt, options)
     how = {
-        "write_rejects": replace_in_folder(arguments.rejects) if arguments.rejects else None,
         "spread": SPREADS[arguments.spread],
         "trigger": trigger(arguments),
-        "skip_empty": arguments.skip_empty,
         "name": f"ingest {target}",
     }
+    if arguments.outcomes:
+        return start_folder_ingest(envelope, arguments.folder, checkpoint, **how)
+    how["write_rejects"] = replace_in_folder(arguments.rejects) if arguments.rejects else None
+    how["skip_empty"] = arguments.skip_empty
     if arguments.table:
         return start_table_ingest(
             spark,

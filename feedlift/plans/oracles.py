@@ -121,6 +121,13 @@ _GAPS = """concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'score' END,
                  CASE WHEN event_id % 23 = 0 THEN 'upvote_ratio' END,
                  CASE WHEN event_id % 17 = 0 THEN 'created_utc' END)"""
 
+_ENVELOPE = f"""
+SELECT CAST(NULL AS VARCHAR) AS key, 'posts' AS topic, kafka_partition AS "partition",
+       kafka_offset AS "offset", kafka_timestamp AS "timestamp",
+       CAST(0 AS INTEGER) AS "timestampType", CAST(1 AS INTEGER) AS has_value
+FROM ({EVENTS})
+"""
+
 _OUTCOMES = f"""
 SELECT kafka_partition, kafka_offset, {_REPAIRS["id"]} AS id,
        CASE WHEN {_LOST} OR n % 12 IN (1, 8) THEN 'unreadable'
@@ -161,17 +168,14 @@ ORACLES: dict[str, str] = {
                      date_trunc('second', l_shipdate + to_milliseconds(l_linenumber * 750))
                          AS shipped_utc
               FROM lineitem)""",
-    "topic_envelope": f"""
-        SELECT CAST(NULL AS VARCHAR) AS key, 'posts' AS topic, kafka_partition AS "partition",
-               kafka_offset AS "offset", kafka_timestamp AS "timestamp",
-               CAST(0 AS INTEGER) AS "timestampType"
-        FROM ({EVENTS})""",
+    "topic_envelope": _ENVELOPE,
     "topic_publish_stream": _target(EVENTS),
     "topic_publish_rejects": f"""
         SELECT CAST(event_id AS VARCHAR) AS id,
                CASE WHEN {_GAPS} = '' THEN 'sent' ELSE {_GAPS} END AS outcome
         FROM events""",
     "src_stream_scan": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+    "src_topic_scan": _ENVELOPE,
     "src_skip_existing": _target(DOCUMENTS),
     "stream_foreach_batch": _target(EVENTS),
     "stream_micro_batches": _target(EVENTS, DOCUMENTS, PAGES, CONVERSATIONS),

@@ -126,20 +126,26 @@ def json_encode_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("json.id", "json.selftext", wide.cast("int").alias("wide_bytes"))
 
 
-def topic_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages appended to a topic, and the envelope it then holds."""
-    path = fresh_folder(spark, "topic")
-    _publish(spark, sf_dir, path, "events")
-    return read_topic(spark, "parquet", {"path": path}, stream=False).select(
+def _envelope_columns(topic: DataFrame) -> DataFrame:
+    """All of an envelope but its value, which is compared decoded elsewhere."""
+    return topic.select(
         F.col("key").cast("string").alias("key"),
         "topic",
         "partition",
         "offset",
         instant_to_utc(F.col("timestamp")).alias("timestamp"),
         "timestampType",
+        F.col("value").isNotNull().cast("int").alias("has_value"),
     )
 
 
+def topic_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages appended to a topic, and the envelope it then holds."""
+    path = fresh_folder(spark, "topic")
+    _publish(spark, sf_dir, path, "events")
+    return _envelope_columns(read_topic(spark, "parquet", {"path": path}, stream=False))
+
+
 def topic_publish_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feed streamed into a topic, and the topic's posts."""
     work = fresh_folder(spark, "publish")
@@ -281,6 +287,15 @@ def src_stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(feed.schema).parquet(f"{work}/out").select(feed.columns)
 
 
+def src_topic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic scanned as a stream, its envelope as it is."""
+    work = fresh_folder(spark, "scan")
+    _publish(spark, sf_dir, f"{work}/topic", "events")
+    topic = _topic(spark, f"{work}/topic")
+    drain(topic, batch_writer(replace_in_folder(f"{work}/out")), f"{work}/checkpoint")
+    return _envelope_columns(spark.read.schema(topic.schema).parquet(f"{work}/out"))
+
+
 def src_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a topic held before the first start is skipped, what follows is not."""
     work = fresh_folder(spark, "latest")
@@ -484,6 +499,7 @@ QUERIES: dict[str, Query] = {
     "topic_publish_stream": topic_publish_stream,
     "topic_publish_rejects": topic_publish_rejects,
     "src_stream_scan": src_stream_scan,
+    "src_topic_scan": src_topic_scan,
     "src_skip_existing": src_skip_existing,
     "stream_foreach_batch": stream_foreach_batch,
     "stream_micro_batches": stream_micro_batches,

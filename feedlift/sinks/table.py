@@ -4,6 +4,9 @@ A batch may be handed over twice: a job that fails after the write and before
 the commit runs that batch again.  The ``append_*`` writers then append twice;
 the ``replace_*`` writers put each batch in a place of its own and overwrite it,
 so that what a reader sees is exact.
+
+Spark's writers of plain files share a work folder per table: let one stream
+write such a table.  Batches that are folders of their own do not share it.
 """
 
 from __future__ import annotations

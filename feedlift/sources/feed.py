@@ -8,6 +8,9 @@ from pyspark.sql.types import StructType
 
 # What one batch takes of a backlog unless told otherwise, in bytes of files.
 BACKLOG_BYTES = 512 * 1024**3
+# Spark passes over files dated this long before the newest it has seen.  Its own
+# week would lose files that are copied with their old dates.
+FILE_AGE = "3650d"
 
 
 def read_feed(
@@ -23,11 +26,14 @@ def read_feed(
     A stream's batches are bounded, so that one lost with the driver is soon
     done again; the rest of a backlog waits for later batches.  Set the bound
     with ``maxBytesPerTrigger`` (None for no bound) or ``maxFilesPerTrigger``.
+    Every file is taken once, however old its date; where so many arrive that
+    their list outgrows the driver, lower ``maxFileAge`` to what can be late.
     """
     if not stream:
         return spark.read.format(fmt).schema(schema).options(**options).load(path)
     if "maxFilesPerTrigger" not in options:
         options.setdefault("maxBytesPerTrigger", BACKLOG_BYTES)
+    options.setdefault("maxFileAge", FILE_AGE)
     options = {name: value for name, value in options.items() if value is not None}
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 

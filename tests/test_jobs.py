@@ -23,6 +23,7 @@ BROKER = ["--topic-option", "kafka.bootstrap.servers=h:1"]
         (ingest.parse, ["--table", "t", "--topic-format", "parquet"], "path"),
         (ingest.parse, ["--table", "t", "--folder", "f"], "not allowed"),
         (ingest.parse, ["--table", "t", "--topic-option", "nonsense"], "name=value"),
+        (ingest.parse, ["--table", "t", "--outcomes", *BROKER], "--folder"),
         (publish.parse, ["--feed", "f", *BROKER], "missing --topic-option: topic"),
         (publish.parse, [], "--feed"),
     ],
@@ -112,6 +113,7 @@ def test_unusable_posts_go_aside(spark, tmp_path):
     [
         ["--folder", "{}/out"],
         ["--folder", "{}/out", "--spread", "rebalance"],
+        ["--folder", "{}/out", "--outcomes"],
         ["--folder", "{}/out", "--spread", "key", "--skip-empty"],
         ["--sink-format", "parquet", "--sink-option", "path={}/out"],
     ],

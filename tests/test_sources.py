@@ -1,5 +1,6 @@
 """Options of the broker, paths of feeds, and the shared folder."""
 
+import os
 import types
 
 import pytest
@@ -83,6 +84,23 @@ def test_the_bound_on_a_batch(spark, tmp_path):
         assert len(seen) == batches
 
 
+@pytest.mark.parametrize(("options", "batches"), [({}, 3), ({"maxFileAge": "7d"}, 2)])
+def test_a_file_with_an_old_date_is_not_lost(spark, tmp_path, options, batches):
+    """Copied months late with its date kept, it is read, unless files may be forgotten."""
+    path, checkpoint = tmp_path / "feed", str(tmp_path / "checkpoint")
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    counts = []
+    for days in (0, 200, 0):
+        before = set(path.glob("*.parquet"))
+        events.write.mode("append").parquet(str(path))
+        for new in set(path.glob("*.parquet")) - before:
+            date = new.stat().st_mtime - days * 86_400
+            os.utime(new, (date, date))
+        feed = read_feed(spark, str(path), events.schema, **options)
+        drain(feed, lambda batch, number: counts.append(batch.count()), checkpoint)
+    assert counts == [events.count()] * batches
+
+
 def test_the_cluster_names_the_shared_folder(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
     one, other = fresh_folder(spark, "x"), fresh_folder(spark, "x")

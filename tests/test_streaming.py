@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from feedlift.operators.messages import read_posts
-from feedlift.operators.placement import by_key
+from feedlift.operators.placement import by_key, rebalance
 from feedlift.plans.feeds import events_feed
 from feedlift.schema import TARGET_COLUMNS, ddl, target_read_types
 from feedlift.sinks.table import BATCH, RUN, append_to, replace_in_folder
@@ -189,6 +189,18 @@ def test_spread_before_the_write(spark, work, topic):
     assert files.count() == files.select("subreddit").distinct().count()
 
 
+def test_adaptive_execution_applies_within_a_batch(work, topic):
+    """What ``rebalance`` relies on."""
+    plans = []
+
+    def look(batch, number):
+        spread = batch.transform(rebalance("subreddit"))
+        plans.append(spread._jdf.queryExecution().executedPlan().toString())
+
+    drain(topic().transform(read_posts), look, f"{work}/checkpoint")
+    assert "AdaptiveSparkPlan" in plans[0] and "REBALANCE_PARTITIONS_BY_COL" in plans[0]
+
+
 def test_split(spark, work, topic):
     damaged = topic().withColumn("value", F.expr(JUNK_IN_PARTITION_0))
     query = start_ingest(

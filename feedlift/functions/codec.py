@@ -34,8 +34,12 @@ def decode_record(value: Column, keep_corrupt: bool = False) -> Column:
     Unreadable text gives a struct of NULLs, a field of the wrong type nulls
     only itself, and an empty or NULL value gives a NULL struct.  With
     ``keep_corrupt`` the text of a message that lost anything is kept beside.
+
+    ``from_json`` is not compiled, and neither is what Catalyst folds into it.
+    Asking for ``value`` twice keeps the step that made it out, and compiled.
     """
-    if not keep_corrupt:
-        return F.from_json(message_text(value), ddl(WIRE_TYPES))
-    schema = ddl(WIRE_TYPES | {CORRUPT: "STRING"})
-    return F.from_json(message_text(value), schema, {"columnNameOfCorruptRecord": CORRUPT})
+    schema, options = ddl(WIRE_TYPES), {}
+    if keep_corrupt:
+        schema = ddl(WIRE_TYPES | {CORRUPT: "STRING"})
+        options = {"columnNameOfCorruptRecord": CORRUPT}
+    return F.when(value.isNotNull(), F.from_json(message_text(value), schema, options))

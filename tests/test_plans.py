@@ -35,6 +35,14 @@ def test_a_message_is_parsed_once(spark, name):
     assert plan(QUERIES[name](spark, SMALL)).count("from_json(") == 1
 
 
+def test_only_the_parsing_is_not_compiled(spark):
+    """Whole-stage code generation, marked by a star, spans what is around it."""
+    text = plan(QUERIES["flatten_typed"](spark, SMALL))
+    projects = [line for line in text.split("\n") if "Project [" in line]
+    assert ["from_json(" in line for line in projects] == [False, True, False]
+    assert ["*(" in line for line in projects] == [True, False, True]
+
+
 def test_only_needed_columns_are_read(spark):
     shipped = QUERIES["epoch_shipdates"](spark, SMALL)
     assert scanned(shipped) == (

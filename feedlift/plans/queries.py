@@ -21,7 +21,6 @@ from feedlift.functions.epoch import (
 from feedlift.operators.messages import (
     decode_messages,
     encode_messages,
-    flatten_posts,
     read_posts,
     with_lineage,
 )

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from feedlift.schema import ENVELOPE_TYPES, ddl
 from feedlift.sources.feed import read_feed
 
-
 # Unless told otherwise: skip what the topic held before the first start (after
 # that the checkpoint decides), bound what one batch takes of a backlog (the
 # rest waits for later batches), and split a topic partition that holds far
@@ -25,7 +24,8 @@ def kafka_source_options(servers: str, topic: str, **options: object) -> dict[st
     """Options for ``format("kafka")``; those given win over the defaults, None drops one.
 
     Any of Kafka's may be given, such as ``failOnDataLoss`` or, in a dictionary,
-    ``kafka.security.protocol``.
+    ``kafka.security.protocol``.  A batch read has no end to start from: give it
+    ``startingOffsets="earliest"``.
     """
     chosen = {
         "kafka.bootstrap.servers": servers,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from feedlift.llm.line_dedup import op5_line_dedup
 from feedlift.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {}

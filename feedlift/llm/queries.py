@@ -5,12 +5,14 @@ from __future__ import annotations
 from feedlift.llm.decontaminate import op2_decontaminate
 from feedlift.llm.licenses import op1_license_scan
 from feedlift.llm.line_dedup import op5_line_dedup
+from feedlift.llm.packing import op6_packing
 from feedlift.llm.simhash import op8_simhash
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {}

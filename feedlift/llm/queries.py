@@ -15,10 +15,12 @@ from feedlift.llm.quality import op9_quality
 from feedlift.llm.simhash import op8_simhash
 from feedlift.llm.spotsigs import op7_spotsigs
 from feedlift.llm.token_counts import op10_token_counts
+from feedlift.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
+    "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,

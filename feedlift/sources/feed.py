@@ -9,8 +9,9 @@ from pyspark.sql.types import StructType
 # What one batch takes of a backlog unless told otherwise, in bytes of files.
 BACKLOG_BYTES = 512 * 1024**3
 # Spark passes over files dated this long before the newest it has seen.  Its own
-# week would lose files that are copied with their old dates.
-FILE_AGE = "3650d"
+# week would lose files that are copied with their old dates; a hundred years reach
+# behind 1970, the oldest date a file has.
+FILE_AGE = "36525d"
 
 
 def read_feed(
@@ -27,7 +28,8 @@ def read_feed(
     done again; the rest of a backlog waits for later batches.  Set the bound
     with ``maxBytesPerTrigger`` (None for no bound) or ``maxFilesPerTrigger``.
     Every file is taken once, however old its date; where so many arrive that
-    their list outgrows the driver, lower ``maxFileAge`` to what can be late.
+    listing them for each batch takes long, have finished ones moved away with
+    ``cleanSource`` and ``sourceArchiveDir``.
     """
     if not stream:
         return spark.read.format(fmt).schema(schema).options(**options).load(path)

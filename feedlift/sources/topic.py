@@ -49,6 +49,8 @@ def read_topic(
     """
     options = dict(options or {})
     if fmt != "kafka":
+        # The folders in which batches stand are no columns of a message.
+        options.setdefault("recursiveFileLookup", "true")
         return read_feed(spark, options.pop("path"), ddl(ENVELOPE_TYPES), stream, fmt, **options)
     reader = spark.readStream if stream else spark.read
     return reader.format(fmt).options(**options).load()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -45,29 +46,71 @@ def drain(
     return query
 
 
+def _last_file(spark: SparkSession, folder: str) -> int:
+    """The largest number that names a file below ``folder``; -1 if there is none."""
+    try:
+        files = spark.read.format("binaryFile").load(folder).select("path")
+        name = F.element_at(F.split("path", "/"), -1).try_cast("bigint")
+        return files.agg(F.coalesce(F.max(name), F.lit(-1))).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+
+
 def has_progress(spark: SparkSession, checkpoint: str) -> bool:
     """Whether a stream with this checkpoint has ever committed a batch."""
-    commits = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
-    files = commits.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(commits):
+    return _last_file(spark, f"{checkpoint}/commits") >= 0
+
+
+def _marked(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.schema("done INT").json(path).isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
-    return any(status.getPath().getName().isdigit() for status in files.listStatus(commits))
 
 
-def skip_existing(
-    rows: DataFrame, checkpoint: str, start: Callable[[DataFrame], StreamingQuery] | None = None
-) -> None:
-    """Record all that is there now as seen, so that the stream starts behind it.
+def _mark(spark: SparkSession, path: str) -> None:
+    spark.sql("SELECT 1 AS done").write.mode("overwrite").json(path)
+
 
-    On a restart this does nothing: what came meanwhile is not skipped.  Read
-    ``rows`` without a bound, for one batch that is committed without being
-    read; the cost is that of listing the source.  Give ``start`` for a sink
-    that keeps a log of its own, such as files: it is handed the stream without
-    its rows.  Kafka has ``startingOffsets`` instead.
+class _BehindSkip(Exception):
+    """A batch that is not the skip's: the stream itself will write it."""
+
+
+def skip_existing(rows: DataFrame, checkpoint: str) -> None:
+    """Record all that is there at the first start as seen, so that the stream starts behind it.
+
+    The decision is kept with the checkpoint: ``skip_begun`` and ``skip_done`` beside Spark's
+    own folders.  Once it is done nothing is skipped again, also where there was
+    nothing to skip, or where a first batch was planned and never written.  A skip
+    that was lost half way is finished, and takes only the batches it had planned; what
+    came since is left to the stream, which also runs the batch that may be planned
+    for it.  A checkpoint that a stream without a skip has used is left as it is.
+
+    Read ``rows`` without a bound, for one batch that is committed without being
+    read; the cost is that of listing the source.  Kafka has ``startingOffsets`` instead.
     """
-    if has_progress(rows.sparkSession, checkpoint):
+    spark = rows.sparkSession
+    begun, done = f"{checkpoint}/skip_begun", f"{checkpoint}/skip_done"
+    if _marked(spark, done):
+        return
+    planned = _last_file(spark, f"{checkpoint}/offsets")
+    again = _marked(spark, begun)
+    if planned >= 0 and not again:
         return
-    if start is None:
-        drain(rows, lambda batch, number: None, checkpoint)
-    else:
-        start(rows.where(F.lit(False))).awaitTermination()
+    _mark(spark, begun)
+
+    def skip(batch: DataFrame, number: int) -> None:
+        if again and number > planned:
+            raise _BehindSkip(f"batch {number} is behind the skip")
+
+    try:
+        if not again or planned >= 0:
+            drain(rows, skip, checkpoint)
+    except StreamingQueryException as ended:
+        if _BehindSkip.__name__ not in str(ended):
+            raise
+    _mark(spark, done)

@@ -84,23 +84,39 @@ def test_the_bound_on_a_batch(spark, tmp_path):
         assert len(seen) == batches
 
 
-@pytest.mark.parametrize(("options", "batches"), [({}, 3), ({"maxFileAge": "7d"}, 2)])
-def test_a_file_with_an_old_date_is_not_lost(spark, tmp_path, options, batches):
+@pytest.mark.parametrize(
+    ("days", "options", "batches"),
+    [(200, {}, 3), (100_000, {}, 3), (200, {"maxFileAge": "7d"}, 2)],
+)
+def test_a_file_with_an_old_date_is_not_lost(spark, tmp_path, days, options, batches):
     """Copied months late with its date kept, it is read, unless files may be forgotten."""
     path, checkpoint = tmp_path / "feed", str(tmp_path / "checkpoint")
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     counts = []
-    for days in (0, 200, 0):
+    for days in (0, days, 0):
         before = set(path.glob("*.parquet"))
         events.write.mode("append").parquet(str(path))
         for new in set(path.glob("*.parquet")) - before:
-            date = new.stat().st_mtime - days * 86_400
+            date = max(0, new.stat().st_mtime - days * 86_400)
             os.utime(new, (date, date))
         feed = read_feed(spark, str(path), events.schema, **options)
         drain(feed, lambda batch, number: counts.append(batch.count()), checkpoint)
     assert counts == [events.count()] * batches
 
 
+def test_finished_files_move_to_the_archive(spark, tmp_path):
+    path, archive = tmp_path / "feed", tmp_path / "archive"
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    clean = {"cleanSource": "archive", "sourceArchiveDir": str(archive)}
+    counts = []
+    for _ in range(3):
+        events.write.mode("append").parquet(str(path))
+        feed = read_feed(spark, str(path), events.schema, **clean)
+        drain(feed, lambda batch, number: counts.append(batch.count()), str(tmp_path / "checkpoint"))
+    assert counts == [events.count()] * 3
+    assert list(archive.rglob("*.parquet"))
+
+
 def test_the_cluster_names_the_shared_folder(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
     one, other = fresh_folder(spark, "x"), fresh_folder(spark, "x")

@@ -18,8 +18,8 @@ def or_unknown(author: Column) -> Column:
 
 
 def to_whole(number: Column) -> Column:
-    """A number as INT, truncated toward zero; NULL where it has no such value."""
-    return number.try_cast("int")
+    """A number as BIGINT, truncated toward zero; NULL where it has no such value."""
+    return number.try_cast("bigint")
 
 
 def to_real(number: Column) -> Column:
@@ -27,6 +27,5 @@ def to_real(number: Column) -> Column:
 
 
 def lacks_whole(number: Column) -> Column:
-    """True where no whole number exists at all: NULL, NaN or infinite."""
-    real = to_real(number)
-    return real.isNull() | F.isnan(real) | (F.abs(real) == F.lit(float("inf")))
+    """True where there is no whole number to send: NULL, NaN, infinite or beyond BIGINT."""
+    return to_whole(number).isNull()

@@ -70,22 +70,27 @@ def splitting_writer(
     on_count: OnCount = _log_count,
     on_rejects: OnCount = _log_rejects,
     storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    skip_empty: bool = False,
 ) -> Callable[[DataFrame, int], None]:
     """Rows without ``reject_reason`` go through ``accept`` to ``write``, others aside.
 
     Two writes need the batch twice, so it is kept between them, spilling to
     disk, and released in any case.  Blocks lost with an executor are computed
-    again from the source.
+    again from the source.  Rejects go first: give a ``write_rejects`` that replaces
+    its batch, and only the failure of ``write`` itself can repeat rows of an append.
     """
 
     def write_batch(batch: DataFrame, number: int) -> None:
         run = _run_id(batch)
         batch.persist(storage)
         try:
-            good = accept(batch.where(F.col("reject_reason").isNull()))
-            on_count(number, _write_counted(write, good, run, number, spread))
+            if skip_empty and batch.isEmpty():
+                log.info("batch %d: empty, not written", number)
+                return
             rejects = batch.where(F.col("reject_reason").isNotNull())
             on_rejects(number, _write_counted(write_rejects, rejects, run, number, None))
+            good = accept(batch.where(F.col("reject_reason").isNull()))
+            on_count(number, _write_counted(write, good, run, number, spread))
         finally:
             batch.unpersist()
 

@@ -1,6 +1,6 @@
 """Defaults, conversions and what cannot be converted."""
 
-from feedlift.operators.normalize import flag_unusable, normalize_posts
+from feedlift.operators.normalize import REQUIRED_WHOLE, flag_unusable, normalize_posts
 from feedlift.schema import RAW_TYPES, WIRE_COLUMNS, WIRE_TYPES, ddl
 
 FULL = {
@@ -29,7 +29,8 @@ def normalized(spark, *changes):
 def test_columns_and_types(spark):
     wire = raw(spark, {}).transform(normalize_posts)
     assert wire.columns == WIRE_COLUMNS
-    assert dict(wire.dtypes) == {name: kind.lower() for name, kind in WIRE_TYPES.items()}
+    sent = WIRE_TYPES | dict.fromkeys(REQUIRED_WHOLE, "BIGINT")
+    assert dict(wire.dtypes) == {name: kind.lower() for name, kind in sent.items()}
 
 
 def test_missing_and_empty_texts_are_empty(spark):
@@ -53,8 +54,13 @@ def test_counts_are_truncated_toward_zero(spark):
     assert [r.score for r in rows] == [1, -1, 0, 0]
 
 
-def test_counts_without_an_int_value_are_null(spark):
-    odd = [3e9, -3e9, float("nan"), float("inf"), None]
+def test_counts_beyond_int_are_kept(spark):
+    rows = normalized(spark, {"score": 3e9}, {"score": -3e9})
+    assert [r.score for r in rows] == [3_000_000_000, -3_000_000_000]
+
+
+def test_counts_without_a_whole_value_are_null(spark):
+    odd = [1e300, float("nan"), float("inf"), None]
     rows = normalized(spark, *({"score": x, "num_comments": x} for x in odd))
     assert [(r.score, r.num_comments) for r in rows] == [(None, None)] * len(odd)
 
@@ -77,6 +83,7 @@ def test_unusable_posts_are_named_and_others_are_not(spark):
         ({"upvote_ratio": nan}, None),
         ({"created_utc": inf}, None),
         ({"score": 3e9}, None),
+        ({"score": 1e300}, "score"),
         # Missing texts have defaults.
         ({"title": None, "author": None, "url": None, "selftext": None}, None),
     ]

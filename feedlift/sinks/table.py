@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlift.schema import TARGET_COLUMNS, TARGET_TYPES, ddl
+from feedlift.schema import TARGET_COLUMNS, TARGET_TYPES, ddl, target_read_types
 
 # Columns that tell whose batch a row came with, in tables that replace batches.
 RUN, BATCH = "ingest_run", "ingest_batch"
@@ -31,14 +31,15 @@ def ensure_table(
     provider: str | None = "parquet",
     location: str | None = None,
     replaces_batches: bool = False,
+    bounded: bool = True,
 ) -> None:
     """Create the target table unless it is there.
 
     ``name`` may be in any catalog the session knows; give no ``provider`` for
     one that picks its own.  ``replaces_batches`` partitions the table for
-    :func:`replace_in_table`.
+    :func:`replace_in_table`.  Without ``bounded`` its texts may be of any length.
     """
-    types = dict(TARGET_TYPES)
+    types = dict(TARGET_TYPES if bounded else target_read_types())
     if replaces_batches:
         types |= {RUN: "STRING", BATCH: "BIGINT"}
     statement = f"CREATE TABLE IF NOT EXISTS {name} ({ddl(types)})"
@@ -51,6 +52,12 @@ def ensure_table(
     spark.sql(statement)
 
 
+def bounded_columns(spark: SparkSession, name: str) -> list[str]:
+    """Columns of a table that refuse texts beyond a length."""
+    rows = spark.sql(f"DESCRIBE TABLE {name}").collect()  # a row for each column
+    return [row["col_name"] for row in rows if (row["data_type"] or "").startswith(("varchar", "char"))]
+
+
 def append_to_table(name: str) -> WriteBatch:
     """Append to a catalog table; a text longer than its column fails the write."""
 
@@ -82,7 +89,9 @@ def append_to(fmt: str, **options: object) -> WriteBatch:
     return write
 
 
-def replace_in_folder(path: str, fmt: str = "parquet", by: Sequence[str] = ()) -> WriteBatch:
+def replace_in_folder(
+    path: str, fmt: str = "parquet", by: Sequence[str] = (), **options: object
+) -> WriteBatch:
     """Overwrite only this batch's folder below ``path``, with a folder per value of ``by``.
 
     The stream's id is part of the folder: batch numbers start again when a
@@ -91,6 +100,7 @@ def replace_in_folder(path: str, fmt: str = "parquet", by: Sequence[str] = ()) -
 
     def write(batch: DataFrame, run: str, number: int) -> None:
         folder = f"{path}/{RUN}={run}/{BATCH}={number}"
-        batch.write.format(fmt).partitionBy(*by).mode("overwrite").save(folder)
+        writer = batch.write.format(fmt).options(**options).partitionBy(*by)
+        writer.mode("overwrite").save(folder)
 
     return write

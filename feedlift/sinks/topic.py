@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from feedlift.schema import ENVELOPE_TYPES
-from feedlift.streaming.run import Trigger, with_trigger
+from feedlift.sinks.table import WriteBatch, replace_in_folder
+from feedlift.streaming.batches import batch_writer
+from feedlift.streaming.run import Trigger, start_batches, with_trigger
 
 # What a broker would assign to a message; a topic kept as files needs it given.
 PLACE = ("partition", "offset", "timestamp")
@@ -40,12 +42,34 @@ def stream_topic(
     options: Mapping[str, object] | None = None,
     trigger: Trigger | None = None,
 ) -> StreamingQuery:
-    """Append messages as they come; a restart goes on after the last finished batch."""
-    writer = _columns(messages, fmt).writeStream.format(fmt).options(**dict(options or {}))
+    """Append messages as they come; a restart goes on after the last finished batch.
+
+    A topic kept as files gets a folder per batch, whoever writes to it, so that
+    several streams may share it and a batch that is written again replaces itself.
+    """
+    options = dict(options or {})
+    if fmt != "kafka":
+        return start_batches(messages, batch_writer(to_file_topic(messages, fmt, options)), checkpoint, trigger)
+    writer = _columns(messages, fmt).writeStream.format(fmt).options(**options)
     writer = writer.outputMode("append").option("checkpointLocation", checkpoint)
     return with_trigger(writer, trigger).start()
 
 
+def to_file_topic(messages: DataFrame, fmt: str, options: Mapping[str, object]) -> WriteBatch:
+    """A batch writer into a topic kept as files.
+
+    A folder that Spark's own file sink has written to is refused: it holds a log, and
+    readers would see nothing that the log does not name.
+    """
+    rest = dict(options)
+    path = str(rest.pop("path"))
+    spark = messages.sparkSession
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_spark_metadata")
+    if log.getFileSystem(spark._jsc.hadoopConfiguration()).exists(log):
+        raise ValueError(f"{path} holds the log of a file sink; use another folder for the topic")
+    return replace_in_folder(path, fmt, **rest)
+
+
 def place_as_files(messages: DataFrame, topic: str) -> DataFrame:
     """Messages in the full envelope, for a topic kept as files.
 

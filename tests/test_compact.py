@@ -1,0 +1,76 @@
+"""Compaction of an exact table: every row once, wherever it is interrupted."""
+
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedlift.operators.messages import read_posts
+from feedlift.sinks import compact as module
+from feedlift.sinks.compact import archive_of, compact, copy_batches, read_whole
+from feedlift.sinks.table import BATCH, RUN, ensure_table, replace_in_table
+
+
+@pytest.fixture
+def table(spark, envelopes):
+    """Five batches of one run and one of another, a row each."""
+    name = f"posts_{uuid.uuid4().hex}"
+    ensure_table(spark, name, replaces_batches=True, bounded=False)
+    write = replace_in_table(name)
+    for run, number in [("one", n) for n in range(5)] + [("two", 0)]:
+        message = b'{"id":"%s-%d"}' % (run.encode(), number)
+        write(envelopes([message]).transform(read_posts), run, number)
+    return name
+
+
+ALL = [f"one-{n}" for n in range(5)] + ["two-0"]
+
+
+def ids(df):
+    return sorted(row.id for row in df.select("id").collect())
+
+
+def test_closed_batches_move(spark, table, tmp_path):
+    for last in (2, 3, 3):
+        compact(spark, table, "one", last, str(tmp_path))
+        assert ids(read_whole(spark, table)) == ALL
+    left = spark.table(table).select(RUN, BATCH).distinct().collect()
+    assert sorted(map(tuple, left)) == [("one", 4), ("two", 0)]
+    ranges = spark.table(archive_of(table)).groupBy("first_batch", "last_batch").agg(F.count("id"))
+    assert sorted(map(tuple, ranges.collect())) == [(0, 2, 3), (3, 3, 1)]
+
+
+@pytest.mark.parametrize("step", range(6))
+def test_interrupted_anywhere(spark, table, tmp_path, monkeypatch, step):
+    """The statement that changes something number ``step`` is never run."""
+    module.ensure_archive(spark, table)
+    left = [step]
+
+    class Lost(Exception):
+        pass
+
+    class Session:
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+        def sql(self, statement):
+            if statement.startswith("ALTER"):
+                if left[0] == 0:
+                    raise Lost
+                left[0] -= 1
+            return spark.sql(statement)
+
+    if step < 5:
+        with pytest.raises(Lost):
+            compact(Session(), table, "one", 3, str(tmp_path))
+    else:
+        compact(Session(), table, "one", 3, str(tmp_path))
+    assert ids(read_whole(spark, table)) == ALL
+    compact(spark, table, "one", 3, str(tmp_path))
+    assert ids(read_whole(spark, table)) == ALL
+    assert spark.table(table).count() == 2
+
+
+def test_nothing_to_copy(spark, table, tmp_path):
+    assert not copy_batches(spark, table, "three", 9, str(tmp_path))
+    assert ids(read_whole(spark, table)) == ALL

@@ -14,16 +14,26 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from feedlift.jobs.arguments import add_options, add_running, topic_options, trigger
+from feedlift.jobs.arguments import (
+    add_options,
+    add_running,
+    checkpoint,
+    clean_source,
+    topic_options,
+    trigger,
+)
 from feedlift.operators.messages import read_posts
-from feedlift.operators.placement import rebalance
-from feedlift.session import shared_root
+from feedlift.operators.placement import Spread, by_key, rebalance
 from feedlift.sinks.table import append_to, replace_in_folder
 from feedlift.sources.topic import kafka_source_options, read_topic
 from feedlift.streaming.ingest import start_folder_ingest, start_ingest, start_table_ingest
 from feedlift.streaming.run import skip_existing
 
-SPREADS = {"none": None, "rebalance": rebalance(), "key": rebalance("subreddit")}
+SPREADS = ("none", "rebalance", "key", "fixed")
+PARTITIONS = 6
+# Table formats whose partitions are folders of files, as many as there are batches.
+PLAIN_FILES = ("parquet", "orc", "csv", "json", "avro", "text")
+ONE_PASS = ""
 
 
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -35,6 +45,9 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     target.add_argument("--folder", help="folder of parquet files")
     target.add_argument("--sink-format", help="any other data source, at least once")
     add_options(parser, "--sink-option", "option of the sink's format")
+    parser.add_argument(
+        "--look-first", action="store_true", help="sink: must be readable before the stream starts"
+    )
     parser.add_argument("--provider", default="parquet", help="of a new table; '' for none")
     parser.add_argument("--location", help="of a new table")
     parser.add_argument("--at-least-once", action="store_true", help="append to the table")
@@ -43,52 +56,101 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     )
     parser.add_argument("--skip-existing", action="store_true", help="files: start behind them")
     parser.add_argument("--skip-empty", action="store_true")
-    parser.add_argument("--spread", choices=SPREADS, default="none")
-    add_running(parser)
+    parser.add_argument(
+        "--lengths",
+        choices=["unbounded", "enforce"],
+        default="unbounded",
+        help="of a new table's texts; to enforce them, longer ones need --rejects",
+    )
+    parser.add_argument(
+        "--spread",
+        choices=SPREADS,
+        help="where rows go before a write; fixed: by community, into --partitions; "
+        "by default none, or rebalance where a batch is a partition of a table",
+    )
+    parser.add_argument("--partitions", type=int, default=PARTITIONS)
+    add_running(parser, rejects_here=True)
     arguments = parser.parse_args(argv)
-    if arguments.outcomes and (arguments.rejects or arguments.skip_empty or not arguments.folder):
-        parser.error("--outcomes goes with --folder, without --rejects or --skip-empty")
+    if arguments.outcomes and (arguments.rejects or not arguments.folder):
+        parser.error("--outcomes goes with --folder, without a folder of --rejects")
+    if arguments.rejects == ONE_PASS:
+        if not arguments.folder:
+            parser.error("--rejects needs a folder, but with --folder")
+        arguments.outcomes, arguments.rejects = True, None
+    if arguments.lengths == "enforce" and not arguments.rejects:
+        parser.error("--lengths enforce needs --rejects: a long text would stop the job for good")
+    exact = arguments.table and not arguments.at_least_once
+    unpaced = not (arguments.every or arguments.all_now)
+    if exact and unpaced and arguments.provider in PLAIN_FILES:
+        parser.error(
+            "every batch becomes a partition of the table: give --every or --all-now, "
+            "or --at-least-once"
+        )
+    if arguments.spread is None:
+        arguments.spread = "rebalance" if exact and arguments.provider in PLAIN_FILES else "none"
     arguments.topic = topic_options(parser, arguments, "kafka.bootstrap.servers", "subscribe")
     return arguments
 
 
+def spread(arguments: argparse.Namespace) -> Spread | None:
+    """Rows of a community together and in a fixed number of partitions, or as told."""
+    return {
+        "none": None,
+        "rebalance": rebalance(),
+        "key": rebalance("subreddit"),
+        "fixed": by_key("subreddit", arguments.partitions, salts=1),
+    }[arguments.spread]
+
+
 def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
     target = arguments.table or arguments.folder or arguments.sink_format
-    label = "".join(c if c.isalnum() else "-" for c in target)
-    checkpoint = arguments.checkpoint or f"{shared_root(spark)}/ingest-{label}"
     fmt, options = arguments.topic_format, dict(arguments.topic)
+    kind = "table" if arguments.table else "folder" if arguments.folder else "sink"
+    place = checkpoint(
+        spark, arguments, "ingest", fmt, options, kind, target, dict(arguments.sink_option)
+    )
     if fmt == "kafka":
         servers, topic = options.pop("kafka.bootstrap.servers"), options.pop("subscribe")
         options = kafka_source_options(servers, topic, **options)
-    elif arguments.skip_existing:
-        no_bound = {"maxBytesPerTrigger": None, "maxFilesPerTrigger": None}
-        whole = read_topic(spark, fmt, options | no_bound)
-        skip_existing(whole.transform(read_posts), checkpoint)
+    else:
+        if arguments.skip_existing:
+            no_bound = {"maxBytesPerTrigger": None, "maxFilesPerTrigger": None}
+            whole = read_topic(spark, fmt, options | no_bound)
+            skip_existing(whole.transform(read_posts), place)
+        options |= clean_source(arguments)
     envelope = read_topic(spark, fmt, options)
     how = {
-        "spread": SPREADS[arguments.spread],
+        "spread": spread(arguments),
         "trigger": trigger(arguments),
         "name": f"ingest {target}",
     }
+    how["skip_empty"] = arguments.skip_empty
     if arguments.outcomes:
-        return start_folder_ingest(envelope, arguments.folder, checkpoint, **how)
+        return start_folder_ingest(envelope, arguments.folder, place, **how)
     how["write_rejects"] = replace_in_folder(arguments.rejects) if arguments.rejects else None
-    how["skip_empty"] = arguments.skip_empty
     if arguments.table:
         return start_table_ingest(
             spark,
             envelope,
             arguments.table,
-            checkpoint,
+            place,
             exact=not arguments.at_least_once,
             provider=arguments.provider or None,
             location=arguments.location,
+            bounded=arguments.lengths == "enforce",
             **how,
         )
     if arguments.folder:
-        return start_ingest(envelope, checkpoint, replace_in_folder(arguments.folder), **how)
-    write = append_to(arguments.sink_format, **dict(arguments.sink_option))
-    return start_ingest(envelope, checkpoint, write, **how)
+        return start_ingest(envelope, place, replace_in_folder(arguments.folder), **how)
+    options = dict(arguments.sink_option)
+    write = append_to(arguments.sink_format, **options)
+
+    def prepare() -> None:
+        # A first look at the target: one that cannot be reached stops the job here.
+        if arguments.look_first:
+            spark.read.format(arguments.sink_format).options(**options).load().schema  # noqa: B018
+
+    return start_ingest(envelope, place, write, prepare=prepare, **how)
 
 
 def main(argv: Sequence[str] | None = None) -> None:

@@ -11,17 +11,25 @@ import argparse
 import logging
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from feedlift.jobs.arguments import add_options, add_running, topic_options, trigger
+from feedlift.jobs.arguments import (
+    add_options,
+    add_running,
+    checkpoint,
+    clean_source,
+    topic_options,
+    trigger,
+)
+from feedlift.operators.normalize import REQUIRED_WHOLE
 from feedlift.schema import ENVELOPE_TYPES, RAW_TYPES, ddl
-from feedlift.session import shared_root
 from feedlift.sinks.table import append_to, replace_in_folder
-from feedlift.sinks.topic import PLACE, place_as_files, stream_topic
+from feedlift.sinks.topic import PLACE, place_as_files, stream_topic, to_file_topic
 from feedlift.sources.feed import read_feed
 from feedlift.streaming.ingest import posts_to_messages, start_publish
-from feedlift.streaming.run import ALL_NOW, Trigger, skip_existing
+from feedlift.streaming.run import skip_existing
 
 
 def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -31,6 +39,9 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     add_options(parser, "--feed-option", "option of the feed's format")
     parser.add_argument("--topic-format", default="kafka")
     add_options(parser, "--topic-option", "option of the topic's format")
+    parser.add_argument(
+        "--counts", help="type of the feed's counts; by default that of the files there, else BIGINT"
+    )
     parser.add_argument("--include-existing", action="store_true", help="also what is there now")
     add_running(parser)
     arguments = parser.parse_args(argv)
@@ -42,28 +53,43 @@ def _to_files(raw: DataFrame) -> DataFrame:
     return place_as_files(posts_to_messages(raw, PLACE), "posts")
 
 
+def _count_types(spark: SparkSession, arguments: argparse.Namespace) -> dict[str, str]:
+    """Files state the types of their counts, and some readers take no other."""
+    if arguments.counts:
+        return dict.fromkeys(REQUIRED_WHOLE, arguments.counts)
+    found = {}
+    try:
+        there = spark.read.format(arguments.feed_format).options(**dict(arguments.feed_option))
+        schema = there.load(arguments.feed).schema
+        found = {field.name: field.dataType.simpleString() for field in schema}
+    except AnalysisException as nothing:
+        if nothing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    return {name: found.get(name, "BIGINT") for name in REQUIRED_WHOLE}
+
+
 def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
     fmt = arguments.topic_format
     to_broker = fmt == "kafka"
     to_messages = posts_to_messages if to_broker else _to_files
-    types = RAW_TYPES | {name: ENVELOPE_TYPES[name] for name in PLACE if not to_broker}
-    checkpoint = arguments.checkpoint or f"{shared_root(spark)}/publish"
+    types = RAW_TYPES | _count_types(spark, arguments)
+    types |= {name: ENVELOPE_TYPES[name] for name in PLACE if not to_broker}
+    place = checkpoint(
+        spark, arguments, "publish", arguments.feed_format, arguments.feed, fmt, arguments.topic
+    )
 
     def feed(**options: object) -> DataFrame:
         options = {**dict(arguments.feed_option), **options}
         return read_feed(spark, arguments.feed, ddl(types), fmt=arguments.feed_format, **options)
 
-    def send(raw: DataFrame, when: Trigger | None) -> StreamingQuery:
-        if not arguments.rejects:
-            return stream_topic(raw.transform(to_messages), checkpoint, fmt, arguments.topic, when)
-        aside = replace_in_folder(arguments.rejects)
-        write = append_to(fmt, **arguments.topic)
-        return start_publish(raw, checkpoint, write, aside, to_messages, when, "publish")
-
     if not arguments.include_existing:
-        whole = feed(maxBytesPerTrigger=None, maxFilesPerTrigger=None)
-        skip_existing(whole, checkpoint, lambda nothing: send(nothing, ALL_NOW))
-    return send(feed(), trigger(arguments))
+        skip_existing(feed(maxBytesPerTrigger=None, maxFilesPerTrigger=None), place)
+    raw, when = feed(**clean_source(arguments)), trigger(arguments)
+    if not arguments.rejects:
+        return stream_topic(raw.transform(to_messages), place, fmt, arguments.topic, when)
+    write = append_to(fmt, **arguments.topic) if to_broker else to_file_topic(raw, fmt, arguments.topic)
+    aside = replace_in_folder(arguments.rejects)
+    return start_publish(raw, place, write, aside, to_messages, when, "publish")
 
 
 def main(argv: Sequence[str] | None = None) -> None:

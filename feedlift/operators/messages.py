@@ -53,7 +53,8 @@ def read_posts_flagged(envelope: DataFrame) -> DataFrame:
     """Target rows with ``reject_reason`` and, for rejects, the message in ``raw_value``.
 
     A message is rejected when it cannot be read as declared, or when a text is
-    longer than its target column.  Without this opt-in both are kept as rows.
+    longer than its target column.  Without this opt-in both are kept as rows, for which
+    the target must take texts of any length.
     """
     decoded = envelope.transform(with_lineage).transform(decode_messages, keep_corrupt=True)
     unreadable = F.col("json").isNull() | F.col(f"json.{CORRUPT}").isNotNull()

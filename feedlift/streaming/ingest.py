@@ -13,6 +13,7 @@ from feedlift.operators.placement import Spread
 from feedlift.sinks.table import (
     WriteBatch,
     append_to_table,
+    bounded_columns,
     ensure_table,
     replace_in_folder,
     replace_in_table,
@@ -68,7 +69,11 @@ def start_ingest(
         writer = batch_writer(write, spread, skip_empty=skip_empty)
         return start_batches(envelope.transform(read_posts), writer, checkpoint, trigger, name)
     splitter = splitting_writer(
-        write, write_rejects, lambda df: df.drop("reject_reason", "raw_value"), spread
+        write,
+        write_rejects,
+        lambda df: df.drop("reject_reason", "raw_value"),
+        spread,
+        skip_empty=skip_empty,
     )
     flagged = envelope.transform(read_posts_flagged)
     return start_batches(flagged, splitter, checkpoint, trigger, name)
@@ -80,6 +85,7 @@ def start_folder_ingest(
     checkpoint: str,
     spread: Spread | None = None,
     trigger: Trigger | None = None,
+    skip_empty: bool = False,
     name: str | None = None,
 ) -> StreamingQuery:
     """All messages to one folder, rows below ``outcome=row``, others ``outcome=reject``.
@@ -89,7 +95,7 @@ def start_folder_ingest(
     """
     flagged = envelope.transform(read_posts_flagged)
     outcome = F.when(F.col("reject_reason").isNull(), "row").otherwise("reject")
-    writer = batch_writer(replace_in_folder(path, by=["outcome"]), spread)
+    writer = batch_writer(replace_in_folder(path, by=["outcome"]), spread, skip_empty=skip_empty)
     rows = flagged.withColumn("outcome", outcome)
     return start_batches(rows, writer, checkpoint, trigger, name)
 
@@ -102,10 +108,16 @@ def start_table_ingest(
     exact: bool = True,
     provider: str | None = "parquet",
     location: str | None = None,
+    bounded: bool = False,
     **how: object,
 ) -> StreamingQuery:
     """:func:`start_ingest` into a catalog table, created first if need be.
 
+    A new table takes texts of any length, unless ``bounded`` gives its columns the
+    target's lengths.  One text beyond them would stop the job, again at every
+    restart: with a bounded table, new or found there, ``write_rejects`` must say
+    where such messages go, or the stream does not start.
+
     ``exact`` makes a batch that runs twice replace itself, at the price of a
     partition per batch.  Without it rows are appended, at least once each.
     A session that read the table before must ``REFRESH TABLE`` to see more:
@@ -113,7 +125,11 @@ def start_table_ingest(
     """
 
     def prepare() -> None:
-        ensure_table(spark, table, provider, location, replaces_batches=exact)
+        ensure_table(spark, table, provider, location, replaces_batches=exact, bounded=bounded)
+        if how.get("write_rejects") is None and (columns := bounded_columns(spark, table)):
+            raise ValueError(
+                f"{table} bounds the texts of {', '.join(columns)}: say where longer ones go"
+            )
 
     write = replace_in_table(table) if exact else append_to_table(table)
     return start_ingest(envelope, checkpoint, write, prepare=prepare, **how)

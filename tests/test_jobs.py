@@ -1,6 +1,9 @@
 """The command lines, end to end over files."""
 
+import os
+
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from conftest import SMALL
 from feedlift.jobs import ingest, publish
@@ -8,6 +11,7 @@ from feedlift.operators.messages import read_posts
 from feedlift.plans.feeds import events_feed
 from feedlift.plans.queries import _envelope
 from feedlift.schema import ENVELOPE_TYPES, RAW_TYPES, TARGET_COLUMNS
+from feedlift.sinks.table import ensure_table
 from feedlift.sinks.topic import PLACE
 from feedlift.sources.topic import read_topic
 
@@ -18,9 +22,13 @@ BROKER = ["--topic-option", "kafka.bootstrap.servers=h:1"]
     ("parse", "argv", "named"),
     [
         (ingest.parse, [], "--table"),
-        (ingest.parse, ["--table", "t"], "kafka.bootstrap.servers, subscribe"),
-        (ingest.parse, ["--table", "t", *BROKER], "subscribe"),
-        (ingest.parse, ["--table", "t", "--topic-format", "parquet"], "path"),
+        (ingest.parse, ["--folder", "t"], "kafka.bootstrap.servers, subscribe"),
+        (ingest.parse, ["--table", "t", "--all-now", *BROKER], "subscribe"),
+        (ingest.parse, ["--table", "t", *BROKER], "--every"),
+        (ingest.parse, ["--table", "t", "--all-now", "--rejects", *BROKER], "--rejects"),
+        (ingest.parse, ["--table", "t", "--all-now", "--lengths", "enforce", *BROKER], "--rejects"),
+        (ingest.parse, ["--folder", "f", "--outcomes", "--rejects", "r", *BROKER], "--outcomes"),
+        (ingest.parse, ["--folder", "t", "--topic-format", "parquet"], "path"),
         (ingest.parse, ["--table", "t", "--folder", "f"], "not allowed"),
         (ingest.parse, ["--table", "t", "--topic-option", "nonsense"], "name=value"),
         (ingest.parse, ["--table", "t", "--outcomes", *BROKER], "--folder"),
@@ -35,7 +43,7 @@ def test_what_is_missing_is_named(capsys, parse, argv, named):
 
 
 def test_arguments():
-    argv = ["--table", "t", *BROKER, "--topic-option", "subscribe=a=b"]
+    argv = ["--table", "t", "--at-least-once", *BROKER, "--topic-option", "subscribe=a=b"]
     got = ingest.parse([*argv, "--every", "5 s"])
     assert got.topic == {"kafka.bootstrap.servers": "h:1", "subscribe": "a=b"}
     assert ingest.trigger(got) == {"processingTime": "5 s"}
@@ -115,6 +123,9 @@ def test_unusable_posts_go_aside(spark, tmp_path):
         ["--folder", "{}/out", "--spread", "rebalance"],
         ["--folder", "{}/out", "--outcomes"],
         ["--folder", "{}/out", "--spread", "key", "--skip-empty"],
+        ["--folder", "{}/out", "--spread", "fixed", "--partitions", "3"],
+        ["--folder", "{}/out", "--rejects"],
+        ["--folder", "{}/out", "--rejects", "{}/aside", "--skip-empty"],
         ["--sink-format", "parquet", "--sink-option", "path={}/out"],
     ],
 )
@@ -135,3 +146,120 @@ def test_appending_to_a_table_and_skipping(spark, tmp_path):
         if copies:
             spark.catalog.refreshTable("jobs_append")
         assert spark.table("jobs_append").count() == copies * events_feed(spark, SMALL).count()
+
+
+def test_a_first_batch_that_failed_is_written_after_an_empty_start(spark, tmp_path):
+    """Skipping what is there is a decision of the first start, also when nothing is."""
+    work = str(tmp_path)
+    os.makedirs(f"{work}/feed")
+    run_publish(spark, work, "--counts", "DOUBLE")
+    feed_files(spark, f"{work}/feed")
+    # The topic's place is taken by a file: the first batch is planned, its write fails.
+    (tmp_path / "topic").write_text("in the way")
+    with pytest.raises(StreamingQueryException):
+        run_publish(spark, work)
+    (tmp_path / "topic").rename(tmp_path / "aside")
+    run_publish(spark, work)
+    assert_all(spark, read_topic(spark, "parquet", {"path": f"{work}/topic"}, False).transform(read_posts))
+
+
+@pytest.mark.parametrize("rejects", [False, True])
+def test_files_that_come_while_the_job_is_down_are_published(spark, tmp_path, rejects):
+    work = str(tmp_path)
+    aside = ["--rejects", f"{work}/aside"] if rejects else []
+    os.makedirs(f"{work}/feed")
+    run_publish(spark, work, "--counts", "DOUBLE", *aside)
+    feed_files(spark, f"{work}/feed")
+    run_publish(spark, work, *aside)
+    assert_all(spark, read_topic(spark, "parquet", {"path": f"{work}/topic"}, False).transform(read_posts))
+
+
+def test_messages_that_come_while_the_job_is_down_are_ingested(spark, tmp_path):
+    work = str(tmp_path)
+    os.makedirs(f"{work}/topic")
+    run_ingest(spark, work, "--folder", f"{work}/out", "--skip-existing")
+    _envelope(events_feed(spark, SMALL)).write.mode("append").parquet(f"{work}/topic")
+    run_ingest(spark, work, "--folder", f"{work}/out", "--skip-existing")
+    assert_all(spark, spark.read.parquet(f"{work}/out"))
+
+
+def test_with_and_without_rejects_one_topic(spark, tmp_path):
+    work = str(tmp_path)
+    feed_files(spark, f"{work}/feed")
+    run_publish(spark, work, "--include-existing")
+    feed_files(spark, f"{work}/feed")
+    run_publish(spark, work, "--rejects", f"{work}/aside")
+    topic = read_topic(spark, "parquet", {"path": f"{work}/topic"}, False)
+    assert_all(spark, topic.transform(read_posts), copies=2)
+
+
+def test_a_topic_with_the_log_of_a_file_sink_is_refused(spark, tmp_path):
+    work = str(tmp_path)
+    feed_files(spark, f"{work}/feed")
+    stream = spark.readStream.schema("value STRING").format("text").load(f"{work}/feed")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{work}/old").trigger(
+        availableNow=True
+    ).start(f"{work}/topic").awaitTermination()
+    with pytest.raises(ValueError, match="log of a file sink"):
+        run_publish(spark, work, "--include-existing")
+
+
+def test_checkpoints_are_named_by_both_ends(spark, tmp_path, monkeypatch):
+    def ingest_place(*target, topic="a"):
+        path = tmp_path / topic
+        path.mkdir(exist_ok=True)
+        arguments = ingest.parse(
+            ["--topic-format", "parquet", "--topic-option", f"path={path}", "--all-now", *target]
+        )
+        taken = {}
+        for name in ("start_ingest", "start_table_ingest"):
+            at = 1 if name == "start_ingest" else 3
+            monkeypatch.setattr(ingest, name, lambda *a, at=at, **b: taken.update(place=a[at]))
+        ingest.start(spark, arguments)
+        return taken["place"]
+
+    targets = [
+        ("--table", "lake.posts"),
+        ("--table", "lake_posts"),
+        ("--folder", "lake/posts"),
+        ("--folder", "lake-posts"),
+        ("--sink-format", "orc", "--sink-option", "path=a"),
+        ("--sink-format", "orc", "--sink-option", "path=b"),
+    ]
+    places = [ingest_place(*target) for target in targets]
+    places += [ingest_place(*target, topic="b") for target in targets]
+    assert len(set(places)) == len(places)
+    assert places[: len(targets)] == [ingest_place(*target) for target in targets]
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert all(place.startswith(root) for place in places)
+
+
+def test_no_checkpoint_in_a_folder_of_the_process():
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    arguments = ingest.parse(["--folder", "f", *BROKER, "--topic-option", "subscribe=a"])
+    with pytest.raises(SystemExit, match="--checkpoint"):
+        ingest.start(Unset, arguments)
+
+
+@pytest.mark.parametrize("kind", ["INT", "BIGINT", "DOUBLE", "FLOAT"])
+def test_a_feed_of_any_numeric_type(spark, tmp_path, kind):
+    work = str(tmp_path)
+    feed_files(spark, f"{work}/as_double")
+    posts = spark.read.parquet(f"{work}/as_double")
+    counts = {c: posts[c].cast(kind) for c in ("score", "num_comments")}
+    posts.withColumns(counts).write.parquet(f"{work}/feed")
+    run_publish(spark, work, "--include-existing")
+    assert_all(spark, read_topic(spark, "parquet", {"path": f"{work}/topic"}, False).transform(read_posts))
+
+
+def test_a_table_with_bounded_texts_needs_a_place_for_longer_ones(spark, tmp_path):
+    work = str(tmp_path)
+    _envelope(events_feed(spark, SMALL)).write.parquet(f"{work}/topic")
+    ensure_table(spark, "jobs_bounded", replaces_batches=True)
+    with pytest.raises(ValueError, match="title"):
+        run_ingest(spark, work, "--table", "jobs_bounded")
+    run_ingest(spark, work, "--table", "jobs_bounded", "--rejects", f"{work}/aside")
+    assert_all(spark, spark.table("jobs_bounded"))

@@ -17,6 +17,7 @@ from feedlift.sinks.topic import PLACE, place_as_files, stream_topic, write_topi
 from feedlift.sources.topic import read_topic
 from feedlift.streaming.batches import batch_writer, splitting_writer
 from feedlift.streaming.ingest import posts_to_messages, start_folder_ingest, start_ingest
+from feedlift.streaming import run
 from feedlift.streaming.run import ALL_NOW, drain, has_progress, skip_existing, start_batches
 
 N = 1000
@@ -166,6 +167,51 @@ def test_skip_existing(spark, work, topic):
     assert_whole(spark, f"{work}/out")
 
 
+def test_a_skip_that_died_half_way_is_finished(spark, work, topic, monkeypatch):
+    """Only what it had planned is skipped: what came since is not."""
+    checkpoint = f"{work}/checkpoint"
+
+    def dies(rows, write_batch, place):
+        def lost(batch, number):
+            raise RuntimeError("lost")
+
+        drain(rows, lost, place)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(run, "drain", dies)
+        with pytest.raises(StreamingQueryException):
+            skip_existing(topic(maxBytesPerTrigger=None), checkpoint)
+    write_topic(envelope(spark), "parquet", {"path": topic.path})
+    for _ in range(2):
+        skip_existing(topic(maxBytesPerTrigger=None), checkpoint)
+    writer = batch_writer(replace_in_folder(f"{work}/out"))
+    drain(topic().transform(read_posts), writer, checkpoint)
+    assert_whole(spark, f"{work}/out")
+
+
+def test_a_skip_lost_before_its_first_batch_skips_nothing_twice(spark, work, topic, monkeypatch):
+    checkpoint = f"{work}/checkpoint"
+    with monkeypatch.context() as patch:
+        patch.setattr(run, "drain", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            skip_existing(topic(maxBytesPerTrigger=None), checkpoint)
+    skip_existing(topic(maxBytesPerTrigger=None), checkpoint)
+    writer = batch_writer(replace_in_folder(f"{work}/out"))
+    drain(topic().transform(read_posts), writer, checkpoint)
+    assert_whole(spark, f"{work}/out")
+
+
+def test_a_stream_in_progress_is_not_skipped_later(spark, work, topic):
+    checkpoint = f"{work}/checkpoint"
+    writer = batch_writer(replace_in_folder(f"{work}/out"))
+    failing = lose_once(writer)
+    with pytest.raises(StreamingQueryException):
+        drain(topic().transform(read_posts), failing, checkpoint)
+    skip_existing(topic(maxBytesPerTrigger=None).transform(read_posts), checkpoint)
+    drain(topic().transform(read_posts), writer, checkpoint)
+    assert_whole(spark, f"{work}/out")
+
+
 def test_progress_is_known_after_old_commits_are_gone(spark, work, topic):
     """Spark deletes the commits of old batches."""
     spark.conf.set("spark.sql.streaming.minBatchesToRetain", "1")
@@ -237,6 +283,43 @@ def test_split_counts_both_sides(spark, work, topic):
     assert counts == {"rows": N - zero, "rejects": zero}
 
 
+def test_a_failed_write_of_rejects_repeats_no_row(spark, work, topic):
+    """Rejects, which replace their batch, go first."""
+    flagged = topic().withColumn("reject_reason", F.expr("IF(partition = 0, 'zero', NULL)"))
+    aside = replace_in_folder(f"{work}/rejects")
+    failed = []
+
+    def once(batch, run_id, number):
+        aside(batch, run_id, number)
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("no disk")
+
+    splitter = splitting_writer(append_to("parquet", path=f"{work}/out"), once, lambda good: good)
+    with pytest.raises(StreamingQueryException):
+        drain(flagged, splitter, f"{work}/checkpoint")
+    drain(flagged, splitter, f"{work}/checkpoint")
+    zero = envelope(spark).where("partition = 0").count()
+    assert spark.read.parquet(f"{work}/out").count() == N - zero
+    assert spark.read.parquet(f"{work}/rejects").count() == zero
+
+
+@pytest.mark.parametrize("skip_empty", [False, True])
+def test_an_empty_batch_is_split_only_if_asked_for(work, topic, skip_empty):
+    counts = []
+    splitter = splitting_writer(
+        replace_in_folder(f"{work}/out"),
+        replace_in_folder(f"{work}/rejects"),
+        lambda good: good,
+        on_count=lambda number, rows: counts.append(rows),
+        skip_empty=skip_empty,
+    )
+    flagged = topic().where("offset < 0").withColumn("reject_reason", F.lit(None).cast("string"))
+    drain(flagged, splitter, f"{work}/checkpoint")
+    assert counts == ([] if skip_empty else [0])
+    assert os.path.exists(f"{work}/rejects") != skip_empty
+
+
 def test_one_folder_for_rows_and_rejects(spark, work, topic):
     damaged = topic().withColumn("value", F.expr(JUNK_IN_PARTITION_0))
     query = start_folder_ingest(damaged, f"{work}/out", f"{work}/checkpoint", trigger=ALL_NOW)

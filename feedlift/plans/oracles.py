@@ -87,8 +87,13 @@ FROM (SELECT *, conv_id * 1000 + turn AS n FROM conversations)
 _TYPED = ", ".join("created_at AS created_utc" if c == "created_utc" else c for c in TARGET_COLUMNS)
 
 
-def _wire(feed: str) -> str:
-    return f"SELECT {', '.join(WIRE_COLUMNS)} FROM ({feed})"
+def _wire(feed: str, **changed: str) -> str:
+    columns = [f"{changed[c]} AS {c}" if c in changed else c for c in WIRE_COLUMNS]
+    return f"SELECT {', '.join(columns)} FROM ({feed})"
+
+
+# Counts are BIGINT until they come to the target.
+_SENT = {c: f"CAST({c} AS BIGINT)" for c in ("score", "num_comments")}
 
 
 def _target(*feeds: str) -> str:
@@ -104,8 +109,8 @@ _REPAIRS = {
 }
 
 
-def _damaged() -> str:
-    columns = []
+def _damaged(*more: str) -> str:
+    columns = list(more)
     for name in TARGET_COLUMNS:
         source = "created_at" if name == "created_utc" else name
         if name.startswith("kafka_"):
@@ -128,15 +133,37 @@ SELECT CAST(NULL AS VARCHAR) AS key, 'posts' AS topic, kafka_partition AS "parti
 FROM ({EVENTS})
 """
 
-_OUTCOMES = f"""
-SELECT kafka_partition, kafka_offset, {_REPAIRS["id"]} AS id,
-       CASE WHEN {_LOST} OR n % 12 IN (1, 8) THEN 'unreadable'
-            WHEN n % 12 = 9 THEN 'too long: title' ELSE 'ok' END AS outcome
-FROM ({EVENTS})
+_OUTCOME = f"""CASE WHEN {_LOST} OR n % 12 IN (1, 8) THEN 'unreadable'
+                 WHEN n % 12 = 9 THEN 'too long: title' ELSE 'ok' END"""
+_OUTCOMES = _damaged(
+    f"{_OUTCOME} AS outcome",
+    f"CASE WHEN {_OUTCOME} != 'ok' THEN CAST(1 AS INTEGER) END AS raw_kept",
+)
+
+# Posts without a wire record are set aside as they came.
+_ASIDE = f"""
+SELECT CAST(event_id AS VARCHAR) AS id,
+       CASE WHEN event_id % 5 != 0 THEN event_type END AS title,
+       CASE WHEN event_id % 7 != 0 THEN concat('u', user_id) END AS author,
+       event_type AS subreddit,
+       CASE WHEN event_id % 13 != 0 THEN value END AS score,
+       CASE WHEN event_id % 23 != 0 THEN value / 100 END AS upvote_ratio,
+       CASE WHEN event_id % 19 != 0 THEN CAST(user_id AS DOUBLE) END AS num_comments,
+       CASE WHEN event_id % 17 != 0 THEN epoch_us(ts) / CAST(1000000 AS DOUBLE) END AS created_utc,
+       CASE WHEN event_id % 11 != 0 THEN concat('https://example.com/', event_id) END AS url,
+       props AS selftext,
+       {_GAPS} AS outcome
+FROM events WHERE {_GAPS} != ''
 """
+_BEYOND = "CASE WHEN event_id % 7 = 0 THEN 3000000000 ELSE 0 END"
 
 ORACLES: dict[str, str] = {
-    "normalize_posts": _wire(EVENTS),
+    "normalize_posts": _wire(EVENTS, **_SENT),
+    "normalize_bigint": f"""
+        SELECT CAST(event_id AS VARCHAR) AS id,
+               CAST(trunc(value) AS BIGINT) + {_BEYOND} AS score,
+               CAST(user_id AS BIGINT) - {_BEYOND} AS num_comments
+        FROM events""",
     "normalize_unusable": f"""
         SELECT CAST(event_id AS VARCHAR) AS id, nullif({_GAPS}, '') AS reject_reason FROM events""",
     "json_encode": _wire(EVENTS),
@@ -144,10 +171,10 @@ ORACLES: dict[str, str] = {
         SELECT concat('d', doc_id) AS id, text AS selftext, CAST(0 AS INTEGER) AS wide_bytes
         FROM documents""",
     "json_decode": _wire(EVENTS),
-    "json_decode_bytes": """
-        SELECT concat(event_id, CASE WHEN event_id % 4 = 0 THEN concat(chr(65533), chr(65533))
-                                     ELSE '' END) AS id
-        FROM events""",
+    "json_decode_bytes": _wire(
+        EVENTS,
+        id="concat(id, CASE WHEN n % 4 = 0 THEN concat(chr(65533), chr(65533)) ELSE '' END)",
+    ),
     "json_decode_malformed": _damaged(),
     "flatten_typed": _target(EVENTS),
     "roundtrip_documents": _target(DOCUMENTS),
@@ -171,12 +198,15 @@ ORACLES: dict[str, str] = {
     "topic_envelope": _ENVELOPE,
     "topic_publish_stream": _target(EVENTS),
     "topic_publish_rejects": f"""
-        SELECT CAST(event_id AS VARCHAR) AS id,
-               CASE WHEN {_GAPS} = '' THEN 'sent' ELSE {_GAPS} END AS outcome
-        FROM events""",
+        SELECT * REPLACE (CAST(score AS DOUBLE) AS score, CAST(num_comments AS DOUBLE) AS num_comments),
+               'sent' AS outcome
+        FROM ({_wire(f"SELECT * FROM ({EVENTS}) JOIN events ON n = event_id WHERE {_GAPS} = ''")})
+        UNION ALL BY NAME {_ASIDE}""",
+    "topic_publish_mixed": _target(EVENTS, DOCUMENTS),
     "src_stream_scan": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "src_topic_scan": _ENVELOPE,
     "src_skip_existing": _target(DOCUMENTS),
+    "src_skip_restart": _target(EVENTS),
     "stream_foreach_batch": _target(EVENTS),
     "stream_micro_batches": _target(EVENTS, DOCUMENTS, PAGES, CONVERSATIONS),
     "stream_empty_batch": """
@@ -185,15 +215,20 @@ ORACLES: dict[str, str] = {
     "stream_replay": _target(EVENTS),
     "stream_rejects": _OUTCOMES,
     "stream_rejects_one_pass": _OUTCOMES,
+    "stream_long_text": f"""
+        SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN repeat('y', 1100) ELSE title END AS title)
+        FROM ({_target(EVENTS)})""",
     "sink_ensure_table": _target(EVENTS),
     "sink_append": _target(EVENTS, CONVERSATIONS),
     "sink_append_format": _target(EVENTS, PAGES),
     "batch_row_counts": """
-        SELECT CAST(0 AS INTEGER) AS batch, count(*) AS n_rows FROM events
+        SELECT CAST(0 AS INTEGER) AS batch, count(*) AS n_rows, count(*) AS n_observed FROM events
         UNION ALL
-        SELECT CAST(1 AS INTEGER) AS batch, count(*) AS n_rows FROM documents""",
+        SELECT CAST(1 AS INTEGER) AS batch, count(*) AS n_rows, count(*) AS n_observed
+        FROM documents""",
     "repartition_by_key": """
-        SELECT event_type AS subreddit, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_split
+        SELECT event_type AS subreddit, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_split,
+               count(*) AS n_fixed, CAST(1 AS BIGINT) AS n_places, CAST(0 AS BIGINT) AS n_outside
         FROM events GROUP BY event_type""",
     "repartition_rebalanced": _target(EVENTS),
 }

@@ -18,6 +18,7 @@ from feedlift.functions.epoch import (
     instant_to_utc,
     utc_to_epoch,
 )
+from feedlift.jobs import publish
 from feedlift.operators.messages import (
     decode_messages,
     encode_messages,
@@ -27,16 +28,17 @@ from feedlift.operators.messages import (
 from feedlift.operators.normalize import flag_unusable, normalize_posts
 from feedlift.operators.placement import by_key, rebalance, salt, salts_for
 from feedlift.plans.feeds import FEEDS, PARTITIONS, events_feed, table
-from feedlift.schema import TARGET_COLUMNS, WIRE_TYPES, ddl, target_read_types
+from feedlift.schema import TARGET_COLUMNS, WIRE_COLUMNS, WIRE_TYPES, ddl, target_read_types
 from feedlift.session import fresh_folder
 from feedlift.sinks.table import (
     BATCH,
+    RUN,
     append_to,
     append_to_table,
     ensure_table,
     replace_in_folder,
 )
-from feedlift.sinks.topic import PLACE, place_as_files, stream_topic, write_topic
+from feedlift.sinks.topic import PLACE, place_as_files, stream_topic, to_file_topic, write_topic
 from feedlift.sources.topic import read_topic
 from feedlift.streaming.batches import batch_writer
 from feedlift.streaming.ingest import (
@@ -50,6 +52,7 @@ from feedlift.streaming.run import ALL_NOW, drain, skip_existing
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOPIC = "posts"
+BATCH_FILES = 2
 
 
 # --- shared steps ---------------------------------------------------------
@@ -157,7 +160,7 @@ def topic_publish_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_publish_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed with gaps streamed into a topic, posts without a wire record aside."""
+    """A feed with gaps streamed into a topic, posts without a wire record aside, whole."""
     work = fresh_folder(spark, "publish")
     raw = events_feed(spark, sf_dir, stream=True).transform(_with_gaps)
     start_publish(
@@ -170,11 +173,53 @@ def topic_publish_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).awaitTermination()
     sent = spark.read.parquet(f"{work}/topic").transform(with_lineage).transform(decode_messages)
     aside = spark.read.parquet(f"{work}/rejects")
-    return sent.select("json.id", F.lit("sent").alias("outcome")).unionByName(
-        aside.select("id", F.col("reject_reason").alias("outcome"))
+    comments = F.when(~F.isnan("num_comments"), F.col("num_comments"))
+    return sent.select("json.*", F.lit("sent").alias("outcome")).unionByName(
+        aside.withColumn("num_comments", comments).select(
+            *WIRE_COLUMNS, F.col("reject_reason").alias("outcome")
+        )
     )
 
 
+def topic_publish_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams into one topic, one of them with rejects: readers see all of both."""
+    work = fresh_folder(spark, "publish")
+    options = {"path": f"{work}/topic"}
+    events = _envelope(events_feed(spark, sf_dir, stream=True))
+    stream_topic(events, f"{work}/one", "parquet", options, ALL_NOW).awaitTermination()
+    documents = FEEDS["documents"](spark, sf_dir, stream=True)
+    start_publish(
+        documents,
+        f"{work}/two",
+        to_file_topic(documents, "parquet", options),
+        replace_in_folder(f"{work}/rejects"),
+        to_messages=_envelope,
+        trigger=ALL_NOW,
+    ).awaitTermination()
+    return read_topic(spark, "parquet", options, stream=False).transform(read_posts)
+
+
+def normalize_bigint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed whose counts are BIGINT, some beyond INT, through the publish job."""
+    work = fresh_folder(spark, "publish")
+    beyond = F.when(_number() % 7 == 0, F.lit(3_000_000_000)).otherwise(F.lit(0))
+    counts = {
+        "score": F.col("score").cast("bigint") + beyond,
+        "num_comments": F.col("num_comments").cast("bigint") - beyond,
+    }
+    events_feed(spark, sf_dir).withColumns(counts).write.parquet(f"{work}/feed")
+    arguments = publish.parse([
+        "--feed", f"{work}/feed", "--topic-format", "parquet", "--topic-option",
+        f"path={work}/topic", "--checkpoint", f"{work}/checkpoint", "--all-now",
+        "--include-existing",
+    ])
+    publish.start(spark, arguments).awaitTermination()
+    sent = read_topic(spark, "parquet", {"path": f"{work}/topic"}, stream=False)
+    names = ("id", "score", "num_comments")
+    fields = sent.select(F.json_tuple(F.col("value").cast("string"), *names).alias(*names))
+    return fields.withColumns({name: F.col(name).cast("bigint") for name in names[1:]})
+
+
 # --- messages to rows -----------------------------------------------------
 
 
@@ -188,17 +233,17 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages some of which hold bytes that are not UTF-8."""
-    number = F.col("event_id")
-    stray = F.when(number % 4 == 0, F.expr("X'FFFE'")).otherwise(F.expr("X''"))
+    """Whole messages, some of which hold bytes that are not UTF-8 behind their id."""
+    messages = _envelope(events_feed(spark, sf_dir))
+    text = F.col("value").cast("string")
+    head = F.instr(text, '","title"') - 1
+    stray = F.when(_number() % 4 == 0, F.expr("X'FFFE'")).otherwise(F.expr("X''"))
     value = F.concat(
-        F.lit('{"id":"').cast("binary"),
-        number.cast("string").cast("binary"),
+        F.substring(text, F.lit(1), head).cast("binary"),
         stray,
-        F.lit('"}').cast("binary"),
+        text.substr(head + 1, F.char_length(text)).cast("binary"),
     )
-    messages = table(spark, sf_dir, "events").select(value.alias("value"))
-    return messages.transform(decode_messages).select("json.id")
+    return messages.withColumn("value", value).transform(decode_messages).select("json.*")
 
 
 def _number() -> Column:
@@ -306,6 +351,28 @@ def src_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, f"{work}/out").drop(BATCH)
 
 
+def src_skip_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing there at the first start, a first batch whose write fails, a restart: nothing is lost."""
+    work = fresh_folder(spark, "latest")
+    path, checkpoint = f"{work}/topic", f"{work}/checkpoint"
+    # Partitioned, so that no rows leave no files.
+    nothing = _envelope(events_feed(spark, sf_dir)).where(F.lit(False))
+    nothing.write.partitionBy("topic").parquet(path)
+    rows = _topic(spark, path, maxBytesPerTrigger=None).transform(read_posts)
+
+    def lost(batch: DataFrame, number: int) -> None:
+        raise RuntimeError("lost before the write")
+
+    skip_existing(rows, checkpoint)
+    _publish(spark, sf_dir, path, "events")
+    try:
+        drain(rows, lost, checkpoint)
+    except StreamingQueryException:
+        skip_existing(rows, checkpoint)
+    _ingest(_topic(spark, path), f"{work}/out", checkpoint)
+    return _ingested(spark, f"{work}/out").drop(BATCH)
+
+
 def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed, message and typed row in one stream, written batch by batch."""
     work = fresh_folder(spark, "ingest")
@@ -315,12 +382,11 @@ def stream_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four feeds in one topic, taken in four batches of about as many files each."""
+    """Four feeds in one topic, taken in several batches of at most so many files each."""
     work = fresh_folder(spark, "batches")
     path = f"{work}/topic"
     _publish(spark, sf_dir, path, *FEEDS)
-    files = len(read_topic(spark, "parquet", {"path": path}, stream=False).inputFiles())
-    topic = _topic(spark, path, maxFilesPerTrigger=-(-files // 4))
+    topic = _topic(spark, path, maxFilesPerTrigger=BATCH_FILES)
     _ingest(topic, f"{work}/out", f"{work}/checkpoint")
     return _ingested(spark, f"{work}/out").drop(BATCH)
 
@@ -365,6 +431,24 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, f"{work}/out").drop(BATCH)
 
 
+def _with_outcomes(good: DataFrame, aside: DataFrame, envelope: DataFrame) -> DataFrame:
+    """Rows and rejects, whole, and whether each reject has its message as it came."""
+    came = envelope.select(
+        F.col("partition").alias("kafka_partition"),
+        F.col("offset").alias("kafka_offset"),
+        F.col("value").alias("came"),
+    )
+    aside = aside.join(came, ["kafka_partition", "kafka_offset"])
+    kept = F.col("raw_value").eqNullSafe(F.col("came")).cast("int")
+    rejects = aside.select(
+        *TARGET_COLUMNS, F.col("reject_reason").alias("outcome"), kept.alias("raw_kept")
+    )
+    rows = good.select(
+        *TARGET_COLUMNS, F.lit("ok").alias("outcome"), F.lit(None).cast("int").alias("raw_kept")
+    )
+    return rows.unionByName(rejects)
+
+
 def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged messages split into rows of the target and rejects with a reason."""
     work = fresh_folder(spark, "rejects")
@@ -376,10 +460,8 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         replace_in_folder(f"{work}/rejects"),
         trigger=ALL_NOW,
     ).awaitTermination()
-    places = ["kafka_partition", "kafka_offset", "id"]
-    good = _ingested(spark, f"{work}/out").select(*places, F.lit("ok").alias("outcome"))
-    aside = spark.read.parquet(f"{work}/rejects")
-    return good.unionByName(aside.select(*places, F.col("reject_reason").alias("outcome")))
+    sent = _envelope(events_feed(spark, sf_dir)).transform(_damage)
+    return _with_outcomes(_ingested(spark, f"{work}/out"), spark.read.parquet(f"{work}/rejects"), sent)
 
 
 def stream_rejects_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,8 +472,8 @@ def stream_rejects_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
         envelope, f"{work}/out", f"{work}/checkpoint", trigger=ALL_NOW
     ).awaitTermination()
     rows = spark.read.parquet(f"{work}/out")
-    outcome = F.when(F.col("outcome") == "reject", F.col("reject_reason")).otherwise("ok")
-    return rows.select("kafka_partition", "kafka_offset", "id", outcome.alias("outcome"))
+    sent = _envelope(events_feed(spark, sf_dir)).transform(_damage)
+    return _with_outcomes(rows.where("outcome = 'row'"), rows.where("outcome = 'reject'"), sent)
 
 
 # --- the target table -----------------------------------------------------
@@ -401,6 +483,25 @@ def _table_name(work: str) -> str:
     return "posts_" + work.rsplit("-", 1)[1]
 
 
+def _read_and_forget(spark: SparkSession, name: str, location: str) -> DataFrame:
+    """The rows of a table at ``location``; the catalog does not keep it."""
+    types = ddl(target_read_types() | {RUN: "STRING", BATCH: "BIGINT"})
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(types).parquet(location).select(TARGET_COLUMNS)
+
+
+def stream_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles longer than the target's bound through the table job as it is: all rows, uncut."""
+    work = fresh_folder(spark, "table")
+    name, location = _table_name(work), f"{work}/data"
+    long = F.when(_number() % 10 == 0, F.repeat(F.lit("y"), F.lit(1100))).otherwise(F.col("title"))
+    raw = events_feed(spark, sf_dir, stream=True).withColumn("title", long)
+    start_table_ingest(
+        spark, _envelope(raw), name, f"{work}/checkpoint", location=location, trigger=ALL_NOW
+    ).awaitTermination()
+    return _read_and_forget(spark, name, location)
+
+
 def sink_ensure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table made before the stream starts, and again harmlessly by a restart."""
     work = fresh_folder(spark, "table")
@@ -410,7 +511,7 @@ def sink_ensure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         start_table_ingest(
             spark, envelope, name, f"{work}/checkpoint", location=location, trigger=ALL_NOW
         ).awaitTermination()
-    return spark.table(name).select(TARGET_COLUMNS)
+    return _read_and_forget(spark, name, location)
 
 
 def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,7 +522,7 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = append_to_table(name)
     for number, feed in enumerate(("events", "conversations")):
         write(_envelope(FEEDS[feed](spark, sf_dir)).transform(read_posts), "batch", number)
-    return spark.table(name)
+    return _read_and_forget(spark, name, f"{work}/data")
 
 
 def sink_append_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,39 +535,57 @@ def sink_append_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each batch, as the target tells them."""
+    """Rows of each batch, as its write observed them and as the target tells them."""
     work = fresh_folder(spark, "counts")
+    observed: list[tuple[int, int]] = []
+    writer = batch_writer(
+        replace_in_folder(f"{work}/out"), on_count=lambda *count: observed.append(count)
+    )
     for feed in ("events", "documents"):
         _publish(spark, sf_dir, f"{work}/topic", feed)
         whole = _topic(spark, f"{work}/topic", maxBytesPerTrigger=None)
-        _ingest(whole, f"{work}/out", f"{work}/checkpoint")
-    rows = _ingested(spark, f"{work}/out")
-    return rows.groupBy(F.col(BATCH).alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"))
+        drain(whole.transform(read_posts), writer, f"{work}/checkpoint")
+    rows = _ingested(spark, f"{work}/out").groupBy(F.col(BATCH).alias("batch"))
+    counts = spark.createDataFrame(observed, "batch INT, n_observed BIGINT")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).join(counts, "batch", "full")
 
 
 # --- placement ------------------------------------------------------------
 
 
+def _places(rows: DataFrame, *keys: Column) -> DataFrame:
+    """Rows by ``keys`` and the partition they are in, counted there and written down.
+
+    What is read again has no partitioning that a later grouping could rely on.
+    """
+    path = fresh_folder(rows.sparkSession, "places")
+    placed = rows.select(*keys, F.spark_partition_id().alias("place"))
+    placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def repartition_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed rows placed by community, each in pieces that are not split further.
+    """Typed rows placed by community: in salted pieces, and whole in six partitions.
 
-    Rows are counted per piece and partition where they are; what is grouped
-    again are a few counts per community.
+    ``n_split`` counts pieces that are in several partitions, ``n_places`` the
+    partitions of a community without salts, ``n_outside`` those beyond the six.
     """
     rows = flatten_typed(spark, sf_dir)
     piece = salt(["kafka_partition", "kafka_offset"], salts_for(rows))
-    counts = (
-        rows.transform(by_key("subreddit"))
-        .select("subreddit", piece.alias("piece"), F.spark_partition_id().alias("place"))
-        .groupBy("subreddit", "piece", "place")
-        .agg(F.count(F.lit(1)).alias("n"))
+    salted = _places(rows.transform(by_key("subreddit")), F.col("subreddit"), piece.alias("piece"))
+    pieces = salted.groupBy("subreddit", "piece").agg(
+        F.sum("n").alias("n"), F.count_distinct("place").alias("places")
     )
-    pieces = counts.groupBy("subreddit", "piece").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("places")
-    )
-    return pieces.groupBy("subreddit").agg(
+    split = pieces.groupBy("subreddit").agg(
         F.sum("n").alias("n_rows"), F.count_if(F.col("places") > 1).alias("n_split")
     )
+    fixed = _places(rows.transform(by_key("subreddit", 6, salts=1)), F.col("subreddit"))
+    whole = fixed.groupBy("subreddit").agg(
+        F.sum("n").alias("n_fixed"),
+        F.count_distinct("place").alias("n_places"),
+        F.count_if(F.col("place") >= 6).alias("n_outside"),
+    )
+    return split.join(whole, "subreddit")
 
 
 def repartition_rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,9 +616,12 @@ QUERIES: dict[str, Query] = {
     "topic_envelope": topic_envelope,
     "topic_publish_stream": topic_publish_stream,
     "topic_publish_rejects": topic_publish_rejects,
+    "topic_publish_mixed": topic_publish_mixed,
+    "normalize_bigint": normalize_bigint,
     "src_stream_scan": src_stream_scan,
     "src_topic_scan": src_topic_scan,
     "src_skip_existing": src_skip_existing,
+    "src_skip_restart": src_skip_restart,
     "stream_foreach_batch": stream_foreach_batch,
     "stream_micro_batches": stream_micro_batches,
     "stream_empty_batch": stream_empty_batch,
@@ -507,6 +629,7 @@ QUERIES: dict[str, Query] = {
     "stream_replay": stream_replay,
     "stream_rejects": stream_rejects,
     "stream_rejects_one_pass": stream_rejects_one_pass,
+    "stream_long_text": stream_long_text,
     "sink_ensure_table": sink_ensure_table,
     "sink_append": sink_append,
     "sink_append_format": sink_append_format,

@@ -5,13 +5,14 @@ from conftest import SMALL
 
 import __spark_entry__ as registered
 from check import connect, differences
+from feedlift.plans.oracles import ORACLES
+from feedlift.plans.queries import QUERIES
 
-QUERIES = registered.queries()
-ORACLES = registered.oracle_sql()
 
-
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(ORACLES)
+    assert registered.queries().items() >= QUERIES.items()
+    assert registered.oracle_sql().items() >= ORACLES.items()
 
 
 @pytest.mark.parametrize("name", QUERIES)

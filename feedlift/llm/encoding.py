@@ -6,12 +6,32 @@ import os
 import re
 
 import numpy as np
+import regex
 
 BYTE_BPE = "byte_bpe_50k.json"
+# The vocabulary's own way to cut pre-tokens; a fixed value.
+PRE_TOKEN = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
 # A blank with text on both sides always begins a pre-token: what stands before
 # it and what begins with it are encoded apart without changing an id.
 _PARTING = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+# Bytes that byte-level vocabularies write as the character of that number; the others
+# are written as the characters from 256 on, in order.
+_PLAIN_BYTES = (range(33, 127), range(161, 173), range(174, 256))
+
+
+def tokenizer_path(name: str = BYTE_BPE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _byte_characters() -> dict[int, int]:
+    plain = {byte for part in _PLAIN_BYTES for byte in part}
+    others = (byte for byte in range(256) if byte not in plain)
+    return {byte: 256 + number for number, byte in enumerate(others)}
 
 
 def _parts(text: str) -> list[str]:
@@ -26,50 +46,70 @@ def _parts(text: str) -> list[str]:
     return text.split(" ") if plain else _PARTING.split(text)
 
 
-def tokenizer_path(name: str = BYTE_BPE) -> str:
-    import public_tokenizers
+class Remembered(dict):
+    """Values of short pieces of text that come again, twice ``most`` of them at most.
 
-    return public_tokenizers.path(name)
+    When it is full, what was not asked for since it was last full is forgotten.
+    """
+
+    def __init__(self, value, most: int = 400_000, longest: int = 48) -> None:
+        super().__init__()
+        self._value, self._most, self._longest = value, most, longest
+        self._before: dict = {}
+
+    def __missing__(self, piece: str):
+        got = self._before.get(piece)
+        if got is None:
+            got = self._value(piece)
+        if len(piece) <= self._longest:
+            if len(self) >= self._most:
+                self._before = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
 
 
 class Encoder:
-    """Remembers the ids of short pieces of text that come again, up to ``most`` of them."""
+    """Ids of texts and of single pre-tokens by one vocabulary."""
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 48) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        kind = str(self._tokenizer.pre_tokenizer)
+        if self._tokenizer.normalizer or "ByteLevel(add_prefix_space=False" not in kind:
+            raise ValueError(f"{path} is not a byte-level vocabulary without a normalizer")
+        self._model = self._tokenizer.model
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
-        self._marks = {mark: self._ids(mark) for mark in ".,;:!?"}
-        self._most, self._longest = most, longest
+        self._characters = _byte_characters()
+        self.pieces = Remembered(self._piece)
+        self._after_blanks = Remembered(self._after_blank)
+        self._marks = {mark: self._piece(mark) for mark in ".,;:!?"}
 
-    def _ids(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token."""
+        written = piece.encode().decode("latin-1").translate(self._characters)
+        return np.array([token.id for token in self._model.tokenize(written)], "<u4").tobytes()
 
     def _after_blank(self, part: str) -> bytes:
-        # A mark after letters is a pre-token of its own, and not every word with
-        # a mark behind it need be remembered.
+        """Ids of a blank and a part without blanks."""
+        if part.isalpha():
+            return self._piece(" " + part)
+        # Most others are a word and a mark, which is a pre-token of its own.
         word, mark = part[:-1], part[-1]
         if mark in self._marks and word.isalpha():
-            return (self._known.get(word) or self._after_blank(word)) + self._marks[mark]
-        got = self._ids(" " + part)
-        if len(part) <= self._longest:
-            if len(self._known) >= self._most:
-                self._known.clear()
-            self._known[part] = got
-        return got
+            return self._after_blanks[word] + self._marks[mark]
+        return b"".join(map(self.pieces.__getitem__, PRE_TOKEN.findall(" " + part)))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit numbers."""
         if any(special in text for special in self._specials):
-            return np.frombuffer(self._ids(text), "<u4")
-        parts = _parts(text)
-        known, missing = self._known.get, self._after_blank
-        ids = [self._ids(parts[0])]
-        ids += [known(part) or missing(part) for part in parts[1:]]
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4")
+        first, *rest = _parts(text)
+        ids = list(map(self.pieces.__getitem__, PRE_TOKEN.findall(first)))
+        ids += map(self._after_blanks.__getitem__, rest)
         return np.frombuffer(b"".join(ids), "<u4")
 
 

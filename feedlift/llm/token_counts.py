@@ -9,46 +9,27 @@ encoded, and only the sums on the way up from their blocks change.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedlift.llm.common import map_slices, read_table, text_or_empty
-from feedlift.llm.encoding import tokenizer_path
+from feedlift.llm.encoding import PRE_TOKEN, Remembered, encoder, tokenizer_path
 
-# The vocabulary's own way to cut pre-tokens; a fixed value.
-PATTERN = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-)
 # A cut depends on at most two characters behind it; the rest is to spare.
 CONTEXT = 4
 BLOCK = 64
 
 
-class Counter(dict):
-    """Pre-token to its number of tokens; remembers ``most`` of them."""
+class Counter:
+    """Pre-token to its number of tokens.  Special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 48) -> None:
-        super().__init__()
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        # Their strings in a text are ordinary text.
-        self._tokenizer.encode_special_tokens = True
-        self._most, self._longest = most, longest
-
-    def __missing__(self, piece: str) -> int:
-        count = len(self._tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= self._longest:
-            if len(self) >= self._most:
-                self.clear()
-            self[piece] = count
-        return count
+    def __init__(self, path: str) -> None:
+        pieces = encoder(path).pieces
+        self._known = Remembered(lambda piece: len(pieces[piece]) // 4)
+        self.of = self._known.__getitem__
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -91,9 +72,9 @@ class Tree:
 
     @classmethod
     def build(cls, text: str, count: Counter) -> Tree:
-        pieces = PATTERN.findall(text)
+        pieces = PRE_TOKEN.findall(text)
         lengths = np.fromiter(map(len, pieces), np.int32, len(pieces))
-        return cls.of(lengths, np.fromiter(map(count.__getitem__, pieces), np.int32, len(pieces)))
+        return cls.of(lengths, np.fromiter(map(count.of, pieces), np.int32, len(pieces)))
 
     @property
     def total(self) -> int:
@@ -153,11 +134,11 @@ class Tree:
                     block, leaf = block + 1, 0
             if at >= start + len(inserted) and old == at - shift:
                 break
-            match = PATTERN.match(new, at)
+            match = PRE_TOKEN.match(new, at)
             if match is None:
                 break
             lengths.append(match.end() - at)
-            tokens.append(count[match.group()])
+            tokens.append(count.of(match.group()))
             at = match.end()
         last = min(block, len(self.lengths) - 1)
         rest = leaf if block < len(self.lengths) else len(self.lengths[last])

@@ -1,0 +1,68 @@
+"""op2: copies and re-parameterised questions found, others left alone."""
+
+import pytest
+from conftest import SMALL
+
+from feedlift.llm import decontaminate
+from feedlift.llm.decontaminate import clean_stage, compare, leaks
+
+from .conftest import ROWS, prose, table
+
+ITEM = "Yesterday Anna Miller bought 5 pears for 3 euros while Tom paid 12 cents, so how much did Anna Miller spend on 5 pears in the end?"
+OTHER = "Yesterday Paul Weber bought 7 pears for 9 euros while Jim paid 40 cents, so how much did Paul Weber spend on 7 pears in the end?"
+MIXED = "Yesterday Paul Weber bought 7 pears for 9 euros while Jim paid 40 cents, so how much did Carl Weber spend on 8 pears in the end?"
+
+
+def items(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_compare():
+    assert compare(ITEM, f"{prose(1, 9)} {ITEM} {prose(2, 9)}") == (1.0, "copy")
+    assert compare(ITEM, ITEM.upper()) == (1.0, "copy")
+    assert compare(ITEM, f"x. {OTHER}")[1] == "template"
+    assert compare(ITEM, f"x. {MIXED}")[1] == "slots"
+    assert compare(ITEM, prose(3, 60))[0] < 0.3
+    assert compare("", "")[1] == "none" and compare("a b", "")[0] == 0
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_leaks(spark, monkeypatch, most):
+    """With a benchmark that the tasks know, and with one too large for that."""
+    monkeypatch.setattr(decontaminate, "MOST_KNOWN", most)
+    texts = {
+        1: f"{prose(1, 300)} {ITEM} {prose(2, 300)}",
+        2: f"{prose(3, 50)}. {OTHER}",
+        3: f"{prose(4, 50)}. {MIXED}",
+        4: prose(5, 2000),
+        5: ITEM[: len(ITEM) // 4],
+        6: ITEM.lower() + " " + ITEM.upper(),
+    }
+    bench = items(spark, [(10, ITEM), (11, prose(77, 40)), (12, None), (None, ITEM), (13, ""), (14, "two words")])
+    got = {(r.doc_id, r.item_id): r.kind for r in leaks(table(spark, texts.items()), bench).collect()}
+    assert got == {(1, 10): "copy", (2, 10): "template", (6, 10): "copy"}
+
+
+def test_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+    held = bench.collect()
+    assert got == {(d.doc_id, b.item_id) for d in docs.collect() for b in held if b.text in d.text}
+
+
+def test_odd_documents(spark, odd, tmp_path):
+    bench = items(spark, [(1, prose(1, 120)), (1, prose(9, 80)), (2, prose(1, 120))])
+    rows = leaks(odd, bench.selectExpr("*", "'x' AS hash", "'y' AS item")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert got == {(1, 1), (7, 1), (None, 1), (9, 1), (1, 2), (7, 2), (None, 2)}
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = clean_stage(spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns
+    left = [r[0] for r in ROWS if r[1] not in (prose(1, 120), prose(9, 80))]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(x or -1 for x in left)
+
+
+def test_nothing(spark, nothing, odd):
+    assert leaks(nothing, items(spark, [(1, ITEM)])).isEmpty()
+    assert leaks(odd, items(spark, [])).isEmpty()

@@ -1,0 +1,64 @@
+"""The stages in order over whole and odd tables, each against what it was given."""
+
+import corpus_pipeline
+from conftest import SMALL
+
+from feedlift.llm.common import written
+from feedlift.llm.decontaminate import leaks
+from feedlift.llm.quality import score
+
+from . import test_line_dedup, test_simhash
+from .conftest import prose
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    columns = docs.columns
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = written(stage(spark, docs, SMALL), name)
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "quality":
+            scored = score(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+            want = {r.doc_id for r in scored.collect() if r._keep}
+            assert {r.doc_id for r in out.collect()} == want and 0 < len(want) < len(rows)
+        elif name == "line_dedup":
+            assert {(r.doc_id, r.text) for r in out.collect()} == {
+                (d, left) for (d, _), left in test_line_dedup.plain(rows).items()
+            }
+        elif name == "simhash":
+            groups = {c for *_, c in test_simhash.plain_components(rows)}
+            assert {r.doc_id for r in out.collect()} == groups and out.count() == len(groups)
+        elif name == "decontaminate":
+            bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+            gone = {r.doc_id for r in leaks(docs, bench).collect()}
+            held = {r.doc_id for r in docs.collect() if any(b.text in r.text for b in bench.collect())}
+            assert held <= gone
+            assert {r.doc_id for r in out.collect()} == {d for d, _ in rows} - gone
+        else:
+            pieces = out.groupBy("doc_id", "doc_tokens").agg({"length": "sum"}).collect()
+            assert {r.doc_id for r in pieces} == {d for d, _ in rows}
+            assert all(r["sum(length)"] == r.doc_tokens for r in pieces)
+        if number < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == columns
+        docs = out
+
+
+def test_run_is_the_stages(spark, odd, tmp_path):
+    folder = str(tmp_path)
+    odd.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (13, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{folder}/labels.parquet"
+    )
+    spark.createDataFrame([(1, prose(9, 80))], "item_id long, text string").write.parquet(
+        f"{folder}/benchmark.parquet"
+    )
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+    assert 1 in ids and not ids & {3, 4, 5, 7, 9}
+
+
+def test_nothing(spark, nothing, tmp_path):
+    folder = str(tmp_path)
+    nothing.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).isEmpty()

@@ -1,0 +1,116 @@
+"""op9: the classifier, shrinkage, and decisions."""
+
+import random
+
+import numpy as np
+import pytest
+from conftest import SMALL
+
+from feedlift.llm.logistic import fit_logistic
+from feedlift.llm.quality import op9_quality, quality_stage, score, sum_sites, with_posterior
+
+from .conftest import ROWS, prose
+
+
+@pytest.fixture
+def labels(spark):
+    def make(rows):
+        return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+    return make
+
+
+def test_logistic_regression_finds_weights():
+    pick = np.random.default_rng(1)
+    x = pick.normal(size=(20_000, 3))
+    y = (pick.random(20_000) < 1 / (1 + np.exp(-(x @ [2, -1, 0] + 0.5)))).astype(float)
+    weights, intercept = fit_logistic(x, y)
+    assert np.allclose(weights, [2, -1, 0], atol=0.1) and abs(intercept - 0.5) < 0.1
+
+
+@pytest.mark.parametrize(("marks", "intercept"), [([], 0.0), ([1, 1, 1], np.log(4)), ([0], -np.log(2))])
+def test_one_kind_of_examples_tells_only_the_share(marks, intercept):
+    weights, found = fit_logistic(np.ones((len(marks), 2)), np.array(marks, float))
+    assert weights == [0, 0] and found == pytest.approx(intercept)
+
+
+def test_labelled_documents(spark):
+    """Agreement with the labels on documents whose labels were not seen."""
+    found = {r.doc_id: r.keep for r in op9_quality(spark, SMALL).collect()}
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    half = spark.read.parquet(f"{SMALL}/labels.parquet").where("doc_id % 2 = 0")
+    held = {r.doc_id: r._keep for r in score(docs, half).collect() if r.doc_id % 2}
+    assert len(found) == docs.count()
+    assert np.mean([found[d] == q for d, q in marks.items()]) > 0.97
+    assert np.mean([held[d] == q for d, q in marks.items() if d in held]) > 0.9
+
+
+def evidence(spark, groups):
+    rows = [
+        (host, path, p, float(np.log(p / (1 - p))), True)
+        for host, path, ps in groups
+        for p in ps
+    ]
+    fields = "_host string, _path long, _p double, _logit double, _has_words boolean"
+    return spark.createDataFrame(rows, fields)
+
+
+def test_posteriors_against_plain_sums(spark):
+    pick = random.Random(1)
+    groups = [
+        (host, path, [min(0.99, max(0.01, pick.gauss(rate, 0.05))) for _ in range(n)])
+        for host, path, rate, n in [
+            ("a", 1, 0.9, 80), ("a", 2, 0.8, 40), ("b", 3, 0.2, 60), ("b", 4, 0.3, 2), ("c", 5, 0.1, 1),
+            (None, 6, 0.9, 30),
+        ]
+    ]
+    rows = evidence(spark, groups)
+    sites = sum_sites(rows)
+    every = [p for _, _, ps in groups for p in ps]
+    assert sites.rate == pytest.approx((sum(every) + 0.5) / (len(every) + 1))
+    by_host = {}
+    for host, _, ps in groups:
+        by_host.setdefault(host, []).extend(ps)
+    for r in with_posterior(rows, sites).collect():
+        ps = next(ps for h, k, ps in groups if (h, k) == (r._host, r._path))
+        m, n = sites.host_strength, len(by_host[r._host]) - 1
+        host = (sites.rate * m + sum(by_host[r._host]) - r._p) / (m + n)
+        m = sites.path_strength
+        path = (host * m + sum(ps) - r._p) / (m + len(ps) - 1)
+        assert r._host_rate == pytest.approx(host) and r._path_rate == pytest.approx(path)
+        odds = r._p / (1 - r._p) * path / (1 - path) * (1 - sites.rate) / sites.rate
+        assert r._score == pytest.approx(odds / (1 + odds))
+
+
+def test_sparse_sites_stay_near_their_prior(spark):
+    rows = evidence(spark, [("many", 1, [0.1] * 200), ("few", 2, [0.1] * 2), ("rest", 3, [0.9] * 200)])
+    sites = sum_sites(rows)
+    found = {r._host: r._host_rate for r in with_posterior(rows, sites).collect()}
+    assert found["many"] < found["few"] < sites.rate < found["rest"]
+
+
+def test_many_sites_are_joined_by_a_shuffle(spark, odd, labels, monkeypatch):
+    marks = labels([(1, 1, 0), (13, 0, 0), (9, 1, 0), (5, None, 0), (None, 1, 0), (1, 1, 0)])
+    few = score(odd, marks).select("doc_id", "_score").collect()
+    monkeypatch.setattr("feedlift.llm.quality.MOST_SITES", 0)
+    many = score(odd, marks).select("doc_id", "_score").collect()
+    key = lambda rows: sorted(((r.doc_id, round(r._score, 9)) for r in rows), key=repr)
+    assert key(few) == key(many) and len(few) == len(ROWS)
+
+
+def test_odd_documents(spark, odd, labels, tmp_path):
+    labels([(1, 1, 0), (2, 1, 0), (13, 0, 0), (9, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
+    scored = {(r.doc_id, r.text): r for r in score(odd, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert all(0 <= r._score <= 1 for r in scored.values())
+    assert all(r._score == 0 and r._keep == 0 for (_, t), r in scored.items() if not (t or "").strip())
+    kept = quality_stage(spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns
+    texts = {r.text for r in kept.collect()}
+    assert prose(1, 120) in texts and None not in texts and "" not in texts
+
+
+def test_no_labels_keep_all_texts_and_no_documents(spark, odd, nothing, labels):
+    scored = score(odd, labels([])).collect()
+    assert all(r._keep == bool((r.text or "").strip()) for r in scored)
+    assert score(nothing, labels([])).isEmpty()

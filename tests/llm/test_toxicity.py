@@ -1,0 +1,84 @@
+"""op3: what the dictionaries save, and held-out accuracy."""
+
+import random
+
+import numpy as np
+import pytest
+from conftest import SMALL
+
+from feedlift.llm.toxicity import classify, fit, op3_toxicity, train
+
+from .conftest import ROWS, prose, table
+
+RUDE = ["blorfus", "skranty", "vumpel", "zwerkig", "plonth"]
+
+
+def texts(n, seed):
+    pick = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = prose(seed * 10_000 + i, pick.randrange(40, 200)).split(" ")
+        mark = int(pick.random() < 0.3)
+        for _ in range(3 * mark):
+            words.insert(pick.randrange(len(words)), pick.choice(RUDE) + pick.choice(["", "a", "en"]))
+        out.append((" ".join(words), mark))
+    return out
+
+
+@pytest.fixture(scope="module")
+def model():
+    return fit(texts(900, 1))
+
+
+def test_held_out_accuracy(model):
+    rows = texts(400, 2)
+    scores = np.array([model.score(text) for text, _ in rows])
+    marks = np.array([mark for _, mark in rows])
+    assert ((scores >= 0.3) == marks).mean() > 0.95
+
+
+def test_only_toxic_windows_are_saved_on(model):
+    assert model.measures(f"{prose(5, 20)} blorfus skranty")[0] >= 3
+    assert model.measures(prose(6, 400))[0] <= 1
+    assert model.measures("") == model.measures(None) == [0.0] * 4
+
+
+def test_a_long_text_is_scored_whole(model):
+    long = prose(7, 60_000)
+    assert model.score(long) < 0.3 < model.score(long + " blorfus vumpel plonth skranty zwerkig" * 40)
+
+
+def test_documents(spark):
+    rows = op3_toxicity(spark, SMALL).collect()
+    assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_odd_documents(spark, odd, model):
+    rows = classify(odd, model).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
+    empty = {r.score for r in rows if r.doc_id in (3, 4, 5)}
+    assert len(empty) == 1
+
+
+def test_training_passes_over_what_is_not_marked(spark, odd):
+    labels = spark.createDataFrame(
+        [(1, 1), (2, 0), (3, 1), (None, 1), (9, None), (9, 0), (77, 1), (11, 0)], "doc_id long, toxic int"
+    )
+    assert 0 <= train(odd, labels).score("x") <= 1
+
+
+@pytest.mark.parametrize("marks", [[], [0, 0], [1]])
+def test_without_both_kinds_the_share_counts(marks):
+    found = fit([(prose(i, 20), mark) for i, mark in enumerate(marks)])
+    assert found.score("anything") == found.score("") == pytest.approx((sum(marks) + 0.5) / (len(marks) + 2))
+
+
+def test_no_documents(nothing, model):
+    assert classify(nothing, model).isEmpty()
+
+
+def test_few_documents(spark):
+    few = [(f"{prose(i, 30)} {'blorfus' if i % 3 else ''}", int(i % 3 > 0)) for i in range(12)]
+    assert 0 <= fit(few).score(few[0][0]) <= 1
+    assert table(spark, []).isEmpty()

@@ -1,7 +1,7 @@
 """Passages of several lines that stand in more than one place, kept once.
 
-A line is what ends with a newline; of a paragraph written on one line, each
-sentence counts as one.  A rolling hash over the hashes of neighbouring lines
+A line is what ends with a newline; a paragraph written on one line is taken apart
+behind its punctuation marks, and each part counts as one.  A rolling hash over the hashes of neighbouring lines
 chooses where chunks end, by content alone: text put in before a passage does not
 move the ends inside it.  Chunks of two or more lines that occur again, in
 any document, are removed wherever they are not first, after their bytes were
@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedlift.llm.common import read_table, row_hash, written
 
-# A line and the next part after a newline, or after a sentence's end and a blank.
-LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
+# A line ends behind a newline, or a mark and a blank.
+LINE_ENDS = r"(?<=\n)|(?<=[.!?,;:] )"
 # One place in so many is the end of a chunk.
 MEAN_LINES = 3
-# A chunk is removed only if it has at least so many lines.
+# A chunk is removed only if it has at least so many lines and characters: what is
+# shorter comes again in texts that have nothing to do with each other.
 LEAST_LINES = 2
+LEAST_CHARS = 50
 BASE, PRIME = 1_000_003, 2_147_483_647
 
 
@@ -61,7 +63,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", row_hash().alias("text_key"), F.col("text").alias("_text"))
     cut = with_chunks(rows.where("_text <> ''"), _lines("_text"))
     chunks = cut.select("doc_id", "text_key", F.explode("_chunks").alias("c"))
-    chunks = chunks.where((F.col("c.n") >= LEAST_LINES) & (F.trim("c.text") != ""))
+    chunks = chunks.where((F.col("c.n") >= LEAST_LINES) & (F.char_length(F.trim("c.text")) >= LEAST_CHARS))
     chunks = chunks.select(
         "doc_id", "text_key", "c.k", F.xxhash64("c.text").alias("hash"), F.col("c.text").alias("part")
     )

@@ -16,7 +16,7 @@ def _hash(text):
 
 
 def chunks(text):
-    lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", text) if x]
+    lines = [x for x in re.split(r"(?<=\n)|(?<=[.!?,;:] )", text) if x]
     out, now = [], []
     for i, line in enumerate(lines):
         now.append(line)
@@ -41,7 +41,7 @@ def plain(rows):
         left = ""
         for chunk in chunks(text):
             part = "".join(chunk)
-            if len(chunk) > 1 and part.strip(" "):
+            if len(chunk) > 1 and len(part.strip(" ")) >= 50:
                 if part in seen:
                     continue
                 seen.add(part)
@@ -76,6 +76,11 @@ def test_a_passage_is_found_wherever_it_stands(spark):
         assert left[i].startswith(rows[i][1][:100]) and left[i].endswith(prose(300 + i, 20)[-40:])
 
 
+def test_short_phrases_stay(spark):
+    rows = [(i, f"{prose(i, 30)} Well, yes, of course. {prose(50 + i, 30)}") for i in range(20)]
+    assert all(r.text == rows[r.doc_id][1] for r in drop_repeats(table(spark, rows)).collect())
+
+
 def test_stage_keeps_rows_and_columns(spark, odd):
     out = dedup_stage(spark, odd, "")
     assert out.columns == odd.columns and out.count() == odd.count()

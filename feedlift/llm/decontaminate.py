@@ -29,7 +29,7 @@ LEAST_RUN = 4
 MOST_SHIFT = 8
 # Benchmarks of up to so many windows are known to the tasks that read documents, which
 # then drop windows that cannot meet one.  Beyond, every window goes into the join.
-MOST_KNOWN = 2_000_000
+MOST_KNOWN = 1_000_000
 # Units after a number; fixed values.
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres "
@@ -129,7 +129,7 @@ def _known(windows: DataFrame) -> np.ndarray | None:
     distinct = windows.select("hash").distinct()
     if distinct.count() > MOST_KNOWN:
         return None
-    return np.sort(np.fromiter((row[0] for row in distinct.collect()), np.int64))
+    return np.sort(distinct.toArrow()["hash"].to_numpy())
 
 
 def passages(docs: DataFrame, known: np.ndarray | None, margin: int) -> DataFrame:

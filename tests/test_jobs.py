@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 
 from conftest import SMALL
 from feedlift.jobs import ingest, publish
@@ -263,3 +263,15 @@ def test_a_table_with_bounded_texts_needs_a_place_for_longer_ones(spark, tmp_pat
         run_ingest(spark, work, "--table", "jobs_bounded")
     run_ingest(spark, work, "--table", "jobs_bounded", "--rejects", f"{work}/aside")
     assert_all(spark, spark.table("jobs_bounded"))
+
+
+def test_a_sink_that_cannot_be_read_stops_the_job_first(spark, tmp_path):
+    work = str(tmp_path)
+    _envelope(events_feed(spark, SMALL)).write.parquet(f"{work}/topic")
+    sink = ["--sink-format", "parquet", "--sink-option", f"path={work}/out", "--look-first"]
+    with pytest.raises(AnalysisException):
+        run_ingest(spark, work, *sink)
+    assert not os.path.exists(f"{work}/ingest")
+    spark.read.parquet(f"{work}/topic").limit(0).transform(read_posts).write.parquet(f"{work}/out")
+    run_ingest(spark, work, *sink)
+    assert_all(spark, spark.read.parquet(f"{work}/out"))

@@ -55,13 +55,8 @@ def _template_words(text: str) -> list[str]:
     return [word for word in re.split(_NOT_WORD, text.lower()) if word]
 
 
-def templates(
-    spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES
-) -> DataFrame:
-    """One row for each pair of neighbouring words of each template.
-
-    As large as the dictionaries handed over, whatever the corpus.
-    """
+def _template_pairs(phrases: dict[str, str], notices: dict[str, str]) -> list[tuple]:
+    """Label, whether word for word, number of pairs, place, and the two words."""
     rows = []
     for exact, given in ((True, phrases), (False, notices)):
         for label, text in given.items():
@@ -70,8 +65,18 @@ def templates(
                 raise ValueError(f"template {label!r} has fewer than two words")
             for place, (one, two) in enumerate(zip(words, words[1:], strict=False)):
                 rows.append((label, exact, len(words) - 1, place, one, two))
+    return rows
+
+
+def templates(
+    spark: SparkSession, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES
+) -> DataFrame:
+    """One row for each pair of neighbouring words of each template.
+
+    As large as the dictionaries handed over, whatever the corpus.
+    """
     schema = "label string, exact boolean, pairs int, t int, t_one string, t_two string"
-    table = spark.createDataFrame(rows, schema)
+    table = spark.createDataFrame(_template_pairs(phrases, notices), schema)
     return table.withColumn("t_hash", F.xxhash64("t_one", "t_two"))
 
 
@@ -188,3 +193,51 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("all", ",").alias("labels"),
         "score",
     )
+
+
+_VALUES = ", ".join(
+    f"('{label}', {exact}, {pairs}, {t}, '{one}', '{two}')"
+    for label, exact, pairs, t, one, two in _template_pairs(PHRASES, NOTICES)
+)
+ORACLE = f"""
+WITH templates(label, exact, pairs, t, one, two) AS (VALUES {_VALUES}),
+docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{_NOT_WORD}'),
+                       lambda x: x <> '') AS w
+    FROM documents),
+pairs AS (
+    SELECT r, p, w[p + 1] AS a, w[p + 2] AS b
+    FROM (SELECT r, w, unnest(range(len(w) - 1)) AS p FROM docs WHERE len(w) > 1)),
+lines AS (
+    SELECT r, label, exact, pairs, p - t AS diagonal, min(p) AS p_first, max(p) AS p_last,
+           list(DISTINCT t) AS ts
+    FROM pairs JOIN templates ON a = one AND b = two
+    GROUP BY ALL HAVING exact OR count(DISTINCT t) >= least({LEAST_VOTES}, pairs)),
+stepped AS (
+    SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER o <= {MOST_SHIFT} IS NOT TRUE
+                   THEN 1 ELSE 0 END AS apart
+    FROM lines WINDOW o AS (PARTITION BY r, label ORDER BY diagonal)),
+placed AS (
+    SELECT *, sum(apart) OVER (PARTITION BY r, label ORDER BY diagonal) AS place FROM stepped),
+places AS (
+    SELECT r, label, exact, pairs, place, min(p_first) AS "first", max(p_last) + 1 AS "last",
+           len(list_distinct(flatten(list(ts)))) AS found
+    FROM placed GROUP BY ALL),
+spans AS (
+    SELECT * FROM places
+    WHERE CASE WHEN exact THEN found = pairs
+               ELSE found / pairs >= {LEAST_COVERED}
+                    AND "last" - "first" <= 2 * pairs + {MOST_SHIFT} END),
+by_doc AS (
+    SELECT r, count(*) FILTER (exact) AS n_base, min("first") FILTER (exact) AS first_word,
+           max("first") FILTER (exact) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(found / pairs) AS score
+    FROM spans GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN by_doc USING (r)
+"""

@@ -1,11 +1,12 @@
 """The queries of this subpackage, by name, and their SQL.
 
-The SQL of most would have to repeat hashing, compression or encoding that
-DuckDB lacks: their tests hold them against plain versions instead.
+The others would have to repeat hashing, compression or encoding that DuckDB
+lacks: their tests hold them against plain versions instead.
 """
 
 from __future__ import annotations
 
+from feedlift.llm import licenses
 from feedlift.llm.decontaminate import op2_decontaminate
 from feedlift.llm.language import op4_language
 from feedlift.llm.licenses import op1_license_scan
@@ -29,4 +30,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_license_scan": licenses.ORACLE}

@@ -108,9 +108,13 @@ def steps(spark: SparkSession, work: str, path: str) -> dict[str, Callable[[], o
         "normalize": lambda: noop(events_feed(spark, work)),
         "normalize_encode": lambda: noop(posts_to_messages(events_feed(spark, work))),
         "decode_flatten": lambda: noop(topic().transform(read_posts)),
-        "decode_place_six": lambda: topic().transform(read_posts).transform(six).write.parquet(out()),
+        "decode_place_six": lambda: (
+            topic().transform(read_posts).transform(six).write.parquet(out())
+        ),
         "stream_folder": lambda: stream(batch_writer(replace_in_folder(out()))),
-        "stream_folder_rebalanced": lambda: stream(batch_writer(replace_in_folder(out()), rebalance())),
+        "stream_folder_rebalanced": lambda: stream(
+            batch_writer(replace_in_folder(out()), rebalance())
+        ),
         "stream_table": to_table,
         "stream_shuffled_cached": lambda: stream(checked_shuffled_cached),
     }

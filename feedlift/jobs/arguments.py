@@ -42,7 +42,7 @@ def add_running(parser: argparse.ArgumentParser, rejects_here: bool = False) ->
     named = {"nargs": "?", "const": ""} if rejects_here else {}
     parser.add_argument("--rejects", help="folder for rows set aside, in parquet", **named)
     parser.add_argument(
-        "--archive", help="files: folder that finished ones are moved to, so that listing stays short"
+        "--archive", help="files: folder for finished ones, so that listing the others stays short"
     )
     when = parser.add_mutually_exclusive_group()
     when.add_argument("--every", metavar="INTERVAL", help="start batches at this interval")

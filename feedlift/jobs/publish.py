@@ -40,7 +40,7 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--topic-format", default="kafka")
     add_options(parser, "--topic-option", "option of the topic's format")
     parser.add_argument(
-        "--counts", help="type of the feed's counts; by default that of the files there, else BIGINT"
+        "--counts", help="type of the feed's counts; by default that of its files, else BIGINT"
     )
     parser.add_argument("--include-existing", action="store_true", help="also what is there now")
     add_running(parser)
@@ -87,7 +87,10 @@ def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
     raw, when = feed(**clean_source(arguments)), trigger(arguments)
     if not arguments.rejects:
         return stream_topic(raw.transform(to_messages), place, fmt, arguments.topic, when)
-    write = append_to(fmt, **arguments.topic) if to_broker else to_file_topic(raw, fmt, arguments.topic)
+    if to_broker:
+        write = append_to(fmt, **arguments.topic)
+    else:
+        write = to_file_topic(raw, fmt, arguments.topic)
     aside = replace_in_folder(arguments.rejects)
     return start_publish(raw, place, write, aside, to_messages, when, "publish")
 

@@ -198,8 +198,8 @@ ORACLES: dict[str, str] = {
     "topic_envelope": _ENVELOPE,
     "topic_publish_stream": _target(EVENTS),
     "topic_publish_rejects": f"""
-        SELECT * REPLACE (CAST(score AS DOUBLE) AS score, CAST(num_comments AS DOUBLE) AS num_comments),
-               'sent' AS outcome
+        SELECT * REPLACE (CAST(score AS DOUBLE) AS score,
+                          CAST(num_comments AS DOUBLE) AS num_comments), 'sent' AS outcome
         FROM ({_wire(f"SELECT * FROM ({EVENTS}) JOIN events ON n = event_id WHERE {_GAPS} = ''")})
         UNION ALL BY NAME {_ASIDE}""",
     "topic_publish_mixed": _target(EVENTS, DOCUMENTS),
@@ -216,7 +216,8 @@ ORACLES: dict[str, str] = {
     "stream_rejects": _OUTCOMES,
     "stream_rejects_one_pass": _OUTCOMES,
     "stream_long_text": f"""
-        SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN repeat('y', 1100) ELSE title END AS title)
+        SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN repeat('y', 1100)
+                               ELSE title END AS title)
         FROM ({_target(EVENTS)})""",
     "sink_ensure_table": _target(EVENTS),
     "sink_append": _target(EVENTS, CONVERSATIONS),

@@ -352,7 +352,7 @@ def src_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_skip_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing there at the first start, a first batch whose write fails, a restart: nothing is lost."""
+    """Nothing there at the first start, a first batch that fails, a restart: nothing is lost."""
     work = fresh_folder(spark, "latest")
     path, checkpoint = f"{work}/topic", f"{work}/checkpoint"
     # Partitioned, so that no rows leave no files.
@@ -461,7 +461,8 @@ def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         trigger=ALL_NOW,
     ).awaitTermination()
     sent = _envelope(events_feed(spark, sf_dir)).transform(_damage)
-    return _with_outcomes(_ingested(spark, f"{work}/out"), spark.read.parquet(f"{work}/rejects"), sent)
+    aside = spark.read.parquet(f"{work}/rejects")
+    return _with_outcomes(_ingested(spark, f"{work}/out"), aside, sent)
 
 
 def stream_rejects_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:

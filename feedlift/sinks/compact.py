@@ -54,7 +54,8 @@ def copy_batches(spark: SparkSession, table: str, run: str, last: int, folder: s
     if not batches:
         return False
     path = f"{folder.rstrip('/')}/{run}-{batches[0]}-{batches[-1]}-{uuid.uuid4().hex}"
-    rows = spark.table(table).where((F.col(RUN) == run) & F.col(BATCH).between(batches[0], batches[-1]))
+    closed = (F.col(RUN) == run) & F.col(BATCH).between(batches[0], batches[-1])
+    rows = spark.table(table).where(closed)
     rows.select(TARGET_COLUMNS).hint("rebalance").write.parquet(path)
     spark.sql(
         f"ALTER TABLE {archive_of(table)} ADD PARTITION ({RUN} = '{run}', "
@@ -69,7 +70,8 @@ def drop_copied(spark: SparkSession, table: str, run: str) -> None:
     for part in _partitions(spark, table, run):
         batch = int(part[BATCH])
         if any(first <= batch <= last for first, last in ranges):
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({RUN} = '{run}', {BATCH} = {batch})")
+            named = f"{RUN} = '{run}', {BATCH} = {batch}"
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({named})")
 
 
 def compact(spark: SparkSession, table: str, run: str, last: int, folder: str) -> None:
@@ -84,7 +86,7 @@ def read_whole(spark: SparkSession, table: str) -> DataFrame:
     """Every row once: the archive, and the batches of the table that it does not have."""
     archive = spark.table(archive_of(table))
     # One row for each archived range.
-    ranges = archive.select(F.col(RUN).alias("_run"), F.col(FIRST).alias("_first"), F.col(LAST).alias("_last"))
+    ranges = archive.selectExpr(f"{RUN} AS _run", f"{FIRST} AS _first", f"{LAST} AS _last")
     rows = spark.table(table)
     met = (F.col(RUN) == F.col("_run")) & F.col(BATCH).between(F.col("_first"), F.col("_last"))
     rest = rows.join(ranges.distinct(), met, "left_anti")

@@ -55,7 +55,8 @@ def ensure_table(
 def bounded_columns(spark: SparkSession, name: str) -> list[str]:
     """Columns of a table that refuse texts beyond a length."""
     rows = spark.sql(f"DESCRIBE TABLE {name}").collect()  # a row for each column
-    return [row["col_name"] for row in rows if (row["data_type"] or "").startswith(("varchar", "char"))]
+    bounded = ("varchar", "char")
+    return [row["col_name"] for row in rows if (row["data_type"] or "").startswith(bounded)]
 
 
 def append_to_table(name: str) -> WriteBatch:

@@ -49,7 +49,8 @@ def stream_topic(
     """
     options = dict(options or {})
     if fmt != "kafka":
-        return start_batches(messages, batch_writer(to_file_topic(messages, fmt, options)), checkpoint, trigger)
+        writer = batch_writer(to_file_topic(messages, fmt, options))
+        return start_batches(messages, writer, checkpoint, trigger)
     writer = _columns(messages, fmt).writeStream.format(fmt).options(**options)
     writer = writer.outputMode("append").option("checkpointLocation", checkpoint)
     return with_trigger(writer, trigger).start()

@@ -248,28 +248,30 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     places = written(passages(docs, _known(windows), margin), "op2-places")
     place = ["doc_id", "text_key", "place"]
     hits = places.select(*place, F.explode("hashes").alias("hash")).join(windows, "hash")
-    votes = hits.select(*place, "item_id").distinct().withColumnsRenamed({n: f"v_{n}" for n in place})
+    votes = hits.select(*place, "item_id").distinct()
+    votes = votes.withColumnsRenamed({name: f"v_{name}" for name in place})
     met = (
         places["doc_id"].eqNullSafe(votes["v_doc_id"])
         & (places["text_key"] == votes["v_text_key"])
         & (places["place"] == votes["v_place"])
     )
-    pairs = places.select(*place, "part").join(votes, met).select("doc_id", "text_key", "item_id", "part")
+    named_by = ["doc_id", "text_key", "item_id"]
+    pairs = places.select(*place, "part").join(votes, met).select(*named_by, "part")
     pairs = pairs.join(named.distinct().withColumnRenamed("text", "item"), "item_id")
 
     def verify(rows: list[dict]) -> pa.RecordBatch:
         found = [compare(row["item"], row["part"]) for row in rows]
-        columns = [pa.array([row[n] for row in rows], pa.int64()) for n in ("doc_id", "text_key", "item_id")]
+        columns = [pa.array([row[name] for row in rows], pa.int64()) for name in named_by]
         columns += [
             pa.array([x[0] for x in found], pa.float64()),
             pa.array([x[1] for x in found], pa.string()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "item_id", "covered", "kind"])
+        return pa.RecordBatch.from_arrays(columns, [*named_by, "covered", "kind"])
 
     schema = "doc_id long, text_key long, item_id long, covered double, kind string"
     checked = map_slices(pairs, verify, schema)
     checked = checked.where((F.col("covered") >= LEAST_COVERED) & (F.col("kind") != "slots"))
-    return checked.groupBy("doc_id", "text_key", "item_id").agg(
+    return checked.groupBy(*named_by).agg(
         F.max("covered").alias("covered"), F.min("kind").alias("kind")
     )
 
@@ -277,9 +279,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    found = found.select(F.col("doc_id").alias("_op2_id"), F.col("text_key").alias("_op2_key")).distinct()
+    found = found.selectExpr("doc_id AS _op2_id", "text_key AS _op2_key").distinct()
     keyed = docs.withColumn("_op2_text_key", row_hash())
-    met = keyed["doc_id"].eqNullSafe(found["_op2_id"]) & (keyed["_op2_text_key"] == found["_op2_key"])
+    met = keyed["doc_id"].eqNullSafe(found["_op2_id"]) & (
+        keyed["_op2_text_key"] == found["_op2_key"]
+    )
     return keyed.join(found, met, "left_anti").drop("_op2_text_key")
 
 

@@ -132,7 +132,8 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score"])
 
-    return map_slices(docs.select("doc_id", "text"), predict, "doc_id long, lang_pred string, score double")
+    schema = "doc_id long, lang_pred string, score double"
+    return map_slices(docs.select("doc_id", "text"), predict, schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

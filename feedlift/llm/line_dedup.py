@@ -1,11 +1,11 @@
 """Passages of several lines that stand in more than one place, kept once.
 
 A line is what ends with a newline; a paragraph written on one line is taken apart
-behind its punctuation marks, and each part counts as one.  A rolling hash over the hashes of neighbouring lines
-chooses where chunks end, by content alone: text put in before a passage does not
-move the ends inside it.  Chunks of two or more lines that occur again, in
-any document, are removed wherever they are not first, after their bytes were
-compared.  All of it is built-in functions.
+behind its punctuation marks, and each part counts as one.  A rolling hash over the
+hashes of neighbouring lines chooses where chunks end, by content alone: text put in
+before a passage does not move the ends inside it.  Chunks of two or more lines that
+occur again, in any document, are removed wherever they are not first, after their
+bytes were compared.  All of it is built-in functions.
 """
 
 from __future__ import annotations
@@ -63,9 +63,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", row_hash().alias("text_key"), F.col("text").alias("_text"))
     cut = with_chunks(rows.where("_text <> ''"), _lines("_text"))
     chunks = cut.select("doc_id", "text_key", F.explode("_chunks").alias("c"))
-    chunks = chunks.where((F.col("c.n") >= LEAST_LINES) & (F.char_length(F.trim("c.text")) >= LEAST_CHARS))
+    long = F.char_length(F.trim("c.text")) >= LEAST_CHARS
+    chunks = chunks.where((F.col("c.n") >= LEAST_LINES) & long)
+    part = F.col("c.text")
     chunks = chunks.select(
-        "doc_id", "text_key", "c.k", F.xxhash64("c.text").alias("hash"), F.col("c.text").alias("part")
+        "doc_id", "text_key", "c.k", F.xxhash64(part).alias("hash"), part.alias("part")
     )
     place = F.struct("doc_id", "text_key", "k")
     seen = chunks.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -37,9 +37,7 @@ _COLUMNS = {
     "offset": pa.int64(),
     "ids": pa.binary(),
 }
-SCHEMA = (
-    "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-)
+SCHEMA = ", ".join(f"{name} {'binary' if name == 'ids' else 'long'}" for name in _COLUMNS)
 
 
 def divide(sizes: list[int], windows: int) -> list[list[int]]:
@@ -124,7 +122,8 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
                 column.append(value)
 
         def flush() -> pa.RecordBatch:
-            arrays = [pa.array(x, kind) for x, kind in zip(out.values(), _COLUMNS.values(), strict=True)]
+            typed = zip(out.values(), _COLUMNS.values(), strict=True)
+            arrays = [pa.array(values, kind) for values, kind in typed]
             for column in out.values():
                 column.clear()
             return pa.RecordBatch.from_arrays(arrays, list(_COLUMNS))

@@ -37,6 +37,7 @@ def features(text: str) -> dict[str, Column]:
     """Shares and counts over a whole text that tell prose from junk."""
     n = F.greatest(F.char_length(text), F.lit(1))
     words = F.size("_words")
+    again = F.expr("zip_with(_words, slice(_words, 2, size(_words)), (a, b) -> a = b)")
     symbols = _kept(text, r"[\p{L}\p{N}\s.,;:'\"?()-]+") / n
     return {
         "symbols": F.sqrt(symbols),
@@ -45,9 +46,7 @@ def features(text: str) -> dict[str, Column]:
         "digits": F.sqrt(_kept(text, r"[^\p{N}]+") / n),
         "lines": F.sqrt((n - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))) / n),
         "distinct": F.size(F.array_distinct("_words")) / F.greatest(words, F.lit(1)),
-        "repeated": F.sqrt(F.expr(
-            "size(filter(zip_with(_words, slice(_words, 2, size(_words)), (a, b) -> a = b), x -> x))"
-        ) / F.greatest(words, F.lit(1))),
+        "repeated": F.sqrt(F.size(F.filter(again, lambda x: x)) / F.greatest(words, F.lit(1))),
         "word_length": F.least(F.log1p(n / F.greatest(words, F.lit(1))), F.lit(4.0)),
         "words": F.log1p(words.cast("double")),
     }
@@ -133,7 +132,8 @@ def sum_sites(evidence: DataFrame) -> Sites:
         F.count(F.lit(1)).alias("n"), F.sum("_p").alias("s")
     )
     by_path = written(by_path, "op9-paths")
-    total = by_path.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k")).first()
+    count = F.count(F.lit(1)).alias("k")
+    total = by_path.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), count).first()
     rate = (total["s"] + 0.5) / (total["n"] + 1) if total["n"] else 0.5
     hosts = by_path.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     host_strength = _strength(hosts, F.lit(rate))
@@ -154,14 +154,17 @@ def sum_sites(evidence: DataFrame) -> Sites:
 def with_posterior(evidence: DataFrame, sites: Sites) -> DataFrame:
     """Adds ``_host_rate`` and ``_path_rate``, each without the document itself, and ``_score``."""
     paths = F.broadcast(sites.paths) if sites.few else sites.paths
-    met = F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path"))
+    met = F.col("_host").eqNullSafe(F.col("_site_host"))
+    met = met & F.col("_path").eqNullSafe(F.col("_site_path"))
     rows = evidence.join(paths, met)
     host_n, host_s = F.col("_host_n") - 1, F.col("_host_s") - F.col("_p")
     path_n, path_s = F.col("_path_n") - 1, F.col("_path_s") - F.col("_p")
     host_rate = (sites.rate * sites.host_strength + host_s) / (sites.host_strength + host_n)
     rows = rows.withColumn("_host_rate", host_rate)
-    path_rate = (F.col("_host_rate") * sites.path_strength + path_s) / (sites.path_strength + path_n)
-    rows = rows.withColumn("_path_rate", F.greatest(F.least(path_rate, F.lit(1 - 1e-6)), F.lit(1e-6)))
+    strength = sites.path_strength
+    path_rate = (F.col("_host_rate") * strength + path_s) / (strength + path_n)
+    path_rate = F.greatest(F.least(path_rate, F.lit(1 - 1e-6)), F.lit(1e-6))
+    rows = rows.withColumn("_path_rate", path_rate)
     rate = math.log(sites.rate / (1 - sites.rate))
     posterior = F.col("_logit") + _logit(F.col("_path_rate")) - rate
     score = F.when(F.col("_has_words"), 1 / (1 + F.exp(-posterior))).otherwise(0.0)

@@ -84,19 +84,16 @@ def near_pairs(sets: DataFrame, near: float = NEAR) -> DataFrame:
     Empty sets have no pairs.
     """
     rows = sets.where(F.size("signatures") > 0)
-    each = rows.select("set_id", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
+    size = F.size("signatures").alias("n")
+    each = rows.select("set_id", size, F.explode("signatures").alias("s"))
     counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(counts, "s").groupBy("set_id", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "s"))).alias("by_df")
     )
     prefix = (F.col("n") - F.ceil(F.col("n") * near - 1e-9) + 1).cast("int")
     partition = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / near) + 1e-9)
-    rare = written(
-        ranked.select(
-            "set_id", "n", partition.alias("p"), F.explode(F.slice("by_df.s", F.lit(1), prefix)).alias("s")
-        ),
-        "op7-rare",
-    )
+    rarest = F.explode(F.slice("by_df.s", F.lit(1), prefix)).alias("s")
+    rare = written(ranked.select("set_id", "n", partition.alias("p"), rarest), "op7-rare")
     one = rare.select(F.col("set_id").alias("u"), F.col("n").alias("n_u"), "p", "s")
     two = rare.select(
         F.col("set_id").alias("v"),
@@ -123,9 +120,10 @@ def _run_of(bounds: list[int]) -> Column:
     else:
         steps = [1 << bit for bit in reversed(range(len(bounds).bit_length()))]
         listed = "array(" + ", ".join(f"{b}L" for b in bounds) + ")"
+        further = f"low + step <= {len(bounds)} AND get({listed}, low + step - 1) < doc_id"
         place = F.expr(
-            f"aggregate(array({', '.join(map(str, steps))}), 0, (low, step) -> "
-            f"if(low + step <= {len(bounds)} AND get({listed}, low + step - 1) < doc_id, low + step, low))"
+            f"aggregate(array({', '.join(map(str, steps))}), 0, "
+            f"(low, step) -> if({further}, low + step, low))"
         )
     return F.when(F.col("doc_id").isNull(), -1).otherwise(place)
 
@@ -147,9 +145,10 @@ def with_next(rows: DataFrame, *columns: str) -> DataFrame:
         bounds = sorted(set(cuts.first()["c"] or []))
     placed = rows.withColumn("_run", _run_of(bounds))
     # One row for each run: its first id, and the run that ends before it.
-    heads = ids.withColumn("_run", _run_of(bounds)).groupBy("_run").agg(F.max("doc_id").alias("_head"))
-    found = sorted(heads.collect(), key=lambda row: row["_run"])
-    above = [(row["_run"], row["_head"], found[(i + 1) % len(found)]["_run"]) for i, row in enumerate(found)]
+    heads = ids.withColumn("_run", _run_of(bounds)).groupBy("_run")
+    found = sorted(heads.agg(F.max("doc_id").alias("_head")).collect())
+    after = found[1:] + found[:1]
+    above = [(*row, before["_run"]) for row, before in zip(found, after, strict=True)]
     table = rows.sparkSession.createDataFrame(above, "_head_run int, _head long, _before int")
     met = (F.col("_run") == F.col("_head_run")) & F.col("doc_id").eqNullSafe(F.col("_head"))
     # At most MOST_RUNS + 2 rows of three numbers.
@@ -160,8 +159,8 @@ def with_next(rows: DataFrame, *columns: str) -> DataFrame:
     marked = marked.withColumn("_place", F.explode(places)).select(
         *rows.columns, F.col("_place.run").alias("_run"), F.col("_place.extra").alias("_extra")
     )
-    order = [F.col("_extra"), F.col("doc_id").desc_nulls_last(), F.col("text_key").desc_nulls_last()]
-    along = Window.partitionBy("_run").orderBy(*order)
+    falling = [F.col(name).desc_nulls_last() for name in ("doc_id", "text_key")]
+    along = Window.partitionBy("_run").orderBy("_extra", *falling)
     out = marked.withColumns({f"next_{name}": F.lead(name).over(along) for name in columns})
     return out.where(~F.col("_extra")).drop("_run", "_extra")
 

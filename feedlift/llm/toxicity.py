@@ -151,11 +151,8 @@ def _standing(words: list[tuple[set[str], int]]) -> set[str]:
         if not mark:
             others.update(_grams(own) & parts.keys())
     least = BEYOND_CHANCE + 2 * math.log(max(1, len(parts)))
-    chosen = {
-        gram
-        for gram, n in parts.items()
-        if _ratio(n, others[gram], *totals) >= least and _odds(n, others[gram], *totals) >= LEAST_ODDS
-    }
+    likelier = {g for g, n in parts.items() if _odds(n, others[g], *totals) >= LEAST_ODDS}
+    chosen = {g for g in likelier if _ratio(parts[g], others[g], *totals) >= least}
     found = Counter(w for own, mark in words if mark for w in own if _grams({w}) & chosen)
     others = Counter(w for own, mark in words if not mark for w in own & found.keys())
     return {w for w, n in found.items() if _odds(n, others[w], *totals) > 1}
@@ -199,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marks = marks.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_mark"))
-    sizes = {row["_mark"]: row["n"] for row in marks.groupBy("_mark").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {row["_mark"]: row["count"] for row in marks.groupBy("_mark").count().collect()}
     chosen = None
     for mark, most in ((0, MOST_ORDINARY), (1, MOST_TOXIC)):
         part = sampled(marks.where(F.col("_mark") == mark), most, sizes.get(mark, 0), "doc_id")

@@ -87,10 +87,16 @@ class Encoder:
         self._after_blanks = Remembered(self._after_blank)
         self._marks = {mark: self._piece(mark) for mark in ".,;:!?"}
 
+    def _tokens(self, piece: str) -> list:
+        return self._model.tokenize(piece.encode().decode("latin-1").translate(self._characters))
+
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token."""
-        written = piece.encode().decode("latin-1").translate(self._characters)
-        return np.array([token.id for token in self._model.tokenize(written)], "<u4").tobytes()
+        return np.array([token.id for token in self._tokens(piece)], "<u4").tobytes()
+
+    def count(self, piece: str) -> int:
+        """How many tokens a pre-token has."""
+        return len(self._tokens(piece))
 
     def _after_blank(self, part: str) -> bytes:
         """Ids of a blank and a part without blanks."""

@@ -27,9 +27,7 @@ class Counter:
     """Pre-token to its number of tokens.  Special tokens' strings are ordinary text."""
 
     def __init__(self, path: str) -> None:
-        pieces = encoder(path).pieces
-        self._known = Remembered(lambda piece: len(pieces[piece]) // 4)
-        self.of = self._known.__getitem__
+        self.of = Remembered(encoder(path).count, most=200_000).__getitem__
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -55,6 +53,16 @@ def _sums(blocks: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], *reversed(levels)]).astype(np.int64)
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"u{packed[0]}", offset=1).astype(np.int64)
+
+
 @dataclass
 class Tree:
     """Pre-tokens of one text: lengths and token counts in blocks, and their sums."""
@@ -113,8 +121,11 @@ class Tree:
                 sums[node] = sums[2 * node] + sums[2 * node + 1]
                 node //= 2
 
-    def edit(self, text: str, start: int, removed: int, inserted: str, count: Counter) -> tuple[str, int]:
-        """The text with ``removed`` characters at ``start`` replaced; how many pre-tokens were encoded."""
+    def edit(
+        self, text: str, start: int, removed: int, inserted: str, count: Counter
+    ) -> tuple[str, int]:
+        """The text with ``removed`` characters at ``start`` replaced, and how many
+        pre-tokens were encoded for that."""
         start = min(max(0, start), len(text))
         removed = min(max(0, removed), len(text) - start)
         new = text[:start] + inserted + text[start + removed :]
@@ -142,17 +153,14 @@ class Tree:
             at = match.end()
         last = min(block, len(self.lengths) - 1)
         rest = leaf if block < len(self.lengths) else len(self.lengths[last])
-        for part, values, kind in (("lengths", lengths, 0), ("tokens", tokens, 1)):
-            own = getattr(self, part)
-            joined = np.concatenate(
-                [own[first][:first_leaf], np.array(values, np.int32), own[last][rest:]]
-            ).astype(np.int32)
-            if kind == 0:
-                new_lengths = joined
-            else:
-                new_tokens = joined
-        empty = np.zeros(0, np.int32)
-        self._put(first, new_lengths, new_tokens)
+
+        def joined(own: list[np.ndarray], fresh: list[int]) -> np.ndarray:
+            parts = own[first][:first_leaf], np.array(fresh, np.int64), own[last][rest:]
+            return np.concatenate(parts)
+
+        new_lengths = joined(self.lengths, lengths)
+        self._put(first, new_lengths, joined(self.tokens, tokens))
+        empty = np.zeros(0, np.int64)
         for number in range(first + 1, last + 1):
             self._put(number, empty, empty)
         if len(new_lengths) > 4 * BLOCK:
@@ -160,18 +168,16 @@ class Tree:
             self.__dict__.update(fresh.__dict__)
         return new, len(lengths)
 
-    def packed(self) -> tuple[bytes, bytes, bytes, bytes, bytes]:
-        sizes = np.array([len(block) for block in self.lengths], np.int32)
-        lengths = np.concatenate(self.lengths).astype(np.int32)
-        tokens = np.concatenate(self.tokens).astype(np.int32)
-        arrays = (sizes, lengths, tokens, self.length_sums, self.token_sums)
-        return tuple(array.tobytes() for array in arrays)
+    def packed(self) -> tuple[bytes, ...]:
+        sizes = np.array([len(block) for block in self.lengths])
+        arrays = (sizes, np.concatenate(self.lengths), np.concatenate(self.tokens))
+        return tuple(_narrow(array) for array in (*arrays, self.length_sums, self.token_sums))
 
     @classmethod
-    def unpacked(cls, sizes: bytes, lengths: bytes, tokens: bytes, of_length: bytes, of_tokens: bytes) -> Tree:
-        cuts = np.cumsum(np.frombuffer(sizes, np.int32))[:-1]
-        parts = (np.split(np.frombuffer(x, np.int32), cuts) for x in (lengths, tokens))
-        return cls(*parts, *(np.frombuffer(x, np.int64).copy() for x in (of_length, of_tokens)))
+    def unpacked(cls, *packed: bytes) -> Tree:
+        sizes, lengths, tokens, length_sums, token_sums = map(_wide, packed)
+        cuts = np.cumsum(sizes)[:-1]
+        return cls(np.split(lengths, cuts), np.split(tokens, cuts), length_sums, token_sums)
 
 
 _TREE = ("sizes", "lengths", "tokens", "length_sums", "token_sums")
@@ -221,9 +227,8 @@ def apply_edits(state: DataFrame, path: str | None = None) -> DataFrame:
             more["n_before"].append(tree.total)
             encoded = 0
             for change in row["edits"] or ():
-                text, some = tree.edit(
-                    text, change["start"], change["removed"], change["inserted"] or "", counter(path)
-                )
+                place, inserted = (change["start"], change["removed"]), change["inserted"] or ""
+                text, some = tree.edit(text, *place, inserted, counter(path))
                 encoded += some
             more["n_encoded"].append(encoded)
             more["n_pieces"].append(sum(map(len, tree.lengths)))

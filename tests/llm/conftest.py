@@ -6,13 +6,14 @@ import pytest
 
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that operators use inside, and others they might.
-CLASHES = ("fp", "hash", "n", "score", "label", "place", "text_key", "gone", "u", "v", "w", "rank", "p")
+CLASHES = "fp hash n score label place text_key gone u v w rank p".split()
 NOTICE = "Licensed under the Apache License, Version 2.0."
 
 
 def prose(seed, words):
     pick = random.Random(seed)
-    stock = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "su", "the", "of") for b in ("n", "ra", "st", "")]
+    stems, ends = ("ka", "lo", "mi", "ne", "su", "the", "of"), ("n", "ra", "st", "")
+    stock = [stem + end for stem in stems for end in ends]
     out = [pick.choice(stock) for _ in range(words)]
     for at in range(9, words, 10):
         out[at] += "." if at % 20 else ".\n"

@@ -8,9 +8,13 @@ from feedlift.llm.decontaminate import clean_stage, compare, leaks
 
 from .conftest import ROWS, prose, table
 
-ITEM = "Yesterday Anna Miller bought 5 pears for 3 euros while Tom paid 12 cents, so how much did Anna Miller spend on 5 pears in the end?"
-OTHER = "Yesterday Paul Weber bought 7 pears for 9 euros while Jim paid 40 cents, so how much did Paul Weber spend on 7 pears in the end?"
-MIXED = "Yesterday Paul Weber bought 7 pears for 9 euros while Jim paid 40 cents, so how much did Carl Weber spend on 8 pears in the end?"
+QUESTION = (
+    "Yesterday {a} bought {n} pears for {m} euros while {b} paid {k} cents, "
+    "so how much did {c} spend on {o} pears in the end?"
+)
+ITEM = QUESTION.format(a="Anna Miller", b="Tom", c="Anna Miller", n=5, m=3, k=12, o=5)
+OTHER = QUESTION.format(a="Paul Weber", b="Jim", c="Paul Weber", n=7, m=9, k=40, o=7)
+MIXED = QUESTION.format(a="Paul Weber", b="Jim", c="Carl Weber", n=7, m=9, k=40, o=8)
 
 
 def items(spark, rows):
@@ -38,8 +42,9 @@ def test_leaks(spark, monkeypatch, most):
         5: ITEM[: len(ITEM) // 4],
         6: ITEM.lower() + " " + ITEM.upper(),
     }
-    bench = items(spark, [(10, ITEM), (11, prose(77, 40)), (12, None), (None, ITEM), (13, ""), (14, "two words")])
-    got = {(r.doc_id, r.item_id): r.kind for r in leaks(table(spark, texts.items()), bench).collect()}
+    rows = [(10, ITEM), (11, prose(77, 40)), (12, None), (None, ITEM), (13, ""), (14, "two words")]
+    found = leaks(table(spark, texts.items()), items(spark, rows))
+    got = {(r.doc_id, r.item_id): r.kind for r in found.collect()}
     assert got == {(1, 10): "copy", (2, 10): "template", (6, 10): "copy"}
 
 

@@ -80,7 +80,8 @@ def check(docs, rows, most_padding):
             assert offset == at
             at += length
         assert at <= CAPACITY
-    assert len(by_sequence) * CAPACITY <= total * (1 + most_padding) + CAPACITY * docs.rdd.getNumPartitions()
+    rounding = CAPACITY * docs.rdd.getNumPartitions()
+    assert len(by_sequence) * CAPACITY <= total * (1 + most_padding) + rounding
 
 
 def test_documents(spark):

@@ -11,6 +11,10 @@ from . import test_line_dedup, test_simhash
 from .conftest import prose
 
 
+MARKS = "doc_id long, quality int, toxic int"
+ITEMS = "item_id long, text string"
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
@@ -31,7 +35,8 @@ def test_stages(spark):
         elif name == "decontaminate":
             bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
             gone = {r.doc_id for r in leaks(docs, bench).collect()}
-            held = {r.doc_id for r in docs.collect() if any(b.text in r.text for b in bench.collect())}
+            texts = [b.text for b in bench.collect()]
+            held = {d for d, text in rows if any(t in text for t in texts)}
             assert held <= gone
             assert {r.doc_id for r in out.collect()} == {d for d, _ in rows} - gone
         else:
@@ -46,12 +51,10 @@ def test_stages(spark):
 def test_run_is_the_stages(spark, odd, tmp_path):
     folder = str(tmp_path)
     odd.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0), (13, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(
-        f"{folder}/labels.parquet"
-    )
-    spark.createDataFrame([(1, prose(9, 80))], "item_id long, text string").write.parquet(
-        f"{folder}/benchmark.parquet"
-    )
+    marks = spark.createDataFrame([(1, 1, 0), (13, 0, 0)], MARKS)
+    marks.write.parquet(f"{folder}/labels.parquet")
+    bench = spark.createDataFrame([(1, prose(9, 80))], ITEMS)
+    bench.write.parquet(f"{folder}/benchmark.parquet")
     ids = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
     assert 1 in ids and not ids & {3, 4, 5, 7, 9}
 
@@ -59,6 +62,6 @@ def test_run_is_the_stages(spark, odd, tmp_path):
 def test_nothing(spark, nothing, tmp_path):
     folder = str(tmp_path)
     nothing.write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], MARKS).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], ITEMS).write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).isEmpty()

@@ -100,8 +100,9 @@ def test_many_sites_are_joined_by_a_shuffle(spark, odd, labels, monkeypatch):
 
 
 def test_odd_documents(spark, odd, labels, tmp_path):
-    labels([(1, 1, 0), (2, 1, 0), (13, 0, 0), (9, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
-    scored = {(r.doc_id, r.text): r for r in score(odd, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    marks = labels([(1, 1, 0), (2, 1, 0), (13, 0, 0), (9, 1, 0)])
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    scored = {(r.doc_id, r.text): r for r in score(odd, marks).collect()}
     assert all(0 <= r._score <= 1 for r in scored.values())
     assert all(r._score == 0 and r._keep == 0 for (_, t), r in scored.items() if not (t or "").strip())
     kept = quality_stage(spark, odd, str(tmp_path))

@@ -10,7 +10,14 @@ from conftest import SMALL
 
 from feedlift.llm import simhash
 from feedlift.llm.components import components
-from feedlift.llm.simhash import bucket_keys, codeword_indices, fingerprint, keep_one, links, near_duplicates
+from feedlift.llm.simhash import (
+    bucket_keys,
+    codeword_indices,
+    fingerprint,
+    keep_one,
+    links,
+    near_duplicates,
+)
 
 from .conftest import ROWS, prose, table
 
@@ -107,7 +114,10 @@ def test_links_connect_what_is_close(spark, monkeypatch, bucket):
     assert got == roots(prints, lambda a, b: ((a ^ b) % (1 << 64)).bit_count() <= 2)
 
 
-@pytest.mark.parametrize("edges", [[], [(5, 5)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 60)]])
+CHAIN, STAR = [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 60)]
+
+
+@pytest.mark.parametrize("edges", [[], [(5, 5)], CHAIN, STAR])
 def test_components(spark, edges):
     found = components(spark.createDataFrame(edges, "u long, v long"))
     nodes = {n for edge in edges for n in edge}

@@ -9,7 +9,14 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from feedlift.llm import spotsigs
-from feedlift.llm.spotsigs import ANCHORS, fingerprints, near_pairs, op7_spotsigs, with_next, with_signatures
+from feedlift.llm.spotsigs import (
+    ANCHORS,
+    fingerprints,
+    near_pairs,
+    op7_spotsigs,
+    with_next,
+    with_signatures,
+)
 
 from .conftest import ROWS, prose, table
 

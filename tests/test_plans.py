@@ -3,6 +3,7 @@
 import pytest
 
 from conftest import SMALL
+from feedlift.operators.placement import by_key
 from feedlift.plans.feeds import FEEDS, table
 from feedlift.plans.queries import QUERIES
 
@@ -72,11 +73,21 @@ def test_a_filter_on_lineage_reaches_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(offset,100)" in text
 
 
-def test_placed_rows_are_counted_where_they_are(spark):
+@pytest.mark.parametrize(
+    ("spread", "shuffle"),
+    [
+        (by_key("subreddit", salts=1), "REPARTITION_BY_COL"),
+        (by_key("subreddit", 6, salts=1), "REPARTITION_BY_NUM"),
+    ],
+)
+def test_placed_rows_are_counted_where_they_are(spark, spread, shuffle):
+    """One shuffle places the rows; a count by their key needs no other."""
+    rows = QUERIES["flatten_typed"](spark, SMALL)
+    text = plan(rows.transform(spread).groupBy("subreddit").count())
+    assert text.count("Exchange") == text.count(shuffle) == 1
+    # What the query reads are the counts that were written, not the rows.
     text = plan(QUERIES["repartition_by_key"](spark, SMALL))
-    # One shuffle places the rows, the other brings a few counts together.
-    assert text.count("Exchange") == 2
-    assert text.count("REPARTITION_BY_COL") == text.count("ENSURE_REQUIREMENTS") == 1
+    assert "REPARTITION_BY" not in text and "from_json" not in text
 
 
 def test_tables_are_read_whole(spark):

@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  folder of tables (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_RUNS    timed runs after one warm-up; the median counts (default 3)
+BENCH_RUNS    timed runs after one warm-up; the median counts (default 2)
 BENCH_REPEAT  how often the steps' messages hold the events table (default 20)
 
 Steps are timed over messages that are made beforehand, in several files for each core:
@@ -123,7 +123,7 @@ def steps(spark: SparkSession, work: str, path: str) -> dict[str, Callable[[], o
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     repeat = int(os.environ.get("BENCH_REPEAT", "20"))
     spark = local_session(cpus, "bench")
 

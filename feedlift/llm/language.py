@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from feedlift.llm.common import crc_of_id, map_slices, read_table
+from feedlift.llm.common import crc_of_id, map_slices, read_table, written
 
 # N-grams of a profile and of a document that are ranked.
 RANKS = 300
 # Documents of a language that its profile is learned from, at most.
 MOST_LEARNED = 3_000
+# Languages whose sizes may be handed to every task.
+MOST_LANGUAGES = 10_000
 # How fast trust falls with distance, in shares of the largest distance.
 SHARPNESS = 40.0
 UNKNOWN = "und"
@@ -91,8 +93,10 @@ def learn(rows: DataFrame, most: int = MOST_LEARNED) -> Profiles:
     """
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = written(sizes, "op4-sizes")
+    # One row for each language: without the hint, texts would be dealt out by language.
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_LANGUAGES else sizes
     share = F.lit(1_000_000 * most) / F.col("_size")
-    # One row for each language.
     taken = rows.join(sizes, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
 
     def count(part: list[dict]) -> pa.RecordBatch:

@@ -3,13 +3,14 @@
 Texts become templates: a number, a name (a capitalised word inside a sentence)
 and a unit (after a number) become a placeholder of its type.  Windows of template
 words are joined by hash with those of the benchmark.  Where they meet, item and
-passage are aligned and held against each other: the words must agree, and each
-value of the item must always have become the same value in the passage.
+passage are aligned and held against each other: the words must agree, and the
+values of the item must mostly have become the same value wherever they stand.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -25,6 +26,11 @@ LEAST_LITERAL = 3
 # Share of an item's words that a passage must have, in runs of at least so many.
 LEAST_COVERED = 0.6
 LEAST_RUN = 4
+# From this share of words on, values need not be replaced one by one: some of the places
+# of a value may go their own way, and different values may become equal.
+NEARLY_ALL = 0.8
+# One in so many places of values, or one at least, may go its own way.
+OWN_WAY = 6
 # Words by which parts of one copy may have moved against each other.
 MOST_SHIFT = 8
 # Benchmarks of up to so many windows are known to the tasks that read documents, which
@@ -197,11 +203,32 @@ def _aligned(item: np.ndarray, part: np.ndarray) -> list[tuple[int, int, int]]:
     return [r for r in runs if r[2] >= least and abs(r[1] - r[0] - shift) <= MOST_SHIFT]
 
 
+def _kind(pairs: list[tuple[str, str]], covered: float, equal: float) -> str:
+    """What the values became, given as pairs: ``copy``, ``template`` or ``slots``.
+
+    ``covered`` is the share of words that agree as template, ``equal`` that of
+    words and values that are the very same.
+    """
+    if all(a == b for a, b in pairs):
+        return "copy"
+    became: dict[str, Counter[str]] = {}
+    for a, b in pairs:
+        became.setdefault(a, Counter())[b] += 1
+    own_way = len(pairs) - sum(max(x.values()) for x in became.values())
+    if covered < NEARLY_ALL:
+        one_to_one = not own_way and len({b for _, b in pairs}) == len(became)
+        return "template" if one_to_one else "slots"
+    few = own_way <= max(1, len(pairs) / OWN_WAY)
+    return "template" if few or equal >= NEARLY_ALL else "slots"
+
+
 def compare(item: str, part: str) -> tuple[float, str]:
     """Share of the item's words that the passage has, and how: ``copy`` or ``template``.
 
-    ``slots`` where words agree but a value of the item became several, or several
-    one: then it is not the same question with other values.
+    ``slots`` where words agree but the item's values did not become others in a
+    way that keeps the question.  Where nearly all words agree, that is: more than
+    one in ``OWN_WAY`` of their places do not follow the rest, and they are not mostly
+    as they were.  Where fewer agree: a value became several, or several one.
     """
     best = (0.0, "none")
     forms = []
@@ -210,25 +237,17 @@ def compare(item: str, part: str) -> tuple[float, str]:
         tokens = _TOKEN.findall(text)
         forms.append((plain, typed, [tokens[i].lower() for i in at]))
     (plain, typed, words), (plain_part, typed_part, words_part) = forms
-    for one, two, whole in ((plain, plain_part, plain), (typed, typed_part, typed)):
+    for one, two in ((plain, plain_part), (typed, typed_part)):
         if not len(one):
             continue
         runs = _aligned(one, two)
         covered = sum(run[2] for run in runs) / len(one)
-        became: dict[str, set[str]] = {}
-        was: dict[str, set[str]] = {}
-        same = True
-        for start, start_part, size in runs:
-            for step in range(size):
-                if whole[start + step] in _PLACEHOLDERS:
-                    a, b = words[start + step], words_part[start_part + step]
-                    became.setdefault(a, set()).add(b)
-                    was.setdefault(b, set()).add(a)
-                    same &= a == b
-        mixed = any(len(x) > 1 for x in (*became.values(), *was.values()))
-        kind = "copy" if same else "slots" if mixed else "template"
+        places = [(i + step, j + step) for i, j, size in runs for step in range(size)]
+        equal = sum(words[i] == words_part[j] for i, j in places) / len(one)
+        values = [(words[i], words_part[j]) for i, j in places if one[i] in _PLACEHOLDERS]
+        found = (covered, _kind(values, covered, equal))
         # The fuller alignment decides, of equal ones that which counts.
-        best = max(best, (covered, kind), key=lambda x: (x[0], x[1] in ("copy", "template")))
+        best = max(best, found, key=lambda x: (x[0], x[1] in ("copy", "template")))
     return best
 
 

@@ -71,3 +71,24 @@ def test_odd_documents(spark, odd, tmp_path):
 def test_nothing(spark, nothing, odd):
     assert leaks(nothing, items(spark, [(1, ITEM)])).isEmpty()
     assert leaks(odd, items(spark, [])).isEmpty()
+
+
+WORDY = (
+    "A farmer has {a} apples in one basket and asks {b} dollars for every bag of them, "
+    "then sells {c} bags on the market; how much money does the farmer take home?"
+)
+
+
+@pytest.mark.parametrize(
+    ("item", "copy"),
+    [
+        # One of two equal numbers was changed.
+        ("I have 5 pears and my brother has 5 plums to eat", "I have 5 pears and my brother has 6 plums to eat"),
+        # One number in two independent places.
+        (WORDY.format(a=3, b=3, c=8), WORDY.format(a=4, b=7, c=9)),
+        # New values that coincide.
+        (WORDY.format(a=2, b=4, c=8), WORDY.format(a=6, b=6, c=9)),
+    ],
+)
+def test_a_coincidence_of_values_does_not_hide_a_copy(item, copy):
+    assert compare(item, f"{prose(1, 20)}. {copy} {prose(2, 20)}") == (1.0, "template")

@@ -5,6 +5,8 @@ and a unit (after a number) become a placeholder of its type.  Windows of templa
 words are joined by hash with those of the benchmark.  Where they meet, item and
 passage are aligned and held against each other: the words must agree, and the
 values of the item must mostly have become the same value wherever they stand.
+An item without such a window, being short or nearly all values, is found where its
+words and values stand one after another as they are.
 """
 
 from __future__ import annotations
@@ -112,22 +114,65 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
+def raw_words(text: str) -> np.ndarray:
+    """Hashes of a text's words and values as they are, but for capitals."""
+    tokens = [token for token in _TOKEN.findall(text) if token[0] not in ".!?\n"]
+    codes = np.fromiter(map(_CODES.__getitem__, tokens), np.uint64, len(tokens))
+    return codes & ~np.uint64(7)
+
+
+def raw_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash at every place where ``length`` words begin, in log(length) steps."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    total = np.zeros(n, np.uint64)
+    # By doubling: the hash of 2k words is that of k and of the k after them.
+    part, size, done = words, 1, 0
+    while True:
+        if length & size:
+            total = (total ^ (part[done : done + n] + np.uint64(size))) * _FACTOR
+            total ^= total >> np.uint64(29)
+            done += size
+        if done == length:
+            break
+        later = part[size:]
+        part = (part[: len(later)] * _FACTOR) ^ (later + np.uint64(size))
+        part = (part ^ (part >> np.uint64(31))) * _FACTOR
+        size *= 2
+    total ^= np.uint64(length)
+    total = (total ^ (total >> np.uint64(31))) * _FACTOR
+    total ^= total >> np.uint64(29)
+    total[total == 0] = 1
+    return total.view(np.int64)
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """``item_id`` and ``hash`` for each window of each item, in both forms."""
+    """``item_id`` and ``hash`` for each window of each item, in both forms.
+
+    An item without a window has the hash of all its words, and their number as
+    ``length``, which is 0 for windows.
+    """
 
     def windows(rows: list[dict]) -> pa.RecordBatch:
-        ids, hashes = [], []
+        ids, hashes, lengths = [], [], []
         for row in rows:
             plain, typed, _ = template(row["text"] or "")
             both = np.union1d(window_hashes(plain), window_hashes(typed))
-            both = both[both != 0]
+            both, length = both[both != 0], 0
+            if not len(both) and len(plain):
+                length = len(plain)
+                both = raw_hashes(raw_words(row["text"]), length)
             ids.append(np.full(len(both), row["item_id"], np.int64))
             hashes.append(both)
-        columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (ids, hashes)]
-        return pa.RecordBatch.from_arrays(columns, ["item_id", "hash"])
+            lengths.append(np.full(len(both), length, np.int64))
+        columns = [
+            pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (ids, hashes, lengths)
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["item_id", "hash", "length"])
 
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    return map_slices(rows.distinct(), windows, "item_id long, hash long")
+    return map_slices(rows.distinct(), windows, "item_id long, hash long, length long")
 
 
 def _known(windows: DataFrame) -> np.ndarray | None:
@@ -138,10 +183,13 @@ def _known(windows: DataFrame) -> np.ndarray | None:
     return np.sort(distinct.toArrow()["hash"].to_numpy())
 
 
-def passages(docs: DataFrame, known: np.ndarray | None, margin: int) -> DataFrame:
+def passages(
+    docs: DataFrame, known: np.ndarray | None, margin: int, lengths: list[int]
+) -> DataFrame:
     """Places of documents that may hold a part of an item, with ``margin`` words around.
 
-    ``hashes`` has the windows there.  Without ``known`` the place is the whole text.
+    ``hashes`` has the windows there, and those of words as they are of each of
+    ``lengths``.  Without ``known`` the place is the whole text.
     """
     if known is not None:
         flags = np.zeros(1 << 20, bool)
@@ -162,21 +210,36 @@ def passages(docs: DataFrame, known: np.ndarray | None, margin: int) -> DataFram
         out: dict[str, list] = {"doc_id": [], "text_key": [], "place": [], "hashes": [], "part": []}
         for row in rows:
             plain, typed, at = template(row["text"])
-            one, two = window_hashes(plain), window_hashes(typed)
-            hit_one, hit_two = met(one), met(two)
-            places = np.nonzero(hit_one | hit_two)[0]
-            if not len(places):
+            raw = raw_words(row["text"]) if lengths else None
+            # Where hits begin, their hashes and their last words.
+            begins, found, lasts = [], [], []
+            for hashes, length in (
+                (window_hashes(plain), WINDOW),
+                (window_hashes(typed), WINDOW),
+                *((raw_hashes(raw, length), length) for length in lengths),
+            ):
+                hit = np.nonzero(met(hashes))[0]
+                begins.append(hit)
+                found.append(hashes[hit])
+                lasts.append(hit + length - 1)
+            begins, found, lasts = map(np.concatenate, (begins, found, lasts))
+            if not len(begins):
                 continue
-            gaps = np.nonzero(np.diff(places) > margin)[0] + 1
+            order = np.argsort(begins, kind="stable")
+            begins, found, lasts = begins[order], found[order], lasts[order]
+            reached = np.maximum.accumulate(lasts)
+            gaps = np.nonzero(begins[1:] - reached[:-1] > margin)[0] + 1
+            everything = np.arange(len(begins))
             ends = None
-            for number, run in enumerate(np.split(places, gaps) if known is not None else [places]):
-                hashes = np.union1d(one[run][hit_one[run]], two[run][hit_two[run]])
+            runs = np.split(everything, gaps) if known is not None else [everything]
+            for number, run in enumerate(runs):
+                hashes = np.unique(found[run])
                 part = row["text"]
                 if known is not None:
                     if ends is None:
                         ends = [match.span() for match in _TOKEN.finditer(row["text"])]
-                    first = max(0, run[0] - margin)
-                    last = min(len(at) - 1, run[-1] + WINDOW - 1 + margin)
+                    first = max(0, begins[run[0]] - margin)
+                    last = min(len(at) - 1, reached[run[-1]] + margin)
                     part = part[ends[at[first]][0] : ends[at[last]][1]]
                 for name, value in zip(
                     out, (row["doc_id"], row["text_key"], number, hashes, part), strict=True
@@ -237,9 +300,11 @@ def compare(item: str, part: str) -> tuple[float, str]:
         tokens = _TOKEN.findall(text)
         forms.append((plain, typed, [tokens[i].lower() for i in at]))
     (plain, typed, words), (plain_part, typed_part, words_part) = forms
+    if not words:
+        return best
+    if f" {' '.join(words)} " in f" {' '.join(words_part)} ":
+        return (1.0, "copy")
     for one, two in ((plain, plain_part), (typed, typed_part)):
-        if not len(one):
-            continue
         runs = _aligned(one, two)
         covered = sum(run[2] for run in runs) / len(one)
         places = [(i + step, j + step) for i, j, size in runs for step in range(size)]
@@ -256,17 +321,21 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``docs`` needs ``doc_id`` and ``text``, ``items`` needs ``item_id`` and
     ``text``; other columns are not looked at.  Null and empty texts leak nothing
-    and nothing leaks from them, nor from items without an id or of fewer than
-    six words.  Rows that share id and text are one document, a missing
-    id is an id of its own, and rows of one item are forms of it.
+    and nothing leaks from them, nor from items without an id or without a word or
+    number.  Items without a window of ``WINDOW`` words leak where they are copied as
+    they are.  Rows that share id and text are one document, a missing id is an id of
+    its own, and rows of one item are forms of it.
     """
     windows = written(item_windows(items), "op2-windows")
     named = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
     longest = named.agg(F.max(F.char_length("text"))).first()[0] or 0
     margin = max(WINDOW, min(2 * WINDOW + longest // 4, 400))
-    places = written(passages(docs, _known(windows), margin), "op2-places")
+    lengths = windows.where("length > 0").select("length").distinct().orderBy("length")
+    lengths = [row["length"] for row in lengths.collect()]
+    places = written(passages(docs, _known(windows), margin, lengths), "op2-places")
     place = ["doc_id", "text_key", "place"]
-    hits = places.select(*place, F.explode("hashes").alias("hash")).join(windows, "hash")
+    hits = places.select(*place, F.explode("hashes").alias("hash"))
+    hits = hits.join(windows.select("item_id", "hash"), "hash")
     votes = hits.select(*place, "item_id").distinct()
     votes = votes.withColumnsRenamed({name: f"v_{name}" for name in place})
     met = (

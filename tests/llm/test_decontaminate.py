@@ -92,3 +92,20 @@ WORDY = (
 )
 def test_a_coincidence_of_values_does_not_hide_a_copy(item, copy):
     assert compare(item, f"{prose(1, 20)}. {copy} {prose(2, 20)}") == (1.0, "template")
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_items_without_a_window(spark, monkeypatch, most):
+    """Short ones and those nearly all values are found where they are copied."""
+    monkeypatch.setattr(decontaminate, "MOST_KNOWN", most)
+    rows = [(1, "What is 12 plus 7?"), (2, "Compute 3 + 4 * 5 - 6 / 2"), (3, "Quokka"), (4, "?!")]
+    texts = {
+        1: f"{prose(1, 50)} what is 12 plus 7? {prose(2, 50)}",
+        2: f"{prose(3, 50)} Compute 3 + 4 * 5 - 6 / 2",
+        3: f"{prose(4, 50)} What is 12 plus 8? Compute 3 + 4 * 5 - 6 / 3 ?!",
+        4: "quokka",
+        5: "What is 12 plus",
+    }
+    found = leaks(table(spark, texts.items()), items(spark, rows)).collect()
+    got = {(r.doc_id, r.item_id): (r.covered, r.kind) for r in found}
+    assert got == dict.fromkeys([(1, 1), (2, 2), (4, 3)], (1.0, "copy"))

@@ -150,12 +150,12 @@ def raw_hashes(words: np.ndarray, length: int) -> np.ndarray:
 def item_windows(items: DataFrame) -> DataFrame:
     """``item_id`` and ``hash`` for each window of each item, in both forms.
 
-    An item without a window has the hash of all its words, and their number as
-    ``length``, which is 0 for windows.
+    ``words`` is how many the item has.  An item without a window has the hash of
+    all its words, and their number as ``length``, which is 0 for windows.
     """
 
     def windows(rows: list[dict]) -> pa.RecordBatch:
-        ids, hashes, lengths = [], [], []
+        ids, hashes, lengths, words = [], [], [], []
         for row in rows:
             plain, typed, _ = template(row["text"] or "")
             both = np.union1d(window_hashes(plain), window_hashes(typed))
@@ -166,13 +166,15 @@ def item_windows(items: DataFrame) -> DataFrame:
             ids.append(np.full(len(both), row["item_id"], np.int64))
             hashes.append(both)
             lengths.append(np.full(len(both), length, np.int64))
+            words.append(np.full(len(both), len(plain), np.int64))
         columns = [
-            pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (ids, hashes, lengths)
+            pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
+            for x in (ids, hashes, lengths, words)
         ]
-        return pa.RecordBatch.from_arrays(columns, ["item_id", "hash", "length"])
+        return pa.RecordBatch.from_arrays(columns, ["item_id", "hash", "length", "words"])
 
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    return map_slices(rows.distinct(), windows, "item_id long, hash long, length long")
+    return map_slices(rows.distinct(), windows, "item_id long, hash long, length long, words long")
 
 
 def _known(windows: DataFrame) -> np.ndarray | None:
@@ -254,16 +256,42 @@ def passages(
     return map_slices(rows, cut, schema)
 
 
-def _aligned(item: np.ndarray, part: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of equal words around the longest one, none far off its diagonal."""
-    blocks = SequenceMatcher(None, item.tolist(), part.tolist(), autojunk=False)
-    runs = [tuple(b) for b in blocks.get_matching_blocks() if b.size]
-    if not runs:
-        return []
-    longest = max(runs, key=lambda run: run[2])
-    shift = longest[1] - longest[0]
+def _diagonals(item: list[np.ndarray], part: list[np.ndarray]) -> list[int]:
+    """Diagonals around which windows of the item meet the passage, fullest first.
+
+    One stands for all within ``MOST_SHIFT`` words of it; each is a place of its own.
+    """
+    votes: Counter[int] = Counter()
+    for one, two in zip(item, part, strict=True):
+        at: dict[int, list[int]] = {}
+        for i, code in enumerate(window_hashes(one).tolist()):
+            if code:
+                at.setdefault(code, []).append(i)
+        hashes = window_hashes(two)
+        for j in np.nonzero(np.isin(hashes, np.array(list(at), np.int64)))[0].tolist():
+            for i in at[int(hashes[j])]:
+                votes[j - i] += 1
+    out = []
+    # A diagonal goes with a fuller one nearby: neighbours are looked up, not searched.
+    taken: set[int] = set()
+    for diagonal, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+        if diagonal not in taken:
+            out.append(diagonal)
+            taken.update(range(diagonal - MOST_SHIFT, diagonal + MOST_SHIFT + 1))
+    return out
+
+
+def _aligned(item: np.ndarray, part: np.ndarray, diagonal: int) -> list[tuple[int, int, int]]:
+    """Runs of equal words around ``diagonal``, none far off it."""
+    first = max(0, diagonal - MOST_SHIFT)
+    near = part[first : max(first, diagonal + len(item) + MOST_SHIFT)]
+    blocks = SequenceMatcher(None, item.tolist(), near.tolist(), autojunk=False)
     least = min(LEAST_RUN, len(item))
-    return [r for r in runs if r[2] >= least and abs(r[1] - r[0] - shift) <= MOST_SHIFT]
+    return [
+        (b.a, b.b + first, b.size)
+        for b in blocks.get_matching_blocks()
+        if b.size >= least and abs(b.b + first - b.a - diagonal) <= MOST_SHIFT
+    ]
 
 
 def _kind(pairs: list[tuple[str, str]], covered: float, equal: float) -> str:
@@ -288,6 +316,7 @@ def _kind(pairs: list[tuple[str, str]], covered: float, equal: float) -> str:
 def compare(item: str, part: str) -> tuple[float, str]:
     """Share of the item's words that the passage has, and how: ``copy`` or ``template``.
 
+    Every place of the passage that has a window of the item is looked at by itself.
     ``slots`` where words agree but the item's values did not become others in a
     way that keeps the question.  Where nearly all words agree, that is: more than
     one in ``OWN_WAY`` of their places do not follow the rest, and they are not mostly
@@ -304,15 +333,20 @@ def compare(item: str, part: str) -> tuple[float, str]:
         return best
     if f" {' '.join(words)} " in f" {' '.join(words_part)} ":
         return (1.0, "copy")
-    for one, two in ((plain, plain_part), (typed, typed_part)):
-        runs = _aligned(one, two)
-        covered = sum(run[2] for run in runs) / len(one)
-        places = [(i + step, j + step) for i, j, size in runs for step in range(size)]
-        equal = sum(words[i] == words_part[j] for i, j in places) / len(one)
-        values = [(words[i], words_part[j]) for i, j in places if one[i] in _PLACEHOLDERS]
-        found = (covered, _kind(values, covered, equal))
-        # The fuller alignment decides, of equal ones that which counts.
-        best = max(best, found, key=lambda x: (x[0], x[1] in ("copy", "template")))
+    counts = ("copy", "template")
+    for diagonal in _diagonals([plain, typed], [plain_part, typed_part]):
+        # The fuller alignment of a place decides, of equal ones that which counts.
+        here = (0.0, "none")
+        for one, two in ((plain, plain_part), (typed, typed_part)):
+            runs = _aligned(one, two, diagonal)
+            covered = sum(run[2] for run in runs) / len(one)
+            places = [(i + step, j + step) for i, j, size in runs for step in range(size)]
+            equal = sum(words[i] == words_part[j] for i, j in places) / len(one)
+            values = [(words[i], words_part[j]) for i, j in places if one[i] in _PLACEHOLDERS]
+            found = (covered, _kind(values, covered, equal))
+            here = max(here, found, key=lambda x: (x[0], x[1] in counts))
+        # Of several places the fullest that counts as a leak, if there is one.
+        best = max(best, here, key=lambda x: (x[0] >= LEAST_COVERED and x[1] in counts, x[0]))
     return best
 
 
@@ -328,8 +362,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     windows = written(item_windows(items), "op2-windows")
     named = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    longest = named.agg(F.max(F.char_length("text"))).first()[0] or 0
-    margin = max(WINDOW, min(2 * WINDOW + longest // 4, 400))
+    # As far as an alignment looks from any of its windows, and the word before: what is
+    # around a place does not depend on whether the place is cut out.
+    longest = windows.agg(F.max("words")).first()[0] or 0
+    margin = longest + MOST_SHIFT + 1
     lengths = windows.where("length > 0").select("length").distinct().orderBy("length")
     lengths = [row["length"] for row in lengths.collect()]
     places = written(passages(docs, _known(windows), margin, lengths), "op2-places")

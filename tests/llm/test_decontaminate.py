@@ -109,3 +109,29 @@ def test_items_without_a_window(spark, monkeypatch, most):
     found = leaks(table(spark, texts.items()), items(spark, rows)).collect()
     got = {(r.doc_id, r.item_id): (r.covered, r.kind) for r in found}
     assert got == dict.fromkeys([(1, 1), (2, 2), (4, 3)], (1.0, "copy"))
+
+
+LONG = " ".join(f"{a}{b}" for a in ("ka", "lo", "mi", "ne") for b in "abcdefghij")
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+@pytest.mark.parametrize("apart", [0, 5, 500])
+def test_every_place_of_an_item_is_looked_at(spark, monkeypatch, most, apart):
+    """A fragment does not hide an edited copy, near or far, with either size of benchmark."""
+    monkeypatch.setattr(decontaminate, "MOST_KNOWN", most)
+    words = LONG.split()
+    fragment = " ".join(words[:20])
+    edited = " ".join([*words[:15], "xx", "yy", *words[17:29], "zz", *words[30:35]])
+    filler = " ".join(f"q{i}" for i in range(apart))
+    broken = WORDY.format(a=5, b=5, c=5)
+    other = WORDY.format(a=6, b=7, c=8)
+    texts = {
+        1: f"{fragment} {filler} {edited}",
+        2: f"{edited} {filler} {fragment}",
+        3: fragment,
+        4: f"{other} {filler} {broken}",
+    }
+    rows = [(1, LONG), (2, broken)]
+    found = leaks(table(spark, texts.items()), items(spark, rows)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 1), (4, 2)}
+    assert {r.covered for r in found if r.item_id == 1} == {32 / 40}

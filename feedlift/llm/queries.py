@@ -13,6 +13,7 @@ from feedlift.llm.licenses import op1_license_scan
 from feedlift.llm.line_dedup import op5_line_dedup
 from feedlift.llm.packing import op6_packing
 from feedlift.llm.quality import op9_quality
+from feedlift.llm.sentencepieces import op13_sentencepiece
 from feedlift.llm.simhash import op8_simhash
 from feedlift.llm.spotsigs import op7_spotsigs
 from feedlift.llm.token_counts import op10_token_counts
@@ -29,5 +30,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLES = {"op1_license_scan": licenses.ORACLE}

@@ -6,7 +6,7 @@ lacks: their tests hold them against plain versions instead.
 
 from __future__ import annotations
 
-from feedlift.llm import licenses
+from feedlift.llm import licenses, source_audit
 from feedlift.llm.decontaminate import op2_decontaminate
 from feedlift.llm.language import op4_language
 from feedlift.llm.licenses import op1_license_scan
@@ -15,6 +15,7 @@ from feedlift.llm.packing import op6_packing
 from feedlift.llm.quality import op9_quality
 from feedlift.llm.sentencepieces import op13_sentencepiece
 from feedlift.llm.simhash import op8_simhash
+from feedlift.llm.source_audit import op11_source_divergence
 from feedlift.llm.spotsigs import op7_spotsigs
 from feedlift.llm.token_counts import op10_token_counts
 from feedlift.llm.toxicity import op3_toxicity
@@ -30,6 +31,10 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
     "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLES = {"op1_license_scan": licenses.ORACLE}
+ORACLES = {
+    "op1_license_scan": licenses.ORACLE,
+    "op11_source_divergence": source_audit.ORACLE,
+}

@@ -34,7 +34,8 @@ def _byte_characters() -> dict[int, int]:
     return {byte: 256 + number for number, byte in enumerate(others)}
 
 
-def _parts(text: str) -> list[str]:
+def parts_of(text: str) -> list[str]:
+    """Texts between the blanks before which a pre-token always begins."""
     plain = (
         "  " not in text
         and " \n" not in text
@@ -72,7 +73,7 @@ class Remembered(dict):
 class Encoder:
     """Ids of texts and of single pre-tokens by one vocabulary."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -83,8 +84,8 @@ class Encoder:
         self._model = self._tokenizer.model
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._characters = _byte_characters()
-        self.pieces = Remembered(self._piece)
-        self._after_blanks = Remembered(self._after_blank)
+        self.pieces = Remembered(self._piece, most)
+        self._after_blanks = Remembered(self._after_blank, most)
         self._marks = {mark: self._piece(mark) for mark in ".,;:!?"}
 
     def _tokens(self, piece: str) -> list:
@@ -98,6 +99,21 @@ class Encoder:
         """How many tokens a pre-token has."""
         return len(self._tokens(piece))
 
+    def after_blank(self, part: str) -> bytes:
+        """Ids of a blank and a part; strings of special tokens are ordinary text."""
+        return self._after_blank(part)
+
+    def token_bytes(self) -> list[bytes]:
+        """What each id of the vocabulary stands for in a text; nothing for special tokens."""
+        byte_of = {chr(char): byte for byte, char in self._characters.items()}
+        byte_of |= {chr(byte): byte for part in _PLAIN_BYTES for byte in part}
+        vocabulary = self._tokenizer.get_vocab()
+        out = [b""] * (max(vocabulary.values()) + 1)
+        for token, number in vocabulary.items():
+            if token not in self._specials:
+                out[number] = bytes(map(byte_of.__getitem__, token))
+        return out
+
     def _after_blank(self, part: str) -> bytes:
         """Ids of a blank and a part without blanks."""
         if part.isalpha():
@@ -113,7 +129,7 @@ class Encoder:
         if any(special in text for special in self._specials):
             ids = self._tokenizer.encode(text, add_special_tokens=False).ids
             return np.array(ids, "<u4")
-        first, *rest = _parts(text)
+        first, *rest = parts_of(text)
         ids = list(map(self.pieces.__getitem__, PRE_TOKEN.findall(first)))
         ids += map(self._after_blanks.__getitem__, rest)
         return np.frombuffer(b"".join(ids), "<u4")

@@ -7,6 +7,7 @@ lacks: their tests hold them against plain versions instead.
 from __future__ import annotations
 
 from feedlift.llm import licenses, source_audit
+from feedlift.llm.alignment import op12_alignment
 from feedlift.llm.decontaminate import op2_decontaminate
 from feedlift.llm.language import op4_language
 from feedlift.llm.licenses import op1_license_scan
@@ -32,6 +33,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op12_alignment": op12_alignment,
     "op13_sentencepiece": op13_sentencepiece,
 }
 ORACLES = {

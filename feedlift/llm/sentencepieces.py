@@ -62,7 +62,7 @@ class PieceEncoder:
         places = {s: n for n, s in enumerate(sorted(set(scores.values()), reverse=True))}
         self._order = {piece: places[score] for piece, score in scores.items() if len(piece) > 1}
         self._bytes = [byte_ids.get(byte, self.library.unk_id()) for byte in range(256)]
-        self._cuts = not any(_BLANK_INSIDE.search(piece) for piece in self._ids)
+        self.cuts = not any(_BLANK_INSIDE.search(piece) for piece in self._ids)
         self._number_pairs()
         self._parts: dict[str, bytes] = {}
         self._wrong: set[str] = set()
@@ -212,7 +212,7 @@ class PieceEncoder:
         """Parts that are each encoded behind a blank, as if they were a text of their own."""
         if BLANK in text:
             text = text.replace(BLANK, " ")
-        if not text or not self._cuts:
+        if not text or not self.cuts:
             return [text] if text else []
         plain = "  " not in text and text[0] != " "
         return text.split(" ") if plain else _PARTING.split(text)

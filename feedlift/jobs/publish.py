@@ -11,7 +11,6 @@ import argparse
 import logging
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,6 +27,8 @@ from feedlift.schema import ENVELOPE_TYPES, RAW_TYPES, ddl
 from feedlift.sinks.table import append_to, replace_in_folder
 from feedlift.sinks.topic import PLACE, place_as_files, stream_topic, to_file_topic
 from feedlift.sources.feed import read_feed
+from feedlift.sources.mixed import mixed_feed
+from feedlift.sources.named import Stream
 from feedlift.streaming.ingest import posts_to_messages, start_publish
 from feedlift.streaming.run import skip_existing
 
@@ -40,7 +41,7 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--topic-format", default="kafka")
     add_options(parser, "--topic-option", "option of the topic's format")
     parser.add_argument(
-        "--counts", help="type of the feed's counts; by default that of its files, else BIGINT"
+        "--counts", help="one type for the feed's counts; by default each file's own"
     )
     parser.add_argument("--include-existing", action="store_true", help="also what is there now")
     add_running(parser)
@@ -53,34 +54,21 @@ def _to_files(raw: DataFrame) -> DataFrame:
     return place_as_files(posts_to_messages(raw, PLACE), "posts")
 
 
-def _count_types(spark: SparkSession, arguments: argparse.Namespace) -> dict[str, str]:
-    """Files state the types of their counts, and some readers take no other."""
-    if arguments.counts:
-        return dict.fromkeys(REQUIRED_WHOLE, arguments.counts)
-    found = {}
-    try:
-        there = spark.read.format(arguments.feed_format).options(**dict(arguments.feed_option))
-        schema = there.load(arguments.feed).schema
-        found = {field.name: field.dataType.simpleString() for field in schema}
-    except AnalysisException as nothing:
-        if nothing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    return {name: found.get(name, "BIGINT") for name in REQUIRED_WHOLE}
-
-
 def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
     fmt = arguments.topic_format
     to_broker = fmt == "kafka"
     to_messages = posts_to_messages if to_broker else _to_files
-    types = RAW_TYPES | _count_types(spark, arguments)
-    types |= {name: ENVELOPE_TYPES[name] for name in PLACE if not to_broker}
+    places = {name: ENVELOPE_TYPES[name] for name in PLACE if not to_broker}
     place = checkpoint(
         spark, arguments, "publish", arguments.feed_format, arguments.feed, fmt, arguments.topic
     )
 
-    def feed(**options: object) -> DataFrame:
-        options = {**dict(arguments.feed_option), **options}
-        return read_feed(spark, arguments.feed, ddl(types), fmt=arguments.feed_format, **options)
+    def feed(**options: object) -> Stream:
+        options = {**dict(arguments.feed_option), **options, "fmt": arguments.feed_format}
+        if not arguments.counts:
+            return mixed_feed(spark, arguments.feed, REQUIRED_WHOLE, more=places, **options)
+        types = RAW_TYPES | dict.fromkeys(REQUIRED_WHOLE, arguments.counts) | places
+        return read_feed(spark, arguments.feed, ddl(types), **options)
 
     if not arguments.include_existing:
         skip_existing(feed(maxBytesPerTrigger=None, maxFilesPerTrigger=None), place)

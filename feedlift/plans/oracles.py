@@ -232,4 +232,31 @@ ORACLES: dict[str, str] = {
                count(*) AS n_fixed, CAST(1 AS BIGINT) AS n_places, CAST(0 AS BIGINT) AS n_outside
         FROM events GROUP BY event_type""",
     "repartition_rebalanced": _target(EVENTS),
+    "topic_replay": _target(EVENTS, DOCUMENTS),
+    "feed_mixed_types": """
+        SELECT CAST(event_id AS VARCHAR) AS id,
+               CAST(trunc(value) AS BIGINT)
+                   + CASE WHEN event_id % 3 = 1 THEN 3000000000 ELSE 0 END AS score,
+               CAST(user_id AS BIGINT)
+                   - CASE WHEN event_id % 3 = 1 THEN 3000000000 ELSE 0 END AS num_comments
+        FROM events""",
+    "stream_dedup": f"SELECT DISTINCT * FROM ({_target(EVENTS)})",
+    "sink_merge": _target(EVENTS, PAGES),
+    "resume_without_checkpoint": _target(EVENTS),
+    "offset_gaps": f"""
+        SELECT kafka_partition, before + 1 AS "first", kafka_offset - 1 AS "last",
+               kafka_offset - before - 1 AS n_missing
+        FROM (SELECT kafka_partition, kafka_offset,
+                     lag(kafka_offset) OVER (PARTITION BY kafka_partition ORDER BY kafka_offset)
+                         AS before
+              FROM ({EVENTS}) WHERE n % 50 >= 9 AND n % 331 != 0)
+        WHERE kafka_offset > before + 1""",
+    "sink_evolve": f"""
+        SELECT * REPLACE (CAST(score AS BIGINT) AS score), CAST(NULL AS VARCHAR) AS note
+        FROM ({_target(EVENTS)})
+        UNION ALL
+        SELECT * REPLACE (CAST(score AS BIGINT) AS score, CAST(NULL AS VARCHAR) AS url,
+                          CAST(NULL AS VARCHAR) AS selftext,
+                          CAST(NULL AS TIMESTAMP) AS kafka_timestamp), 'older' AS note
+        FROM ({_target(DOCUMENTS)})""",
 }

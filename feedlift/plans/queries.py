@@ -27,6 +27,7 @@ from feedlift.operators.messages import (
 )
 from feedlift.operators.normalize import flag_unusable, normalize_posts
 from feedlift.operators.placement import by_key, rebalance, salt, salts_for
+from feedlift.plans.delivery import QUERIES as DELIVERY
 from feedlift.plans.feeds import FEEDS, PARTITIONS, events_feed, table
 from feedlift.schema import TARGET_COLUMNS, WIRE_COLUMNS, WIRE_TYPES, ddl, target_read_types
 from feedlift.session import fresh_folder
@@ -637,4 +638,4 @@ QUERIES: dict[str, Query] = {
     "batch_row_counts": batch_row_counts,
     "repartition_by_key": repartition_by_key,
     "repartition_rebalanced": repartition_rebalanced,
-}
+} | DELIVERY

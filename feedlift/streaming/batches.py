@@ -35,8 +35,8 @@ def _write_counted(
     """Write, and count with the same action what was written."""
     counted = Observation()
     rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
-    write(spread(rows) if spread else rows, run, number)
-    return counted.get["rows"]
+    told = write(spread(rows) if spread else rows, run, number)
+    return counted.get["rows"] if told is None else told
 
 
 def batch_writer(

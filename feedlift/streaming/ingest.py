@@ -15,9 +15,11 @@ from feedlift.sinks.table import (
     append_to_table,
     bounded_columns,
     ensure_table,
+    reconcile_table,
     replace_in_folder,
     replace_in_table,
 )
+from feedlift.sources.named import Stream
 from feedlift.streaming.batches import batch_writer, splitting_writer
 from feedlift.streaming.run import Trigger, start_batches
 
@@ -28,7 +30,7 @@ def posts_to_messages(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def start_publish(
-    raw: DataFrame,
+    raw: Stream,
     checkpoint: str,
     write: WriteBatch,
     write_rejects: WriteBatch,
@@ -46,7 +48,7 @@ def start_publish(
 
 
 def start_ingest(
-    envelope: DataFrame,
+    envelope: Stream,
     checkpoint: str,
     write: WriteBatch,
     write_rejects: WriteBatch | None = None,
@@ -80,7 +82,7 @@ def start_ingest(
 
 
 def start_folder_ingest(
-    envelope: DataFrame,
+    envelope: Stream,
     path: str,
     checkpoint: str,
     spread: Spread | None = None,
@@ -96,19 +98,20 @@ def start_folder_ingest(
     flagged = envelope.transform(read_posts_flagged)
     outcome = F.when(F.col("reject_reason").isNull(), "row").otherwise("reject")
     writer = batch_writer(replace_in_folder(path, by=["outcome"]), spread, skip_empty=skip_empty)
-    rows = flagged.withColumn("outcome", outcome)
+    rows = flagged.transform(lambda df: df.withColumn("outcome", outcome))
     return start_batches(rows, writer, checkpoint, trigger, name)
 
 
 def start_table_ingest(
     spark: SparkSession,
-    envelope: DataFrame,
+    envelope: Stream,
     table: str,
     checkpoint: str,
     exact: bool = True,
     provider: str | None = "parquet",
     location: str | None = None,
     bounded: bool = False,
+    add_columns: bool = True,
     **how: object,
 ) -> StreamingQuery:
     """:func:`start_ingest` into a catalog table, created first if need be.
@@ -118,6 +121,9 @@ def start_table_ingest(
     restart: with a bounded table, new or found there, ``write_rejects`` must say
     where such messages go, or the stream does not start.
 
+    A table that is found is held against the target first: columns it lacks are added, unless
+    ``add_columns`` is off, and one that cannot hold the target's values is refused.
+
     ``exact`` makes a batch that runs twice replace itself, at the price of a
     partition per batch.  Without it rows are appended, at least once each.
     A session that read the table before must ``REFRESH TABLE`` to see more:
@@ -126,6 +132,7 @@ def start_table_ingest(
 
     def prepare() -> None:
         ensure_table(spark, table, provider, location, replaces_batches=exact, bounded=bounded)
+        reconcile_table(spark, table, exact, add_columns)
         if how.get("write_rejects") is None and (columns := bounded_columns(spark, table)):
             raise ValueError(
                 f"{table} bounds the texts of {', '.join(columns)}: say where longer ones go"

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from feedlift.sources.named import NamedStream, Stream
+
 # Keyword arguments of ``DataStreamWriter.trigger``.
 Trigger = Mapping[str, object]
 ALL_NOW: Trigger = {"availableNow": True}
@@ -19,7 +21,7 @@ def with_trigger(writer: DataStreamWriter, trigger: Trigger | None) -> DataStrea
 
 
 def start_batches(
-    rows: DataFrame,
+    rows: Stream,
     write_batch: Callable[[DataFrame, int], None],
     checkpoint: str,
     trigger: Trigger | None = None,
@@ -30,6 +32,8 @@ def start_batches(
     Started again with the same checkpoint, the stream goes on after the last
     batch it committed.  Keep the checkpoint on storage that outlives the driver.
     """
+    if isinstance(rows, NamedStream):
+        rows, write_batch = rows.names, rows.over(write_batch)
     writer = rows.writeStream.foreachBatch(write_batch).outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint)
     if name:
@@ -38,7 +42,7 @@ def start_batches(
 
 
 def drain(
-    rows: DataFrame, write_batch: Callable[[DataFrame, int], None], checkpoint: str
+    rows: Stream, write_batch: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
     """Run until all that is there now is written, then return the ended stream."""
     query = start_batches(rows, write_batch, checkpoint, ALL_NOW)
@@ -80,7 +84,7 @@ class _BehindSkip(Exception):
     """A batch that is not the skip's: the stream itself will write it."""
 
 
-def skip_existing(rows: DataFrame, checkpoint: str) -> None:
+def skip_existing(rows: Stream, checkpoint: str) -> None:
     """Record all that is there at the first start as seen, so that the stream starts behind it.
 
     The decision is kept with the checkpoint: ``skip_begun`` and ``skip_done`` beside Spark's
@@ -93,6 +97,8 @@ def skip_existing(rows: DataFrame, checkpoint: str) -> None:
     Read ``rows`` without a bound, for one batch that is committed without being
     read; the cost is that of listing the source.  Kafka has ``startingOffsets`` instead.
     """
+    if isinstance(rows, NamedStream):
+        rows = rows.names
     spark = rows.sparkSession
     begun, done = f"{checkpoint}/skip_begun", f"{checkpoint}/skip_done"
     if _marked(spark, done):

@@ -1,0 +1,479 @@
+"""Logs of topics, mixed feeds, offsets, merges, recovery: each where something goes wrong."""
+
+import json
+import os
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from conftest import SMALL
+from feedlift.files import exists, files_in, put_once, read_text
+from feedlift.jobs import ingest, publish
+from feedlift.operators.messages import read_posts
+from feedlift.operators.offsets import gaps, merged, outside, ranges
+from feedlift.plans.feeds import events_feed
+from feedlift.schema import TARGET_COLUMNS, ddl, target_read_types
+from feedlift.sinks.merge import merge_into
+from feedlift.sinks.table import (
+    BATCH,
+    RUN,
+    append_to,
+    append_to_table,
+    differences,
+    ensure_table,
+    reconcile_table,
+    replace_in_folder,
+    replace_in_table,
+)
+from feedlift.sinks.topic import (
+    PLACE,
+    place_as_files,
+    stream_topic,
+    to_file_topic,
+    write_topic,
+)
+from feedlift.sinks.topic_log import remove_unnamed, write_logged
+from feedlift.sources.feed import read_feed
+from feedlift.sources.mixed import by_types, mixed_feed, read_mixed
+from feedlift.sources.named import NamedStream
+from feedlift.sources.topic import read_topic
+from feedlift.streaming.audit import audited, audited_gaps, audited_ranges
+from feedlift.streaming.batches import batch_writer
+from feedlift.streaming.dedup import take_once
+from feedlift.streaming.ingest import posts_to_messages, start_table_ingest
+from feedlift.streaming.recover import EARLIEST, held_ranges, not_yet_taken, starting_offsets
+from feedlift.streaming.run import ALL_NOW, drain, skip_existing
+
+N = 1000
+COUNTS = ("score", "num_comments")
+
+
+@pytest.fixture
+def work(tmp_path):
+    return str(tmp_path)
+
+
+def envelope(spark):
+    return place_as_files(posts_to_messages(events_feed(spark, SMALL), PLACE), "posts")
+
+
+def places(rows):
+    return sorted((row[0], row[1]) for row in rows.select("partition", "offset").collect())
+
+
+def target(spark, path):
+    return spark.read.schema(ddl(target_read_types())).parquet(path).select(TARGET_COLUMNS)
+
+
+# --- files put whole -------------------------------------------------------
+
+
+def test_a_file_is_put_once(spark, work):
+    assert read_text(spark, f"{work}/a/b") is None
+    assert put_once(spark, f"{work}/a/b", "first é")
+    assert not put_once(spark, f"{work}/a/b", "second")
+    assert read_text(spark, f"{work}/a/b") == "first é"
+    assert files_in(spark, f"{work}/a") == [("b", 8)]
+    assert os.listdir(f"{work}/a") and not [n for n in os.listdir(f"{work}/a") if n == "second"]
+
+
+# --- topics with a log -----------------------------------------------------
+
+
+def test_readers_see_only_what_the_log_names(spark, work):
+    path = f"{work}/topic"
+    write = to_file_topic(envelope(spark), "parquet", {"path": path})
+    assert read_topic(spark, "parquet", {"path": path}, stream=False).count() == 0
+    envelope(spark).write.parquet(f"{path}/topic-data/run/0/lost")
+    assert read_topic(spark, "parquet", {"path": path}, stream=False).count() == 0
+    assert write(envelope(spark), "run", 0) == N
+    named = read_topic(spark, "parquet", {"path": path}, stream=False)
+    assert places(named) == places(envelope(spark))
+
+
+def test_a_batch_in_the_log_is_not_written_again(spark, work):
+    path = f"{work}/topic"
+    write = to_file_topic(envelope(spark), "parquet", {"path": path})
+    write(envelope(spark), "run", 0)
+    there = sorted(os.walk(path))
+    assert write(envelope(spark), "run", 0) == N
+    assert sorted(os.walk(path)) == there
+    write(envelope(spark), "run", 1)
+    assert read_topic(spark, "parquet", {"path": path}, stream=False).count() == 2 * N
+
+
+def test_of_two_drivers_one_is_named(spark, work, monkeypatch):
+    path = f"{work}/topic"
+    write = to_file_topic(envelope(spark), "parquet", {"path": path})
+    write(envelope(spark).limit(7), "run", 0)
+    # The other driver has looked before the entry was put.
+    told = iter([None])
+    monkeypatch.setattr(
+        "feedlift.sinks.topic_log.read_text", lambda s, p: next(told, read_text(s, p))
+    )
+    assert write(envelope(spark), "run", 0) == 7
+    assert read_topic(spark, "parquet", {"path": path}, stream=False).count() == 7
+    assert remove_unnamed(spark, path, "run") == 1
+    assert remove_unnamed(spark, path, "run") == 0
+    assert read_topic(spark, "parquet", {"path": path}, stream=False).count() == 7
+
+
+def test_attempts_of_batches_without_an_entry_stay(spark, work):
+    path = f"{work}/topic"
+    to_file_topic(envelope(spark), "parquet", {"path": path})
+    envelope(spark).write.parquet(f"{path}/topic-data/run/3/running")
+    assert remove_unnamed(spark, path, "run") == 0
+    assert exists(spark, f"{path}/topic-data/run/3/running")
+
+
+def test_a_batch_without_rows(spark, work):
+    path = f"{work}/topic"
+    write = to_file_topic(envelope(spark), "parquet", {"path": path})
+    for _ in range(2):
+        assert write(envelope(spark).where("false"), "run", 0) == 0
+    assert read_topic(spark, "parquet", {"path": path}, stream=False).count() == 0
+
+
+def test_a_batch_appended_to_a_topic_with_a_log(spark, work):
+    options = {"path": f"{work}/topic"}
+    to_file_topic(envelope(spark), "parquet", options)
+    for _ in range(2):
+        write_topic(envelope(spark), "parquet", options)
+    assert read_topic(spark, "parquet", options, stream=False).count() == 2 * N
+
+
+def test_files_without_a_log_are_refused(spark, work):
+    options = {"path": f"{work}/topic"}
+    write_topic(envelope(spark), "parquet", options)
+    with pytest.raises(ValueError, match="without a topic's log"):
+        to_file_topic(envelope(spark), "parquet", options)
+
+
+@pytest.mark.parametrize("bound, batches", [(1, 4), (None, 1)])
+def test_published_batches_are_taken_so_many_at_a_time(spark, work, bound, batches):
+    path, seen = f"{work}/topic", []
+    write = to_file_topic(envelope(spark), "parquet", {"path": path})
+    for number in range(4):
+        write(envelope(spark).where(F.col("offset") % 4 == number), "run", number)
+    topic = read_topic(spark, "parquet", {"path": path, "maxFilesPerTrigger": bound})
+    assert isinstance(topic, NamedStream)
+    drain(topic, lambda rows, number: seen.append(places(rows)), f"{work}/checkpoint")
+    assert len(seen) == batches
+    assert sorted(sum(seen, [])) == places(envelope(spark))
+
+
+def test_existing_batches_can_be_skipped(spark, work):
+    path, seen = f"{work}/topic", []
+    write = to_file_topic(envelope(spark), "parquet", {"path": path})
+    write(envelope(spark), "run", 0)
+    topic = read_topic(spark, "parquet", {"path": path, "maxFilesPerTrigger": None})
+    skip_existing(topic, f"{work}/checkpoint")
+    write(envelope(spark).where("partition = 1"), "run", 1)
+    drain(topic, lambda rows, _: seen.append(rows.count()), f"{work}/checkpoint")
+    assert sum(seen) == envelope(spark).where("partition = 1").count()
+
+
+def test_steps_of_a_named_stream_are_taken_in_order(spark, work):
+    path, seen = f"{work}/topic", []
+    to_file_topic(envelope(spark), "parquet", {"path": path})(envelope(spark), "run", 0)
+    topic = read_topic(spark, "parquet", {"path": path}).where("partition = 0")
+    rows = topic.transform(read_posts).transform(lambda df, n: df.limit(n), 5)
+    drain(rows, lambda df, _: seen.append((df.columns, df.count())), f"{work}/checkpoint")
+    assert seen == [(TARGET_COLUMNS, 5)]
+    drain(topic, lambda *_: seen.append("nothing new"), f"{work}/checkpoint")
+    assert len(seen) == 1
+
+
+def test_jobs_through_a_topic_with_a_log(spark, work):
+    events_feed(spark, SMALL).write.parquet(f"{work}/feed")
+    options = ["--topic-format", "parquet", "--topic-option", f"path={work}/topic", "--all-now"]
+    sent = publish.parse(
+        ["--feed", f"{work}/feed", "--checkpoint", f"{work}/p", "--include-existing", *options]
+    )
+    taken = ingest.parse(["--folder", f"{work}/out", "--outcomes", "--checkpoint", f"{work}/i"]
+                         + options)
+    for _ in range(2):
+        publish.start(spark, sent).awaitTermination()
+        ingest.start(spark, taken).awaitTermination()
+    rows = spark.read.parquet(f"{work}/out")
+    assert rows.where("outcome = 'row'").count() == N
+    assert exists(spark, f"{work}/topic/topic-log")
+
+
+# --- feeds of mixed types --------------------------------------------------
+
+
+def feed_of(spark, path, kind, ids, value="id"):
+    rows = events_feed(spark, SMALL).where(F.col("id").cast("int").isin(ids))
+    counts = {name: F.expr(f"CAST({value} AS {kind})") for name in COUNTS}
+    rows.withColumns(counts).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_files_are_grouped_by_their_types(spark, work):
+    files = []
+    for number, kind in enumerate(["INT", "BIGINT", "INT", "DOUBLE", "BIGINT", "INT"]):
+        feed_of(spark, f"{work}/{number}", kind, [number])
+        files += [f"{work}/{number}/{name}" for name, _ in files_in(spark, f"{work}/{number}")]
+    groups = by_types(spark, files, "parquet", COUNTS)
+    assert {key[0]: len(some) for key, some in groups.items()} == {
+        "int": 3, "bigint": 2, "double": 1,
+    }
+    assert by_types(spark, [], "parquet", COUNTS) == {}
+    rows = read_mixed(spark, files, COUNTS)
+    assert rows.count() == 6 and dict(rows.dtypes)["score"] == "bigint"
+    assert read_mixed(spark, [], COUNTS).columns == rows.columns
+
+
+def test_values_of_each_type(spark, work):
+    feed_of(spark, f"{work}/feed", "DOUBLE", [0], "-1.75D")
+    feed_of(spark, f"{work}/feed", "DOUBLE", [1], "'NaN'")
+    feed_of(spark, f"{work}/feed", "BIGINT", [2], "9007199254740993")
+    feed_of(spark, f"{work}/feed", "INT", [3], "NULL")
+    feed_of(spark, f"{work}/feed", "DECIMAL(20,2)", [4], "7.99")
+    feed_of(spark, f"{work}/feed", "STRING", [5], "'12'")
+    files = [f"{work}/feed/{name}" for name, _ in files_in(spark, f"{work}/feed")]
+    rows = read_mixed(spark, files, COUNTS).select("id", "score").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("0", -1), ("1", None), ("2", 9007199254740993), ("3", None), ("4", 7), ("5", 12),
+    ]
+
+
+def test_a_clash_of_other_kinds_is_not_hidden(spark, work):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        by_types(spark, [f"{work}/nowhere.parquet"], "parquet", COUNTS)
+
+
+def test_a_feed_of_json_keeps_every_digit(spark, work):
+    os.mkdir(f"{work}/feed")
+    counts = ["9007199254740993", "12.9", "-3.5", "1e3", "null", '"x"']
+    with open(f"{work}/feed/a.json", "w") as file:
+        for number, text in enumerate(counts):
+            file.write(f'{{"id": "{number}", "score": {text}, "num_comments": 1}}\n')
+    feed, seen = mixed_feed(spark, f"{work}/feed", COUNTS, "json"), []
+    drain(feed, lambda rows, _: seen.extend(rows.select("id", "score").collect()), f"{work}/c")
+    want = [("0", 9007199254740993), ("1", 12), ("2", -3), ("3", 1000), ("4", None), ("5", None)]
+    assert sorted(map(tuple, seen)) == want
+
+
+def test_a_mixed_feed_is_bounded_and_taken_once(spark, work):
+    for number in range(3):
+        feed_of(spark, f"{work}/feed", ["INT", "DOUBLE"][number % 2], [number])
+    seen = []
+    for _ in range(2):
+        feed = mixed_feed(spark, f"{work}/feed", COUNTS, maxFilesPerTrigger=1)
+        drain(feed, lambda rows, _: seen.append(rows.count()), f"{work}/checkpoint")
+    assert seen == [1, 1, 1]
+
+
+# --- messages taken once ---------------------------------------------------
+
+
+def test_repeats_are_dropped_over_batches_and_restarts(spark, work):
+    options = {"path": f"{work}/topic", "maxFilesPerTrigger": 1}
+    for _ in range(2):
+        write_topic(envelope(spark).coalesce(1), "parquet", {"path": f"{work}/topic"})
+        rows = read_topic(spark, "parquet", options).transform(take_once).transform(read_posts)
+        drain(rows, batch_writer(replace_in_folder(f"{work}/out")), f"{work}/checkpoint")
+    assert target(spark, f"{work}/out").count() == N
+
+
+def test_messages_of_any_age_are_taken_and_their_keys_forgotten(spark, work):
+    old = envelope(spark).withColumn("timestamp", F.expr("timestamp - INTERVAL 900 DAYS"))
+    options = {"path": f"{work}/topic", "maxFilesPerTrigger": 1}
+    seen, kept = [], []
+    for rows in (envelope(spark).where("partition = 0"), old.where("partition = 1"),
+                 old.where("partition = 2")):
+        write_topic(rows.coalesce(1), "parquet", {"path": f"{work}/topic"})
+        once = read_topic(spark, "parquet", options).transform(take_once, "1 second")
+        query = drain(once, lambda df, _: seen.append(df.count()), f"{work}/checkpoint")
+        kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
+        import time
+
+        time.sleep(3)
+    assert sum(seen) == N
+    # Keys of the first feed are gone by the third.
+    assert kept[-1] < N
+
+
+# --- offsets ---------------------------------------------------------------
+
+
+def held(spark, rows):
+    return spark.createDataFrame(rows, "kafka_partition INT, kafka_offset BIGINT")
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 10, 1_000_000])
+def test_ranges_and_gaps(spark, stretch):
+    offsets = [0, 1, 2, 2, 5, 6, 7, 8, 9, 10, 11, 30]
+    rows = [(0, o) for o in offsets] + [(1, 7), (None, 3), (2, None)]
+    found = ranges(held(spark, rows), stretch=stretch)
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 2), (0, 5, 11), (0, 30, 30), (1, 7, 7)]
+    lost = sorted(map(tuple, gaps(found).collect()))
+    assert lost == [(0, 3, 4, 2), (0, 12, 29, 18)]
+
+
+def test_ranges_of_batches_are_merged(spark):
+    rows = [(0, 0, 9), (0, 10, 12), (0, 5, 7), (0, 20, 30), (0, 14, 40), (1, 0, 0)]
+    found = merged(spark.createDataFrame(rows, "kafka_partition INT, first BIGINT, last BIGINT"))
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 12), (0, 14, 40), (1, 0, 0)]
+
+
+@pytest.mark.parametrize("stretch", [2, 5, 1_000_000])
+def test_rows_outside_of_ranges(spark, stretch):
+    rows = held(spark, [(p, o) for p in (0, 1, None) for o in range(12)] + [(0, None)])
+    found = ranges(held(spark, [(0, 1), (0, 2), (0, 3), (0, 9), (1, 0)]))
+    got = outside(rows, found, "kafka_partition", "kafka_offset", stretch).collect()
+    taken = {(0, 1), (0, 2), (0, 3), (0, 9), (1, 0)}
+    want = [tuple(row) for row in rows.collect() if tuple(row) not in taken]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_no_rows_have_no_ranges(spark):
+    assert ranges(held(spark, [])).count() == 0
+    assert gaps(ranges(held(spark, []))).count() == 0
+
+
+def test_an_audit_is_replaced_with_its_batch_and_gaps_close(spark, work):
+    write = audited(replace_in_folder(f"{work}/out"), f"{work}/audit")
+    rows = envelope(spark).transform(read_posts)
+    late = F.col("kafka_offset").between(50, 59)
+    for _ in range(2):
+        write(rows.where(~late), "run", 0)
+    lost = sorted(map(tuple, audited_gaps(spark, f"{work}/audit").collect()))
+    assert lost == [(p, 50, 59, 10) for p in range(3)]
+    write(rows.where(late), "run", 1)
+    assert audited_gaps(spark, f"{work}/audit").isEmpty()
+    assert audited_ranges(spark, f"{work}/audit").count() == 3
+
+
+# --- sinks that only append ------------------------------------------------
+
+
+@pytest.mark.parametrize("lost_at", [None, "before", "half", "after"])
+def test_a_merged_batch_is_there_once(spark, work, lost_at):
+    append = append_to("parquet", path=f"{work}/out")
+    attempts = iter([lost_at])
+
+    def losing(batch, run, number):
+        at = next(attempts, None)
+        if at != "before":
+            half = F.col("kafka_offset") % 2 == 0
+            append(batch.where(half) if at == "half" else batch, run, number)
+        if at:
+            raise RuntimeError(at)
+
+    write = merge_into(losing, lambda s: target(s, f"{work}/out"), f"{work}/staging")
+    rows = envelope(spark).transform(read_posts)
+    other = rows.withColumn("kafka_offset", F.col("kafka_offset") + 10_000)
+    append(other, "earlier", 0)
+    if lost_at:
+        with pytest.raises(RuntimeError):
+            write(rows, "run", 0)
+    for _ in range(2):
+        # What is staged counts, whatever the source gives by then.
+        assert write(rows if not lost_at else rows.limit(3), "run", 0) == N
+    got = target(spark, f"{work}/out")
+    assert got.count() == 2 * N
+    assert got.exceptAll(other).exceptAll(rows).isEmpty()
+    assert not os.listdir(f"{work}/staging/staged")
+
+
+def test_a_ledger_keeps_the_last_batches(spark, work):
+    write = merge_into(
+        append_to("parquet", path=f"{work}/out"), lambda s: None, f"{work}/staging"
+    )
+    for number in range(4):
+        write(envelope(spark).transform(read_posts).limit(1), "run", number)
+    assert sorted(os.listdir(f"{work}/staging/ledger/run")) == [f"{n:020d}" for n in (2, 3)]
+
+
+# --- a lost checkpoint -----------------------------------------------------
+
+
+def test_offsets_for_kafka(spark):
+    rows = [(0, 0), (0, 1), (0, 5), (2, 7), (2, 8)]
+    text = starting_offsets(ranges(held(spark, rows)), "posts", range(4))
+    assert json.loads(text) == {"posts": {"0": 2, "1": EARLIEST, "2": 9, "3": EARLIEST}}
+
+
+def test_what_the_target_held_is_kept_with_the_checkpoint(spark, work):
+    first = held_ranges(spark, held(spark, [(0, 3)]), work)
+    assert list(map(tuple, first.collect())) == [(0, 3, 3)]
+    again = held_ranges(spark, held(spark, [(0, 3), (0, 4)]), work)
+    assert list(map(tuple, again.collect())) == [(0, 3, 3)]
+
+
+def test_a_topic_with_a_log_goes_on_behind_the_target(spark, work):
+    path, seen = f"{work}/topic", []
+    to_file_topic(envelope(spark), "parquet", {"path": path})(envelope(spark), "run", 0)
+    taken = ranges(envelope(spark).where("offset < 100").transform(read_posts))
+    topic = not_yet_taken(read_topic(spark, "parquet", {"path": path}), taken)
+    drain(topic, lambda rows, _: seen.extend(places(rows)), f"{work}/checkpoint")
+    assert sorted(seen) == places(envelope(spark).where("offset >= 100"))
+
+
+# --- tables that are found -------------------------------------------------
+
+
+@pytest.fixture
+def table(spark, work):
+    name = "found_" + os.path.basename(work).replace("-", "_")
+    yield name
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def make(spark, name, work, types, partitions=""):
+    spark.sql(f"CREATE TABLE {name} ({ddl(types)}) USING parquet {partitions} "
+              f"LOCATION '{work}/data'")
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_own_tables_have_no_differences(spark, work, table, exact):
+    ensure_table(spark, table, location=f"{work}/data", replaces_batches=exact)
+    found = differences(spark, table, exact)
+    assert found.said() == ""
+    assert reconcile_table(spark, table, exact) == []
+
+
+@pytest.mark.parametrize("name, kind", [("score", "SMALLINT"), ("kafka_offset", "INT"),
+                                        ("upvote_ratio", "FLOAT"), ("title", "INT"),
+                                        ("created_utc", "DATE")])
+def test_narrower_types_are_refused_before_a_row_is_written(spark, work, table, name, kind):
+    make(spark, table, work, target_read_types() | {name: kind})
+    stream = place_as_files(
+        posts_to_messages(events_feed(spark, SMALL, stream=True), PLACE), "posts"
+    )
+    with pytest.raises(ValueError, match=f"{name} as {kind.lower()}"):
+        start_table_ingest(spark, stream, table, f"{work}/c", exact=False, trigger=ALL_NOW)
+    assert spark.table(table).isEmpty()
+    assert not os.path.exists(f"{work}/c")
+
+
+def test_missing_partitions_are_refused(spark, work, table):
+    make(spark, table, work, target_read_types())
+    with pytest.raises(ValueError, match=f"not partitioned by {RUN}.*{BATCH}"):
+        reconcile_table(spark, table, replaces_batches=True)
+
+
+def test_missing_columns_can_be_refused(spark, work, table):
+    types = {c: t for c, t in target_read_types().items() if c != "url"}
+    make(spark, table, work, types)
+    with pytest.raises(ValueError, match="no column url"):
+        reconcile_table(spark, table, add_columns=False)
+    assert reconcile_table(spark, table) == ["url"]
+    assert reconcile_table(spark, table) == []
+
+
+@pytest.mark.parametrize("write_to", [append_to_table, replace_in_table])
+def test_columns_go_by_name(spark, work, table, write_to):
+    types = dict(sorted(target_read_types().items())) | {"more": "STRING"}
+    exact = write_to is replace_in_table
+    partitions = f"PARTITIONED BY ({RUN}, {BATCH})" if exact else ""
+    parts = {RUN: "STRING", BATCH: "BIGINT"} if exact else {}
+    make(spark, table, work, types | parts, partitions)
+    rows = envelope(spark).transform(read_posts)
+    write_to(table)(rows, "run", 0)
+    got = spark.table(table)
+    assert got.where("more IS NOT NULL").isEmpty()
+    assert got.select(TARGET_COLUMNS).exceptAll(rows).isEmpty() and got.count() == N

@@ -154,11 +154,12 @@ def test_a_first_batch_that_failed_is_written_after_an_empty_start(spark, tmp_pa
     os.makedirs(f"{work}/feed")
     run_publish(spark, work, "--counts", "DOUBLE")
     feed_files(spark, f"{work}/feed")
-    # The topic's place is taken by a file: the first batch is planned, its write fails.
-    (tmp_path / "topic").write_text("in the way")
+    # The place of the topic's data is taken by a file: the first batch is planned, its write fails.
+    data = tmp_path / "topic" / "topic-data"
+    data.write_text("in the way")
     with pytest.raises(StreamingQueryException):
         run_publish(spark, work)
-    (tmp_path / "topic").rename(tmp_path / "aside")
+    data.rename(tmp_path / "aside")
     run_publish(spark, work)
     assert_all(spark, read_topic(spark, "parquet", {"path": f"{work}/topic"}, False).transform(read_posts))
 

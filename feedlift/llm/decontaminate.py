@@ -84,6 +84,11 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     In the first only numbers and units are replaced, in the second names too: a
     copy in capitals has no names, one with other names no equal words.
     """
+    return forms(text)[:3]
+
+
+def forms(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`template`, and hashes of words and values as they are, but for capitals."""
     tokens = _TOKEN.findall(text)
     codes = np.fromiter(map(_CODES.__getitem__, tokens), np.uint64, len(tokens))
     kinds = (codes & np.uint64(7)).astype(np.int8)
@@ -94,7 +99,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes, kinds = codes[at] & ~np.uint64(7), kinds[at]
     typed = np.where(kinds == _WORD, codes, _PLACEHOLDERS[np.minimum(kinds, _NUMBER)])
     plain = np.where(kinds == _NAME, codes, typed)
-    return plain, typed, at
+    return plain, typed, at, codes
 
 
 def window_hashes(words: np.ndarray) -> np.ndarray:
@@ -102,23 +107,32 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
     n = len(words) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    total = np.zeros(n, np.uint64)
-    literal = np.zeros(n, np.int8)
-    is_literal = ~np.isin(words, _PLACEHOLDERS[1:])
-    for step in range(WINDOW):
-        part = words[step : step + n]
-        total = (total ^ (part + np.uint64(step))) * _FACTOR
+    return _hashes([words[step : step + n] for step in range(WINDOW)])
+
+
+def _hashes(steps: list[np.ndarray]) -> np.ndarray:
+    """Hashes of windows, given as their first words, their second words and so on."""
+    total = np.zeros(len(steps[0]), np.uint64)
+    typed = np.zeros(len(steps[0]), np.int8)
+    for step, part in enumerate(steps):
+        total ^= part + np.uint64(step)
+        total *= _FACTOR
         total ^= total >> np.uint64(29)
-        literal += is_literal[step : step + n]
-    total[literal < LEAST_LITERAL] = 0
+        for placeholder in _PLACEHOLDERS[1:]:
+            typed += part == placeholder
+    total[typed > WINDOW - LEAST_LITERAL] = 0
     return total.view(np.int64)
 
 
-def raw_words(text: str) -> np.ndarray:
-    """Hashes of a text's words and values as they are, but for capitals."""
-    tokens = [token for token in _TOKEN.findall(text) if token[0] not in ".!?\n"]
-    codes = np.fromiter(map(_CODES.__getitem__, tokens), np.uint64, len(tokens))
-    return codes & ~np.uint64(7)
+def typed_hashes(plain: np.ndarray, typed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows with a name begin, and their hashes; the others are those of ``plain``."""
+    n = len(plain) - WINDOW + 1
+    names = np.nonzero(plain != typed)[0]
+    if n <= 0 or not len(names):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.unique(names[:, None] - np.arange(WINDOW))
+    begins = begins[(begins >= 0) & (begins < n)]
+    return begins, _hashes([typed[begins + step] for step in range(WINDOW)])
 
 
 def raw_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -157,12 +171,12 @@ def item_windows(items: DataFrame) -> DataFrame:
     def windows(rows: list[dict]) -> pa.RecordBatch:
         ids, hashes, lengths, words = [], [], [], []
         for row in rows:
-            plain, typed, _ = template(row["text"] or "")
+            plain, typed, _, raw = forms(row["text"] or "")
             both = np.union1d(window_hashes(plain), window_hashes(typed))
             both, length = both[both != 0], 0
             if not len(both) and len(plain):
                 length = len(plain)
-                both = raw_hashes(raw_words(row["text"]), length)
+                both = raw_hashes(raw, length)
             ids.append(np.full(len(both), row["item_id"], np.int64))
             hashes.append(both)
             lengths.append(np.full(len(both), length, np.int64))
@@ -211,19 +225,19 @@ def passages(
     def cut(rows: list[dict]) -> pa.RecordBatch:
         out: dict[str, list] = {"doc_id": [], "text_key": [], "place": [], "hashes": [], "part": []}
         for row in rows:
-            plain, typed, at = template(row["text"])
-            raw = raw_words(row["text"]) if lengths else None
+            plain, typed, at, raw = forms(row["text"])
+            everywhere = np.arange(len(plain))
             # Where hits begin, their hashes and their last words.
             begins, found, lasts = [], [], []
-            for hashes, length in (
-                (window_hashes(plain), WINDOW),
-                (window_hashes(typed), WINDOW),
-                *((raw_hashes(raw, length), length) for length in lengths),
+            for places, hashes, length in (
+                (everywhere, window_hashes(plain), WINDOW),
+                (*typed_hashes(plain, typed), WINDOW),
+                *((everywhere, raw_hashes(raw, length), length) for length in lengths),
             ):
                 hit = np.nonzero(met(hashes))[0]
-                begins.append(hit)
+                begins.append(places[hit])
                 found.append(hashes[hit])
-                lasts.append(hit + length - 1)
+                lasts.append(places[hit] + length - 1)
             begins, found, lasts = map(np.concatenate, (begins, found, lasts))
             if not len(begins):
                 continue
@@ -323,12 +337,12 @@ def compare(item: str, part: str) -> tuple[float, str]:
     as they were.  Where fewer agree: a value became several, or several one.
     """
     best = (0.0, "none")
-    forms = []
+    both = []
     for text in (item, part):
         plain, typed, at = template(text)
         tokens = _TOKEN.findall(text)
-        forms.append((plain, typed, [tokens[i].lower() for i in at]))
-    (plain, typed, words), (plain_part, typed_part, words_part) = forms
+        both.append((plain, typed, [tokens[i].lower() for i in at]))
+    (plain, typed, words), (plain_part, typed_part, words_part) = both
     if not words:
         return best
     if f" {' '.join(words)} " in f" {' '.join(words_part)} ":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -84,16 +85,19 @@ class Encoder:
         self._model = self._tokenizer.model
         self._specials = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._characters = _byte_characters()
+        self._blank = chr(self._characters[ord(" ")])
         self.pieces = Remembered(self._piece, most)
         self._after_blanks = Remembered(self._after_blank, most)
         self._marks = {mark: self._piece(mark) for mark in ".,;:!?"}
 
     def _tokens(self, piece: str) -> list:
+        if piece.isascii() and piece.isprintable():
+            return self._model.tokenize(piece.replace(" ", self._blank))
         return self._model.tokenize(piece.encode().decode("latin-1").translate(self._characters))
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token."""
-        return np.array([token.id for token in self._tokens(piece)], "<u4").tobytes()
+        return array("I", [token.id for token in self._tokens(piece)]).tobytes()
 
     def count(self, piece: str) -> int:
         """How many tokens a pre-token has."""

@@ -13,7 +13,7 @@ from feedlift.llm.decontaminate import clean_stage
 from feedlift.llm.line_dedup import dedup_stage
 from feedlift.llm.packing import pack_stage
 from feedlift.llm.quality import quality_stage
-from feedlift.llm.shingles import near_stage
+from feedlift.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    return near_stage(spark, docs, sf_dir)
+    """One document of each group that SimHash links, that of the smallest id."""
+    return keep_one(spark, docs, sf_dir)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

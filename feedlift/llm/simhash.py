@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedlift.llm.common import map_slices, read_table, written
 from feedlift.llm.components import components
@@ -122,15 +122,18 @@ def fingerprint(text: str | None) -> int:
     return int(ones.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` for every row of ``docs``."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id``, ``fp`` and the whole-number columns ``keep`` of every row of ``docs``."""
 
     def prints(rows: list[dict]) -> pa.RecordBatch:
-        ids = pa.array([row["doc_id"] for row in rows], pa.int64())
-        fps = pa.array([fingerprint(row["text"]) for row in rows], pa.int64())
-        return pa.RecordBatch.from_arrays([ids, fps], ["doc_id", "fp"])
+        columns = {name: [row[name] for row in rows] for name in ("doc_id", *keep)}
+        columns["fp"] = [fingerprint(row["text"]) for row in rows]
+        return pa.RecordBatch.from_pydict(columns, schema)
 
-    return map_slices(docs.select("doc_id", "text"), prints, "doc_id long, fp long")
+    names = ("doc_id", *keep, "fp")
+    schema = pa.schema([(name, pa.int64()) for name in names])
+    rows = docs.select("doc_id", "text", *keep)
+    return map_slices(rows, prints, ", ".join(f"{name} long" for name in names))
 
 
 def _spread(fps: DataFrame, function, name: str) -> DataFrame:
@@ -182,30 +185,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is one row from the first aggregation on.
     """
     prints = written(fingerprints(docs), "op8-prints")
+    return prints.join(_grouped(prints), "fp").select("doc_id", "fp", "component_id")
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """``fp``, the ``root`` fingerprint of its component and the least id that has one of it."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "op8-nodes")
     roots = components(links(nodes))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     labelled = labelled.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return labelled.join(least, "root").select("fp", "root", "component_id")
+
+
+def _row_keys(names: list[str]) -> list[Column]:
+    """Two numbers that tell a row from others by all its columns."""
+    others = [F.col(f"`{name}`") for name in names if name not in ("doc_id", "text")]
+    told = F.to_json(F.struct(*others)) if others else F.lit("")
+    return [F.xxhash64(F.lit(seed), "doc_id", "text", told).alias(f"key_{seed}") for seed in (1, 2)]
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, that of the smallest id.
 
-    Rows that share an id are one document and leave one row.  Rows without an
-    id stay: nothing names them in a group.
+    Groups are those of :func:`near_duplicates`: texts, whatever their ids.  Of rows that
+    share the smallest id a hash of the whole row chooses one; a row without an id stays only
+    where no row of its group has one.  So each group leaves one row, also where other
+    texts share its ids, and where the same row is there many times.  Columns may have any
+    name and are as they were.
+
+    Rows that are the same are one before any row is moved; what is joined with them
+    is a key for each group.
     """
-    groups = near_duplicates(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id"))
-    gone = gone.select(F.col("doc_id").alias("_op8_gone")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(gone, named["doc_id"] == gone["_op8_gone"], "left_anti")
-    # The join has placed and sorted the rows by id: this only looks at neighbours.
-    first = F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY doc_id)")
-    kept = kept.withColumn("_op8_row", first).where(F.col("_op8_row") == 1).drop("_op8_row")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    keys = ["doc_id", "key_1", "key_2"]
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                        F.col("doc_id").cast("long").alias("doc_id"), "text",
+                        *_row_keys(docs.columns))
+    prints = written(fingerprints(keyed, "key_1", "key_2"), "op8-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *keys)).alias("first")
+    firsts = prints.join(_grouped(prints), "fp").groupBy("root").agg(first)
+    firsts = firsts.select(*(F.col(f"first.{key}").alias(f"first_{key}") for key in keys))
+    rows = keyed.groupBy(*keys).agg(F.any_value("row").alias("row"))
+    met = F.lit(True)
+    for key in keys:
+        met = met & rows[key].eqNullSafe(firsts[f"first_{key}"])
+    return rows.join(firsts, met, "left_semi").select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

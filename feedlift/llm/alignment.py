@@ -114,8 +114,11 @@ class Aligner:
         self._a_bytes, self._b_bytes = self._a.token_bytes(), self._b.token_bytes()
         self._a_sizes = np.array([len(one) for one in self._a_bytes])
         self._b_sizes = np.array([len(one) for one in self._b_bytes])
-        self._a_names = [b"%d" % number for number in range(len(self._a_bytes))]
-        self._b_names = [b"%d" % number for number in range(len(self._b_bytes))]
+        # Ids as text with what follows them inside of a group, and at its end.
+        self._a_names, self._b_names = (
+            np.array([[b"%d%b" % (n, mark) for n in range(len(ids))] for mark in marks], object)
+            for ids, marks in ((self._a_bytes, (b",", b"|")), (self._b_bytes, (b",", b";")))
+        )
         self.b_count = len(self._b_bytes)
         self._forget()
 
@@ -132,15 +135,15 @@ class Aligner:
         return parts_of(text) if self._b.cuts else [text]
 
     @staticmethod
-    def _given_back(parts: list[str], ids: list[np.ndarray], stands: list[bytes]) -> np.ndarray:
+    def _given_back(
+        told: list[bytes], ids: list[np.ndarray], stands: list[bytes], sizes: np.ndarray
+    ) -> np.ndarray:
         """Whether the ids of each part stand for its very bytes."""
-        told = [(" " + part).encode() for part in parts]
-        listed = np.concatenate(ids).tolist()
-        back = b"".join(map(stands.__getitem__, listed))
-        sizes = np.cumsum([len(stands[number]) for number in listed])
-        ends = sizes[np.cumsum([len(one) for one in ids]) - 1]
+        listed = np.concatenate(ids)
+        back = b"".join(map(stands.__getitem__, listed.tolist()))
+        ends = np.cumsum(sizes[listed])[np.cumsum([len(one) for one in ids]) - 1]
         if back == b"".join(told) and (ends == np.cumsum([len(one) for one in told])).all():
-            return np.ones(len(parts), bool)
+            return np.ones(len(told), bool)
         each = (b"".join(map(stands.__getitem__, one.tolist())) for one in ids)
         return np.array([one == other for one, other in zip(each, told, strict=True)])
 
@@ -148,8 +151,9 @@ class Aligner:
         """Multiplies parts that are new, all in one product."""
         a_ids = [np.frombuffer(self._a.after_blank(part), "<u4") for part in parts]
         b_ids = [np.frombuffer(ids, "<i4") for ids in self._b.encode_parts(parts)]
-        whole = self._given_back(parts, a_ids, self._a_bytes)
-        whole &= self._given_back(parts, b_ids, self._b_bytes)
+        told = [(" " + part).encode() for part in parts]
+        whole = self._given_back(told, a_ids, self._a_bytes, self._a_sizes)
+        whole &= self._given_back(told, b_ids, self._b_bytes, self._b_sizes)
         for number in np.flatnonzero(~whole):
             a_ids[number], b_ids[number] = a_ids[number][:0], b_ids[number][:0]
         a_counts, b_counts = (np.array([len(ids) for ids in some]) for some in (a_ids, b_ids))
@@ -163,24 +167,36 @@ class Aligner:
         n_groups = np.concatenate([[0], a_group + 1])[a_ends]
         n_links = links.starts[a_ends]
         count = int(n_groups[-1])
-        a_cuts = np.searchsorted(a_group, np.arange(count + 1)).tolist()
-        b_cuts = np.searchsorted(b_group, np.arange(count + 1)).tolist()
-        a_names = list(map(self._a_names.__getitem__, a.tolist()))
-        b_names = list(map(self._b_names.__getitem__, b.tolist()))
-        texts = [
-            b",".join(a_names[i:j]) + b"|" + b",".join(b_names[k:m])
-            for i, j, k, m in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])
-        ]
-        group = link = 0
-        for next_group, next_link in zip(n_groups.tolist(), n_links.tolist()):
-            self._groups.append(b";".join(texts[group:next_group]))
+        names = self._named(a, b, a_group, b_group)
+        # Of each part, the end of its names and of its pairs.
+        b_ends = np.cumsum(b_counts)
+        name = link = 0
+        for next_name, next_link in zip((a_ends + b_ends).tolist(), n_links.tolist()):
+            self._groups.append(b"".join(names[name:next_name])[:-1])
             self._pairs.append(pairs[8 * link : 8 * next_link])
-            group, link = next_group, next_link
+            name, link = next_name, next_link
         first = len(self._sizes)
         sizes = (a_counts, b_counts, np.diff(n_groups, prepend=0), np.diff(n_links, prepend=0))
         self._sizes = np.concatenate([self._sizes, np.column_stack([*sizes, ~whole])])
         self._numbers.update(zip(parts, range(first, first + len(parts))))
 
+    def _named(
+        self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray
+    ) -> list[bytes]:
+        """All ids as text, those of a group of either side one after another, with their marks."""
+        count = int(a_group[-1]) + 1 if len(a_group) else 0
+        # How many tokens of the one side stand before those of a group of the other.
+        a_before = np.searchsorted(a_group, np.arange(1, count + 1))
+        b_before = np.searchsorted(b_group, np.arange(count))
+        out = np.empty(len(a) + len(b), object)
+        for ids, group, before, names in (
+            (a, a_group, b_before, self._a_names),
+            (b, b_group, a_before, self._b_names),
+        ):
+            last = np.append(group[1:] != group[:-1], True)[: len(group)].astype(np.int64)
+            out[np.arange(len(ids)) + before[group]] = names[last, ids]
+        return out.tolist()
+
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], list[tuple]]:
         """Sizes, groups, and distinct linked pairs with how often, of each text."""
         if len(self._sizes) > MOST_PARTS:

@@ -34,7 +34,7 @@ BLANK = "▁"
 # Rests of texts behind such a blank begin a part.
 _PARTING = re.compile(r"(?<=[^ ]) ")
 # What a worker remembers: so many parts, of so many characters at most.
-MOST_PARTS = 500_000
+MOST_PARTS = 800_000
 LONGEST_PART = 48
 # Parts up to this length have their agendas side by side.
 LONGEST_ROW = 32
@@ -72,7 +72,9 @@ class PieceEncoder:
 
     def _number_pairs(self) -> None:
         """Symbols as numbers, and for each pair of them that is a piece its place and number."""
-        single = {symbol for piece in self._ids for symbol in piece}
+        # ASCII that is in no piece is written as one byte: such symbols have numbers, too.
+        ascii_bytes = {chr(byte): number for byte, number in enumerate(self._bytes[:128])}
+        single = {symbol for piece in self._ids for symbol in piece} | ascii_bytes.keys()
         symbols = [*self._ids, *sorted(single - self._ids.keys())]
         numbers = {symbol: number for number, symbol in enumerate(symbols)}
         # A character of no piece has the last number, which is in no pair.
@@ -80,7 +82,8 @@ class PieceEncoder:
         self._of_character = np.full(sys.maxunicode + 1, self._none, np.int32)
         for symbol in single:
             self._of_character[ord(symbol)] = numbers[symbol]
-        self._piece_ids = np.array([self._ids.get(s, -1) for s in symbols] + [-1], "<i4")
+        alone = ascii_bytes | self._ids
+        self._piece_ids = np.array([alone.get(symbol, -1) for symbol in symbols] + [-1], "<i4")
         pairs = sorted(
             (numbers[piece[:cut]] * (self._none + 1) + numbers[piece[cut:]], place, numbers[piece])
             for piece, place in self._order.items()

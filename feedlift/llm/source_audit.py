@@ -35,7 +35,7 @@ TOP_TERMS = 10
 # Shares are in so many parts; whole numbers, so that every sum is exact.
 PARTS = 1_000_000_000
 # Counts that a task holds before it hands them on.
-MOST_COUNTS = 300_000
+MOST_COUNTS = 600_000
 # Pairs of counts that a task looks at in one step.
 MOST_PAIRS = 500_000
 
@@ -61,23 +61,17 @@ def terms(text: bytes) -> list[bytes]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of terms by group.  A group as such is a row without a term."""
+    # Of each group and term: how many documents hold it, and how often they repeat it.
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     held = 0
 
     def handed_on() -> pa.RecordBatch:
         columns: list[list] = [[] for _ in _COUNTED]
-        for (lang, source), (counts, documents) in groups.items():
-            for column, values in zip(
-                columns,
-                (
-                    [lang] * (len(counts) + 1),
-                    [source] * (len(counts) + 1),
-                    [None, *counts],
-                    [0, *counts.values()],
-                    [0, *map(documents.__getitem__, counts)],
-                ),
-                strict=True,
-            ):
+        for (lang, source), (documents, repeats) in groups.items():
+            counts = [n + repeats.get(term, 0) for term, n in documents.items()]
+            rows = len(counts) + 1
+            parts = ([lang] * rows, [source] * rows, [None, *documents], [0, *counts])
+            for column, values in zip(columns, (*parts, [0, *documents.values()]), strict=True):
                 column += values
         groups.clear()
         arrays = [pa.array(c, field.type) for c, field in zip(columns, _COUNTED, strict=True)]
@@ -89,12 +83,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = langs[number].as_py(), sources[number].as_py()
             if key not in groups:
                 groups[key] = Counter(), Counter()
-            counts, documents = groups[key]
-            before = len(counts)
+            documents, repeats = groups[key]
+            before = len(documents)
             found = Counter(terms(texts[number].as_py()))
-            counts.update(found)
             documents.update(found.keys())
-            held += len(counts) - before
+            for term, n in found.items():
+                if n > 1:
+                    repeats[term] += n - 1
+            held += len(documents) - before
             if held >= MOST_COUNTS:
                 yield handed_on()
                 held = 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,12 +42,20 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary"))
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Equality on ``names`` that also pairs NULLs."""
-    met = F.lit(True)
-    for name in names:
-        met = met & left[name].eqNullSafe(right[name])
-    return met
+def packed(docs: DataFrame, *needed: str, more: Sequence[Column] = ()) -> DataFrame:
+    """``needed`` columns, ``more`` ones, and all others in one column, ``others``.
+
+    So an operator may name its own columns as it likes, whatever the others are called.
+    """
+    others = [F.col(f"`{name}`") for name in docs.columns if name not in needed]
+    others = F.struct(*others or [F.lit(None).alias("none")])
+    return docs.select(*needed, *more, others.alias("others"))
+
+
+def unpacked(df: DataFrame, names: Sequence[str], *needed: str) -> DataFrame:
+    """The columns ``names`` of what :func:`packed` has packed, ``needed`` as they now are."""
+    columns = (name if name in needed else f"others.`{name}`" for name in names)
+    return df.select(*(F.col(c).alias(name) for c, name in zip(columns, names, strict=True)))
 
 
 def map_slices(

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedlift.llm.common import map_slices, read_table, row_hash, written
+from feedlift.llm.common import map_slices, packed, read_table, row_hash, unpacked, written
 
 WINDOW = 6
 # Words of a window that must not be placeholders.
@@ -415,14 +415,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
+    """``docs`` without the documents that hold a benchmark item; columns may have any name."""
     found = leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    found = found.selectExpr("doc_id AS _op2_id", "text_key AS _op2_key").distinct()
-    keyed = docs.withColumn("_op2_text_key", row_hash())
-    met = keyed["doc_id"].eqNullSafe(found["_op2_id"]) & (
-        keyed["_op2_text_key"] == found["_op2_key"]
+    found = found.selectExpr("doc_id AS leaked_id", "text_key AS leaked_key").distinct()
+    keyed = packed(docs, "doc_id", "text", more=[row_hash().alias("text_key")])
+    met = keyed["doc_id"].eqNullSafe(found["leaked_id"]) & (
+        keyed["text_key"] == found["leaked_key"]
     )
-    return keyed.join(found, met, "left_anti").drop("_op2_text_key")
+    return unpacked(keyed.join(found, met, "left_anti"), docs.columns, "doc_id", "text")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

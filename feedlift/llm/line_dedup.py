@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedlift.llm.common import read_table, row_hash, written
+from feedlift.llm.common import packed, read_table, row_hash, unpacked, written
 
 # A line ends behind a newline, or a mark and a blank.
 LINE_ENDS = r"(?<=\n)|(?<=[.!?,;:] )"
@@ -85,7 +85,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` without repeated chunks, and ``_removed_chunks``, ``_removed_chars``.
 
-    Rows and other columns stay as they are, whatever their names; a row all of
+    Rows and other columns stay as they are, if their names do not begin with ``_``; a row all of
     whose chunks are repeats stays with an empty text, a null text stays null,
     and single lines stay.  Repeated rows (same id and text) are one document
     and are cut alike.  A missing id sorts before all others.
@@ -113,11 +113,15 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with shortened texts; ``n_chars`` follows the text where there is such a column."""
-    out = drop_repeats(docs).drop("_removed_chunks", "_removed_chars")
+    """``docs`` with shortened texts; ``n_chars`` follows the text where there is such a column.
+
+    Columns may have any name; all but those two are as they were.
+    """
+    out = drop_repeats(packed(docs, "doc_id", "text"))
+    out = unpacked(out, docs.columns, "doc_id", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(docs.columns)
+    return out
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

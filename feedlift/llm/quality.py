@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from feedlift.llm.common import read_table, sampled, text_or_empty, written
+from feedlift.llm.common import packed, read_table, sampled, text_or_empty, unpacked, written
 from feedlift.llm.logistic import fit_logistic
 
 # Labelled documents that the classifier is fitted on, at most.
@@ -184,7 +184,7 @@ def score(
     and its ``source`` and ``lang``.  NULL is a site like any other.  A text without a
     word (null and empty ones) has the score 0.  Rows are scored each for itself,
     repeated ones alike; labels without an id or value are passed over, several of
-    one id averaged.  Other columns stay, whatever their names.
+    one id averaged.  Other columns stay; names that begin with ``_`` are this function's own.
 
     Two passes: one sums the evidence by site, the other scores.  Where there are
     many sites their sums are joined by a shuffle, else they go to the tasks.
@@ -203,9 +203,10 @@ def score(
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without those that are rejected."""
-    scored = score(docs, read_table(spark, sf_dir, "labels"))
-    return scored.where("_keep = 1").select(docs.columns)
+    """``docs`` without those that are rejected; columns may have any name and are as they were."""
+    needed = ("doc_id", "text", "source", "lang")
+    scored = score(packed(docs, *needed), read_table(spark, sf_dir, "labels"))
+    return unpacked(scored.where("_keep = 1"), docs.columns, *needed)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,15 @@ from feedlift.jobs.arguments import (
     trigger,
 )
 from feedlift.operators.messages import read_posts
-from feedlift.operators.placement import Spread, by_key, rebalance
+from feedlift.operators.placement import Measured, Spread, by_key, rebalance
 from feedlift.sinks.table import append_to, replace_in_folder
+from feedlift.sources.named import NamedStream
 from feedlift.sources.topic import kafka_source_options, read_topic
+from feedlift.streaming.dedup import KEPT_FOR, take_once
 from feedlift.streaming.ingest import start_folder_ingest, start_ingest, start_table_ingest
 from feedlift.streaming.run import skip_existing
 
-SPREADS = ("none", "rebalance", "key", "fixed")
+SPREADS = ("none", "rebalance", "key", "fixed", "measured")
 PARTITIONS = 6
 # Table formats whose partitions are folders of files, as many as there are batches.
 PLAIN_FILES = ("parquet", "orc", "csv", "json", "avro", "text")
@@ -56,6 +58,10 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     )
     parser.add_argument("--skip-existing", action="store_true", help="files: start behind them")
     parser.add_argument("--skip-empty", action="store_true")
+    parser.add_argument(
+        "--drop-repeats", metavar="INTERVAL", nargs="?", const=KEPT_FOR,
+        help="take a message once that comes again within this time; not for topics with a log",
+    )
     parser.add_argument(
         "--lengths",
         choices=["unbounded", "enforce"],
@@ -65,7 +71,8 @@ def parse(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument(
         "--spread",
         choices=SPREADS,
-        help="where rows go before a write; fixed: by community, into --partitions; "
+        help="where rows go before a write; fixed: by community, into --partitions; measured: "
+        "into --partitions, communities in as many as their size in the batch before; "
         "by default none, or rebalance where a batch is a partition of a table",
     )
     parser.add_argument("--partitions", type=int, default=PARTITIONS)
@@ -99,6 +106,7 @@ def spread(arguments: argparse.Namespace) -> Spread | None:
         "rebalance": rebalance(),
         "key": rebalance("subreddit"),
         "fixed": by_key("subreddit", arguments.partitions, salts=1),
+        "measured": Measured("subreddit", arguments.partitions),
     }[arguments.spread]
 
 
@@ -119,6 +127,10 @@ def start(spark: SparkSession, arguments: argparse.Namespace) -> StreamingQuery:
             skip_existing(whole.transform(read_posts), place)
         options |= clean_source(arguments)
     envelope = read_topic(spark, fmt, options)
+    if arguments.drop_repeats:
+        if isinstance(envelope, NamedStream):
+            raise SystemExit("--drop-repeats: a topic with a log has no repeats to drop")
+        envelope = take_once(envelope, arguments.drop_repeats)
     how = {
         "spread": spread(arguments),
         "trigger": trigger(arguments),

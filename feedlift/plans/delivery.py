@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from feedlift.files import make_folder
 from feedlift.jobs import publish
 from feedlift.operators.messages import read_posts
+from feedlift.functions.epoch import utc_to_epoch
 from feedlift.operators.offsets import PARTITION
+from feedlift.operators.placement import Measured
 from feedlift.plans.feeds import FEEDS, PARTITIONS, events_feed
 from feedlift.schema import TARGET_COLUMNS, TARGET_TYPES, ddl, target_read_types
 from feedlift.session import fresh_folder
@@ -21,6 +23,7 @@ from feedlift.sources.topic import read_topic
 from feedlift.streaming.audit import audited, audited_gaps, read_folder_batch
 from feedlift.streaming.batches import batch_writer
 from feedlift.streaming.dedup import take_once
+from feedlift.streaming.lag import distributions, with_lags
 from feedlift.streaming.ingest import posts_to_messages, start_table_ingest
 from feedlift.streaming.recover import resume_behind
 from feedlift.streaming.run import ALL_NOW, drain
@@ -223,6 +226,89 @@ def sink_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(ddl(types)).parquet(location).select(*TARGET_TYPES, "note")
 
 
+_PLACES = 24
+
+
+def _skewed(rows: DataFrame) -> DataFrame:
+    """A key with a third of all rows, no key for more than half, and fifty light ones."""
+    light = F.concat(F.lit("k"), (F.col("kafka_offset") % 50).cast("string"))
+    light = F.when(F.col("kafka_offset") % 7 == 0, light)
+    return rows.withColumn("key", F.when(F.col("kafka_offset") % 3 == 0, "hot").otherwise(light))
+
+
+def placement_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of skewed keys placed by the sizes that the reading before was measured by.
+
+    ``n_split`` counts light keys that are in several partitions; of the row for ``all``, those
+    partitions that have more than twice the mean.
+    """
+    work = fresh_folder(spark, "skew")
+    options, feeds = {"path": f"{work}/topic"}, ("events", "documents", "pages")
+    for feed in feeds:
+        write_topic(_envelope(FEEDS[feed](spark, sf_dir)).coalesce(1), "parquet", options)
+    topic = read_topic(spark, "parquet", options | {"maxFilesPerTrigger": len(feeds)})
+    spread = Measured("key", _PLACES)
+    for name in ("before", "measured"):
+        placed = replace_in_folder(f"{work}/{name}")
+
+        def write(batch: DataFrame, run: str, number: int, placed: WriteBatch = placed) -> None:
+            placed(batch.select("key", F.spark_partition_id().alias("place")), run, number)
+
+        rows = topic.transform(read_posts).transform(_skewed)
+        drain(rows, batch_writer(write, spread), f"{work}/checkpoint-{name}")
+    rows = spark.read.parquet(f"{work}/measured")
+    large = F.col("n") > 2 * rows.count() / _PLACES
+    sizes = rows.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.agg(F.sum("n").alias("n_rows"), F.count_if(large).alias("n_split"))
+    kind = F.when(F.col("key").isNull() | (F.col("key") == "hot"), F.col("key")).otherwise("light")
+    keys = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("place").alias("places")
+    )
+    kinds = keys.groupBy(kind.alias("key")).agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.count_if((F.col("key") != "hot") & (F.col("places") > 1)).alias("n_split"),
+    )
+    return kinds.unionByName(whole.withColumn("key", F.lit("all")))
+
+
+def ingest_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags and sizes by community from sketches of several batches, held against all rows.
+
+    ``n_lag_off`` and ``n_size_off`` count quantiles whose rank is off by more than five percent.
+    """
+    work = fresh_folder(spark, "lag")
+    options, out, lags = {"path": f"{work}/topic"}, f"{work}/out", f"{work}/lags"
+    messages = _envelope(FEEDS["documents"](spark, sf_dir))
+    write_topic(messages.repartition(4), "parquet", options)
+    write = with_lags(replace_in_folder(out), lags, read_folder_batch(out))
+    topic = read_topic(spark, "parquet", options | {"maxFilesPerTrigger": 1})
+    drain(topic.transform(read_posts), batch_writer(write), f"{work}/checkpoint")
+    quantiles = (0.1, 0.5, 0.9)
+    found = distributions(spark, lags, quantiles).select(
+        "subreddit", F.col("lag").alias("lags"), F.col("size").alias("sizes"), "n_rows"
+    )
+    rows = _target(spark, out).select(
+        "subreddit",
+        (utc_to_epoch(F.col("kafka_timestamp")) - utc_to_epoch(F.col("created_utc"))).alias("lag"),
+        (F.octet_length("title") + F.octet_length("selftext")).cast("bigint").alias("size"),
+    )
+    held = rows.join(found, "subreddit").groupBy("subreddit", "n_rows")
+    ranks = {}
+    for name in ("lag", "size"):
+        for number, q in enumerate(quantiles):
+            value = F.col(f"{name}s")[number]
+            below, upto = F.avg((F.col(name) < value).cast("int")), F.avg(
+                (F.col(name) <= value).cast("int")
+            )
+            ranks[name, number] = ((below > q + 0.05) | (upto < q - 0.05)).cast("bigint")
+    return held.agg(
+        *(
+            sum(ranks[name, number] for number in range(len(quantiles))).alias(f"n_{name}_off")
+            for name in ("lag", "size")
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_replay": topic_replay,
     "feed_mixed_types": feed_mixed_types,
@@ -231,4 +317,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resume_without_checkpoint": resume_without_checkpoint,
     "offset_gaps": offset_gaps,
     "sink_evolve": sink_evolve,
+    "placement_skewed": placement_skewed,
+    "ingest_lag": ingest_lag,
 }

@@ -251,6 +251,18 @@ ORACLES: dict[str, str] = {
                          AS before
               FROM ({EVENTS}) WHERE n % 50 >= 9 AND n % 331 != 0)
         WHERE kafka_offset > before + 1""",
+    "placement_skewed": f"""
+        SELECT key, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_split
+        FROM (SELECT CASE WHEN kafka_offset % 3 = 0 THEN 'hot'
+                          WHEN kafka_offset % 7 = 0 THEN 'light' END AS key
+              FROM ({_target(EVENTS, DOCUMENTS, PAGES)}))
+        GROUP BY key
+        UNION ALL
+        SELECT 'all', count(*), 0 FROM ({_target(EVENTS, DOCUMENTS, PAGES)})""",
+    "ingest_lag": """
+        SELECT source AS subreddit, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_lag_off,
+               CAST(0 AS BIGINT) AS n_size_off
+        FROM documents GROUP BY source""",
     "sink_evolve": f"""
         SELECT * REPLACE (CAST(score AS BIGINT) AS score), CAST(NULL AS VARCHAR) AS note
         FROM ({_target(EVENTS)})

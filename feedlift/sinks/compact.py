@@ -31,9 +31,10 @@ def ensure_archive(spark: SparkSession, table: str) -> None:
     )
 
 
-def _partitions(spark: SparkSession, table: str, run: str) -> list[dict[str, str]]:
-    """The partitions of one run, from the catalog: a few numbers for each."""
-    rows = spark.sql(f"SHOW PARTITIONS {table} PARTITION ({RUN} = '{run}')").collect()
+def _partitions(spark: SparkSession, table: str, run: str | None = None) -> list[dict[str, str]]:
+    """The partitions of one run, or of all, from the catalog: a few numbers for each."""
+    of = f" PARTITION ({RUN} = '{run}')" if run else ""
+    rows = spark.sql(f"SHOW PARTITIONS {table}{of}").collect()
     return [dict(part.split("=", 1) for part in row[0].split("/")) for row in rows]
 
 
@@ -41,6 +42,14 @@ def _ranges(spark: SparkSession, table: str, run: str) -> list[tuple[int, int]]:
     return [(int(p[FIRST]), int(p[LAST])) for p in _partitions(spark, archive_of(table), run)]
 
 
+def runs_of(spark: SparkSession, table: str) -> dict[str, int]:
+    """The streams that have written to the table, and the last batch of each that is there."""
+    found: dict[str, int] = {}
+    for part in _partitions(spark, table):
+        found[part[RUN]] = max(int(part[BATCH]), found.get(part[RUN], -1))
+    return found
+
+
 def copy_batches(spark: SparkSession, table: str, run: str, last: int, folder: str) -> bool:
     """Closed batches of ``run`` up to ``last`` into the archive, as one partition below ``folder``.
 
@@ -83,11 +92,14 @@ def compact(spark: SparkSession, table: str, run: str, last: int, folder: str) -
 
 
 def read_whole(spark: SparkSession, table: str) -> DataFrame:
-    """Every row once: the archive, and the batches of the table that it does not have."""
+    """Every row once: the archive, and the batches of the table that it does not have.
+
+    What the archive has is asked of the catalog; its files are not opened for that.
+    """
     archive = spark.table(archive_of(table))
-    # One row for each archived range.
-    ranges = archive.selectExpr(f"{RUN} AS _run", f"{FIRST} AS _first", f"{LAST} AS _last")
-    rows = spark.table(table)
+    parts = _partitions(spark, archive_of(table))
+    ranges = [(part[RUN], int(part[FIRST]), int(part[LAST])) for part in parts]
+    held = spark.createDataFrame(ranges, "_run STRING, _first BIGINT, _last BIGINT")
     met = (F.col(RUN) == F.col("_run")) & F.col(BATCH).between(F.col("_first"), F.col("_last"))
-    rest = rows.join(ranges.distinct(), met, "left_anti")
+    rest = spark.table(table).join(held, met, "left_anti")
     return rest.select(TARGET_COLUMNS).unionByName(archive.select(TARGET_COLUMNS))

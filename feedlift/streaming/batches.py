@@ -5,15 +5,18 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, functions as F
 
+from feedlift.files import exists, remove_folder
 from feedlift.operators.placement import Spread
+from feedlift.session import shared_root
 from feedlift.sinks.table import WriteBatch
 
 log = logging.getLogger(__name__)
 
 OnCount = Callable[[int, int], None]
+# Column by which a staged batch is split.
+_REJECTED = "rejected"
 
 
 def _log_count(number: int, rows: int) -> None:
@@ -32,11 +35,16 @@ def _run_id(batch: DataFrame) -> str:
 def _write_counted(
     write: WriteBatch, rows: DataFrame, run: str, number: int, spread: Spread | None
 ) -> int:
-    """Write, and count with the same action what was written."""
+    """Write, and count with the same action what was written, and what the spread measures."""
     counted = Observation()
-    rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
+    measures = spread.measures() if hasattr(spread, "measures") else []
+    rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"), *measures)
     told = write(spread(rows) if spread else rows, run, number)
-    return counted.get["rows"] if told is None else told
+    if told is not None:
+        return told
+    if measures:
+        spread.learn(counted.get)
+    return counted.get["rows"]
 
 
 def batch_writer(
@@ -69,29 +77,39 @@ def splitting_writer(
     spread: Spread | None = None,
     on_count: OnCount = _log_count,
     on_rejects: OnCount = _log_rejects,
-    storage: StorageLevel = StorageLevel.MEMORY_AND_DISK,
+    staging: str | None = None,
     skip_empty: bool = False,
 ) -> Callable[[DataFrame, int], None]:
     """Rows without ``reject_reason`` go through ``accept`` to ``write``, others aside.
 
-    Two writes need the batch twice, so it is kept between them, spilling to
-    disk, and released in any case.  Blocks lost with an executor are computed
-    again from the source.  Rejects go first: give a ``write_rejects`` that replaces
-    its batch, and only the failure of ``write`` itself can repeat rows of an append.
+    The source is read once: one write stages the batch, split by outcome, below ``staging``
+    on shared storage, and each side is published from there.  Nothing is kept by executors, so
+    nothing is computed again when one is lost, and both sides are of the same reading.
+    What is staged goes when the batch is done, or is replaced when it runs again.
+
+    Rejects go first: give a ``write_rejects`` that replaces its batch, and only the
+    failure of ``write`` itself can repeat rows of an append.
     """
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        run = _run_id(batch)
-        batch.persist(storage)
+        run, spark = _run_id(batch), batch.sparkSession
+        if skip_empty and batch.isEmpty():
+            log.info("batch %d: empty, not written", number)
+            return
+        folder = f"{staging or shared_root(spark) + '/staged'}/{run}-{number}"
+
+        def side(rejected: bool) -> DataFrame:
+            path = f"{folder}/{_REJECTED}={str(rejected).lower()}"
+            if not exists(spark, path):
+                return spark.createDataFrame([], batch.schema)
+            return spark.read.schema(batch.schema).parquet(path)
+
         try:
-            if skip_empty and batch.isEmpty():
-                log.info("batch %d: empty, not written", number)
-                return
-            rejects = batch.where(F.col("reject_reason").isNotNull())
-            on_rejects(number, _write_counted(write_rejects, rejects, run, number, None))
-            good = accept(batch.where(F.col("reject_reason").isNull()))
-            on_count(number, _write_counted(write, good, run, number, spread))
+            split = batch.withColumn(_REJECTED, F.col("reject_reason").isNotNull())
+            split.write.mode("overwrite").partitionBy(_REJECTED).parquet(folder)
+            on_rejects(number, _write_counted(write_rejects, side(True), run, number, None))
+            on_count(number, _write_counted(write, accept(side(False)), run, number, spread))
         finally:
-            batch.unpersist()
+            remove_folder(spark, folder)
 
     return write_batch

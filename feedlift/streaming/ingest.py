@@ -43,7 +43,7 @@ def start_publish(
     Where those need not be set aside, ``stream_topic`` on
     :func:`posts_to_messages` is simpler: it sends nulls for what a post lacks.
     """
-    splitter = splitting_writer(write, write_rejects, to_messages)
+    splitter = splitting_writer(write, write_rejects, to_messages, staging=f"{checkpoint}/staged")
     return start_batches(raw.transform(flag_unusable), splitter, checkpoint, trigger, name)
 
 
@@ -75,6 +75,7 @@ def start_ingest(
         write_rejects,
         lambda df: df.drop("reject_reason", "raw_value"),
         spread,
+        staging=f"{checkpoint}/staged",
         skip_empty=skip_empty,
     )
     flagged = envelope.transform(read_posts_flagged)
@@ -92,8 +93,7 @@ def start_folder_ingest(
 ) -> StreamingQuery:
     """All messages to one folder, rows below ``outcome=row``, others ``outcome=reject``.
 
-    One pass and nothing kept in between, where two targets need the batch
-    twice.  A reader that filters on ``outcome`` opens only the files it needs.
+    One pass and nothing staged in between, as two targets need it.  A reader that filters on ``outcome`` opens only the files it needs.
     """
     flagged = envelope.transform(read_posts_flagged)
     outcome = F.when(F.col("reject_reason").isNull(), "row").otherwise("reject")

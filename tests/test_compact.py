@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from feedlift.jobs import compact as job
 from feedlift.operators.messages import read_posts
 from feedlift.sinks import compact as module
 from feedlift.sinks.compact import archive_of, compact, copy_batches, read_whole
@@ -74,3 +75,20 @@ def test_interrupted_anywhere(spark, table, tmp_path, monkeypatch, step):
 def test_nothing_to_copy(spark, table, tmp_path):
     assert not copy_batches(spark, table, "three", 9, str(tmp_path))
     assert ids(read_whole(spark, table)) == ALL
+
+
+def test_the_job_leaves_each_streams_newest_batch(spark, table, tmp_path):
+    arguments = job.parse(["--table", table, "--folder", str(tmp_path)])
+    for _ in range(2):
+        job.start(spark, arguments)
+        assert ids(read_whole(spark, table)) == ALL
+    left = spark.table(table).select(RUN, BATCH).distinct().collect()
+    assert sorted(map(tuple, left)) == [("one", 4), ("two", 0)]
+
+
+def test_the_job_can_be_told_one_stream(spark, table, tmp_path):
+    arguments = job.parse(["--table", table, "--folder", str(tmp_path), "--run", "two"])
+    job.start(spark, arguments)
+    assert spark.table(table).count() == 6
+    with pytest.raises(SystemExit):
+        job.parse(["--table", table, "--folder", "x", "--leave", "0"])

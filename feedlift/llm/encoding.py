@@ -74,7 +74,7 @@ class Remembered(dict):
 class Encoder:
     """Ids of texts and of single pre-tokens by one vocabulary."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

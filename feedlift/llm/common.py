@@ -54,8 +54,9 @@ def packed(docs: DataFrame, *needed: str, more: Sequence[Column] = ()) -> DataFr
 
 def unpacked(df: DataFrame, names: Sequence[str], *needed: str) -> DataFrame:
     """The columns ``names`` of what :func:`packed` has packed, ``needed`` as they now are."""
-    columns = (name if name in needed else f"others.`{name}`" for name in names)
-    return df.select(*(F.col(c).alias(name) for c, name in zip(columns, names, strict=True)))
+    # Generated, not extracted: the optimizer must not take the column apart further down.
+    rows = df.select(*needed, F.inline(F.array("others")))
+    return rows.select(*(f"`{name}`" for name in names))
 
 
 def map_slices(

@@ -74,7 +74,7 @@ class Remembered(dict):
 class Encoder:
     """Ids of texts and of single pre-tokens by one vocabulary."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -121,7 +121,10 @@ class Encoder:
     def _after_blank(self, part: str) -> bytes:
         """Ids of a blank and a part without blanks."""
         if part.isalpha():
-            return self._piece(" " + part)
+            if not part.isascii():
+                return self._piece(" " + part)
+            tokens = self._model.tokenize(self._blank + part)
+            return array("I", [token.id for token in tokens]).tobytes()
         # Most others are a word and a mark, which is a pre-token of its own.
         word, mark = part[:-1], part[-1]
         if mark in self._marks and word.isalpha():

@@ -51,15 +51,17 @@ def divide(sizes: list[int], windows: int) -> list[list[int]]:
     while len(heap) > 1:
         _, _, one = heapq.heappop(heap)
         _, _, two = heapq.heappop(heap)
-        # The fullest windows of each meet empty ones of the other; of the others, so
-        # many of each, the fullest meets the emptiest.
-        both = max(0, len(one) + len(two) - windows)
-        met = []
-        for (a, node), (b, other) in zip(reversed(one[:both]), two[:both], strict=True):
-            met.append((a + b, len(left)))
-            left.append(node)
-            right.append(other)
-        joined = sorted(one[both:] + two[both:] + met)
+        joined = one + two
+        both = len(joined) - windows
+        if both > 0:
+            # The fullest windows of each meet empty ones of the other; of the others, so
+            # many of each, the fullest meets the emptiest.
+            joined = one[both:] + two[both:]
+            for (a, node), (b, other) in zip(reversed(one[:both]), two[:both], strict=True):
+                joined.append((a + b, len(left)))
+                left.append(node)
+                right.append(other)
+        joined.sort()
         least = joined[0][0] if len(joined) == windows else 0
         heapq.heappush(heap, (least - joined[-1][0], turn, joined))
         turn += 1

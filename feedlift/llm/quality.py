@@ -83,7 +83,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Classi
     chosen = sampled(marks, most, marks.count(), "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # A label that has its texts in several rows counts for each; ids make the order fixed.
-    got = with_features(rows).where("_has_words").select("doc_id", "_x", "_y").limit(2 * most)
+    # Where an id is in so many rows that not all can be taken, a hash says which.
+    order = F.xxhash64("doc_id", "_x")
+    got = with_features(rows).where("_has_words").select("doc_id", "_x", "_y")
+    got = got.orderBy(order, "doc_id", "_x").limit(2 * most)
     got = sorted(got.collect(), key=lambda row: (row["doc_id"], row["_x"]))
     size = len(features("_text"))
     x = np.array([row["_x"] for row in got], float).reshape(len(got), size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedlift.operators.offsets import RANGE_TYPES, gaps, merged, ranges
 from feedlift.schema import ddl
@@ -37,6 +37,16 @@ def read_folder_batch(path: str, fmt: str = "parquet") -> ReadBack:
     )
 
 
+def read_table_batch(name: str) -> ReadBack:
+    """What :func:`replace_in_table` wrote of a batch."""
+
+    def read(spark: SparkSession, run: str, number: int) -> DataFrame:
+        spark.catalog.refreshTable(name)
+        return spark.table(name).where((F.col(RUN) == run) & (F.col(BATCH) == number))
+
+    return read
+
+
 def audited_ranges(spark: SparkSession, audit: str) -> DataFrame:
     """What has come so far, over all batches: a row for each range."""
     return merged(spark.read.schema(ddl(RANGE_TYPES)).parquet(audit))

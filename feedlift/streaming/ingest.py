@@ -90,6 +90,7 @@ def start_folder_ingest(
     trigger: Trigger | None = None,
     skip_empty: bool = False,
     name: str | None = None,
+    around: Callable[[WriteBatch], WriteBatch] = lambda write: write,
 ) -> StreamingQuery:
     """All messages to one folder, rows below ``outcome=row``, others ``outcome=reject``.
 
@@ -97,7 +98,8 @@ def start_folder_ingest(
     """
     flagged = envelope.transform(read_posts_flagged)
     outcome = F.when(F.col("reject_reason").isNull(), "row").otherwise("reject")
-    writer = batch_writer(replace_in_folder(path, by=["outcome"]), spread, skip_empty=skip_empty)
+    write = around(replace_in_folder(path, by=["outcome"]))
+    writer = batch_writer(write, spread, skip_empty=skip_empty)
     rows = flagged.transform(lambda df: df.withColumn("outcome", outcome))
     return start_batches(rows, writer, checkpoint, trigger, name)
 
@@ -112,6 +114,7 @@ def start_table_ingest(
     location: str | None = None,
     bounded: bool = False,
     add_columns: bool = True,
+    around: Callable[[WriteBatch], WriteBatch] = lambda write: write,
     **how: object,
 ) -> StreamingQuery:
     """:func:`start_ingest` into a catalog table, created first if need be.
@@ -124,6 +127,8 @@ def start_table_ingest(
     A table that is found is held against the target first: columns it lacks are added, unless
     ``add_columns`` is off, and one that cannot hold the target's values is refused.
 
+    ``around`` may put a writer around that of the table, for what is kept beside it.
+
     ``exact`` makes a batch that runs twice replace itself, at the price of a
     partition per batch.  Without it rows are appended, at least once each.
     A session that read the table before must ``REFRESH TABLE`` to see more:
@@ -139,4 +144,4 @@ def start_table_ingest(
             )
 
     write = replace_in_table(table) if exact else append_to_table(table)
-    return start_ingest(envelope, checkpoint, write, prepare=prepare, **how)
+    return start_ingest(envelope, checkpoint, around(write), prepare=prepare, **how)

@@ -477,3 +477,64 @@ def test_columns_go_by_name(spark, work, table, write_to):
     got = spark.table(table)
     assert got.where("more IS NOT NULL").isEmpty()
     assert got.select(TARGET_COLUMNS).exceptAll(rows).isEmpty() and got.count() == N
+
+
+# --- the job's options -----------------------------------------------------
+
+
+def run_ingest(spark, work, *options):
+    arguments = ["--topic-format", "parquet", "--topic-option", f"path={work}/topic", "--all-now"]
+    ingest.start(spark, ingest.parse([*arguments, *options])).awaitTermination()
+
+
+def test_the_job_goes_on_without_its_checkpoint(spark, work):
+    write_topic(envelope(spark).where("offset % 3 != 0"), "parquet", {"path": f"{work}/topic"})
+    run_ingest(spark, work, "--folder", f"{work}/out", "--checkpoint", f"{work}/lost")
+    write_topic(envelope(spark).where("offset % 3 = 0"), "parquet", {"path": f"{work}/topic"})
+    for _ in range(2):
+        run_ingest(
+            spark, work, "--folder", f"{work}/out", "--checkpoint", f"{work}/new", "--recover"
+        )
+        got = target(spark, f"{work}/out")
+        assert got.count() == N and got.exceptAll(envelope(spark).transform(read_posts)).isEmpty()
+
+
+def test_the_job_recovers_into_a_target_that_is_not_there(spark, work, table):
+    write_topic(envelope(spark), "parquet", {"path": f"{work}/topic"})
+    run_ingest(
+        spark, work, "--table", table, "--location", f"{work}/t", "--checkpoint", f"{work}/c",
+        "--recover", "--audit", f"{work}/audit", "--lags", f"{work}/lags",
+    )
+    spark.catalog.refreshTable(table)
+    assert spark.table(table).count() == N
+    assert audited_ranges(spark, f"{work}/audit").count() == 3
+    assert spark.read.parquet(f"{work}/lags").agg(F.sum("n_rows")).first()[0] == N
+
+
+def test_the_job_merges_into_a_sink_that_appends(spark, work):
+    write_topic(envelope(spark), "parquet", {"path": f"{work}/topic"})
+    sink = ["--sink-format", "parquet", "--sink-option", f"path={work}/out"]
+    sink += ["--merge", f"{work}/staging", "--checkpoint", f"{work}/c"]
+    run_ingest(spark, work, *sink)
+    assert target(spark, f"{work}/out").count() == N
+    assert not os.listdir(f"{work}/staging/staged")
+
+
+@pytest.mark.parametrize("options", [["--folder", "f", "--merge", "s"],
+                                     ["--folder", "f", "--recover", "--skip-existing"]])
+def test_options_that_do_not_go_together(options):
+    with pytest.raises(SystemExit):
+        ingest.parse(["--topic-format", "parquet", "--topic-option", "path=t", *options])
+
+
+def test_repeats_are_dropped_by_the_job_where_there_is_no_log(spark, work):
+    for _ in range(2):
+        write_topic(envelope(spark).coalesce(1), "parquet", {"path": f"{work}/topic"})
+    run_ingest(spark, work, "--folder", f"{work}/out", "--checkpoint", f"{work}/c",
+               "--drop-repeats", "1 hour", "--topic-option", "maxFilesPerTrigger=1")
+    assert target(spark, f"{work}/out").count() == N
+    logged = f"{work}/logged"
+    to_file_topic(envelope(spark), "parquet", {"path": logged})
+    with pytest.raises(SystemExit, match="no repeats"):
+        run_ingest(spark, work, "--folder", f"{work}/x", "--checkpoint", f"{work}/x",
+                   "--topic-option", f"path={logged}", "--drop-repeats")

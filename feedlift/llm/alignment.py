@@ -119,6 +119,10 @@ class Aligner:
             np.array([[b"%d%b" % (n, mark) for n in range(len(ids))] for mark in marks], object)
             for ids, marks in ((self._a_bytes, (b",", b"|")), (self._b_bytes, (b",", b";")))
         )
+        # Their sizes, with the mark.
+        self._a_digits, self._b_digits = (
+            np.array([len(name) for name in names[0]]) for names in (self._a_names, self._b_names)
+        )
         self.b_count = len(self._b_bytes)
         self._forget()
 
@@ -136,45 +140,45 @@ class Aligner:
 
     @staticmethod
     def _given_back(
-        told: list[bytes], ids: list[np.ndarray], stands: list[bytes], sizes: np.ndarray
+        told: list[bytes], packed: list[bytes], stands: list[bytes], sizes: np.ndarray
     ) -> np.ndarray:
-        """Whether the ids of each part stand for its very bytes."""
-        listed = np.concatenate(ids)
-        back = b"".join(map(stands.__getitem__, listed.tolist()))
-        ends = np.cumsum(sizes[listed])[np.cumsum([len(one) for one in ids]) - 1]
+        """Whether the ids of each part, as 32-bit numbers, stand for its very bytes."""
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        ends = np.cumsum(sizes[ids])[np.cumsum([len(one) // 4 for one in packed]) - 1]
+        back = b"".join(map(stands.__getitem__, ids.tolist()))
         if back == b"".join(told) and (ends == np.cumsum([len(one) for one in told])).all():
             return np.ones(len(told), bool)
-        each = (b"".join(map(stands.__getitem__, one.tolist())) for one in ids)
-        return np.array([one == other for one, other in zip(each, told, strict=True)])
+        each = (np.frombuffer(one, "<u4").tolist() for one in packed)
+        back = [b"".join(map(stands.__getitem__, one)) for one in each]
+        return np.array([one == other for one, other in zip(back, told, strict=True)])
 
     def _learn(self, parts: list[str]) -> None:
         """Multiplies parts that are new, all in one product."""
-        a_ids = [np.frombuffer(self._a.after_blank(part), "<u4") for part in parts]
-        b_ids = [np.frombuffer(ids, "<i4") for ids in self._b.encode_parts(parts)]
+        a_packed = list(map(self._a.after_blank, parts))
+        b_packed = self._b.encode_parts(parts)
         told = [(" " + part).encode() for part in parts]
-        whole = self._given_back(told, a_ids, self._a_bytes, self._a_sizes)
-        whole &= self._given_back(told, b_ids, self._b_bytes, self._b_sizes)
+        whole = self._given_back(told, a_packed, self._a_bytes, self._a_sizes)
+        whole &= self._given_back(told, b_packed, self._b_bytes, self._b_sizes)
         for number in np.flatnonzero(~whole):
-            a_ids[number], b_ids[number] = a_ids[number][:0], b_ids[number][:0]
-        a_counts, b_counts = (np.array([len(ids) for ids in some]) for some in (a_ids, b_ids))
-        a, b = (np.concatenate(ids).astype(np.int64) for ids in (a_ids, b_ids))
+            a_packed[number] = b_packed[number] = b""
+        a, b = (np.frombuffer(b"".join(some), "<u4").astype(np.int64)
+                for some in (a_packed, b_packed))
+        a_counts, b_counts = (np.array([len(one) // 4 for one in some])
+                              for some in (a_packed, b_packed))
         a_group, b_group = groups_of(overlaps(self._a_sizes[a], self._b_sizes[b]))
         links = links_of(a_group, b_group)
         pairs = (a[links.rows()] * self.b_count + b[links.columns]).tobytes()
+        names, name_ends = self._named(a, b, a_group, b_group)
 
+        # Of each part, the ends of its groups, links and names, from those of its last token.
         a_ends = np.cumsum(a_counts)
-        # Groups and links before the end of each part, from those of its last token.
         n_groups = np.concatenate([[0], a_group + 1])[a_ends]
         n_links = links.starts[a_ends]
-        count = int(n_groups[-1])
-        names = self._named(a, b, a_group, b_group)
-        # Of each part, the end of its names and of its pairs.
-        b_ends = np.cumsum(b_counts)
-        name = link = 0
-        for next_name, next_link in zip((a_ends + b_ends).tolist(), n_links.tolist()):
-            self._groups.append(b"".join(names[name:next_name])[:-1])
-            self._pairs.append(pairs[8 * link : 8 * next_link])
-            name, link = next_name, next_link
+        n_names = name_ends[a_ends + np.cumsum(b_counts)].tolist()
+        # A mark that no id follows is left out.
+        self._groups += [names[i : max(i, j - 1)] for i, j in zip([0, *n_names], n_names)]
+        link_ends = (8 * n_links).tolist()
+        self._pairs += [pairs[i:j] for i, j in zip([0, *link_ends], link_ends)]
         first = len(self._sizes)
         sizes = (a_counts, b_counts, np.diff(n_groups, prepend=0), np.diff(n_links, prepend=0))
         self._sizes = np.concatenate([self._sizes, np.column_stack([*sizes, ~whole])])
@@ -182,20 +186,26 @@ class Aligner:
 
     def _named(
         self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray
-    ) -> list[bytes]:
-        """All ids as text, those of a group of either side one after another, with their marks."""
+    ) -> tuple[bytes, np.ndarray]:
+        """All ids as text, those of a group of either side one after another, with their marks.
+
+        Also where the first, the second and so on of them begin and the last one ends.
+        """
         count = int(a_group[-1]) + 1 if len(a_group) else 0
         # How many tokens of the one side stand before those of a group of the other.
         a_before = np.searchsorted(a_group, np.arange(1, count + 1))
         b_before = np.searchsorted(b_group, np.arange(count))
         out = np.empty(len(a) + len(b), object)
-        for ids, group, before, names in (
-            (a, a_group, b_before, self._a_names),
-            (b, b_group, a_before, self._b_names),
+        sizes = np.zeros(len(out) + 1, np.int64)
+        for ids, group, before, names, digits in (
+            (a, a_group, b_before, self._a_names, self._a_digits),
+            (b, b_group, a_before, self._b_names, self._b_digits),
         ):
             last = np.append(group[1:] != group[:-1], True)[: len(group)].astype(np.int64)
-            out[np.arange(len(ids)) + before[group]] = names[last, ids]
-        return out.tolist()
+            places = np.arange(len(ids)) + before[group]
+            out[places] = names[last, ids]
+            sizes[places + 1] = digits[ids]
+        return b"".join(out.tolist()), np.cumsum(sizes)
 
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], list[tuple]]:
         """Sizes, groups, and distinct linked pairs with how often, of each text."""

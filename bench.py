@@ -44,6 +44,14 @@ HEADLINE = [
     "epoch_shipdates",
     "topic_publish_stream",
     "topic_publish_mixed",
+    "topic_replay",
+    "feed_mixed_types",
+    "stream_dedup",
+    "sink_merge",
+    "resume_without_checkpoint",
+    "offset_gaps",
+    "placement_skewed",
+    "ingest_lag",
     "src_stream_scan",
     "src_topic_scan",
     "src_skip_restart",

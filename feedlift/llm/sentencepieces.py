@@ -275,10 +275,10 @@ def encode_pieces(docs: DataFrame, path: str | None = None, check: bool = True)
     """``doc_id``, the ``ids`` of each whole text, and what they ``decoded`` to.
 
     ``agrees`` tells whether the library encodes the text's parts to the same ids and
-    decodes these to the text; NULL where ``check`` is off.  A null text is an empty one, which has no ids.  Every row is
-    a document, repeated or without an id or not; other columns than ``doc_id`` and
-    ``text`` are left behind, whatever their names.  A narrow step: nothing is shuffled, and
-    a task that runs again gives the same.
+    decodes these to the text; NULL where ``check`` is off.  A null text is an empty one,
+    which has no ids.  Every row is a document, repeated or without an id or not; other
+    columns than ``doc_id`` and ``text`` are left behind, whatever their names.  A narrow
+    step: nothing is shuffled, and a task that runs again gives the same.
     """
     path = path or tokenizer_path(PIECE_BPE)
 

@@ -94,7 +94,8 @@ def start_folder_ingest(
 ) -> StreamingQuery:
     """All messages to one folder, rows below ``outcome=row``, others ``outcome=reject``.
 
-    One pass and nothing staged in between, as two targets need it.  A reader that filters on ``outcome`` opens only the files it needs.
+    One pass and nothing staged in between, as two targets need it.  A reader that
+    filters on ``outcome`` opens only the files it needs.
     """
     flagged = envelope.transform(read_posts_flagged)
     outcome = F.when(F.col("reject_reason").isNull(), "row").otherwise("reject")

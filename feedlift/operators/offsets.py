@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 PARTITION, OFFSET = "kafka_partition", "kafka_offset"
 # Offsets that one task puts in order: a partition with a third of all messages is many of these.
 STRETCH = 1_000_000
+# Offsets whose ranges a row is held against: half as many ranges at most.
+NEAR = 1_024
 
 RANGE_TYPES = {PARTITION: "INT", "first": "BIGINT", "last": "BIGINT"}
 
@@ -57,31 +59,36 @@ def gaps(found: DataFrame) -> DataFrame:
     return rows.withColumn("n_missing", F.col("last") - F.col("first") + 1)
 
 
+def by_stretch(found: DataFrame, stretch: int = NEAR) -> DataFrame:
+    """Ranges as ``_partition``, ``_stretch``, ``_first``, ``_last``: a row wherever they reach."""
+    reach = F.sequence(
+        F.floor(F.col("first") / stretch).cast("bigint"),
+        F.floor(F.col("last") / stretch).cast("bigint"),
+    )
+    return found.select(
+        F.col(PARTITION).alias("_partition"),
+        F.explode(reach).alias("_stretch"),
+        F.col("first").alias("_first"),
+        F.col("last").alias("_last"),
+    )
+
+
 def outside(
     rows: DataFrame,
     found: DataFrame,
     partition: str = PARTITION,
     offset: str = OFFSET,
-    stretch: int = STRETCH,
+    stretch: int = NEAR,
 ) -> DataFrame:
     """Rows whose offset is in none of the ranges; all those without a place.
 
     Ranges are listed for each stretch they reach into, so that the join is one on equal
-    partitions and stretches, however many ranges there are.
+    partitions and stretches.  A row meets all ranges of its stretch, which is short for that:
+    half as many as it has offsets, at most, however many ranges there are.
     """
-    reach = F.sequence(
-        F.floor(F.col("first") / stretch).cast("bigint"),
-        F.floor(F.col("last") / stretch).cast("bigint"),
-    )
-    held = found.select(
-        F.col(PARTITION).alias("_partition"),
-        F.explode(reach).alias("_stretch"),
-        F.col("first").alias("_first"),
-        F.col("last").alias("_last"),
-    )
     met = (
         (rows[partition] == F.col("_partition"))
         & (F.floor(rows[offset] / stretch).cast("bigint") == F.col("_stretch"))
         & rows[offset].between(F.col("_first"), F.col("_last"))
     )
-    return rows.join(held, met, "left_anti")
+    return rows.join(by_stretch(found, stretch), met, "left_anti")

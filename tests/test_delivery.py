@@ -11,7 +11,7 @@ from conftest import SMALL
 from feedlift.files import exists, files_in, put_once, read_text
 from feedlift.jobs import ingest, publish
 from feedlift.operators.messages import read_posts
-from feedlift.operators.offsets import gaps, merged, outside, ranges
+from feedlift.operators.offsets import NEAR, by_stretch, gaps, merged, outside, ranges
 from feedlift.plans.feeds import events_feed
 from feedlift.schema import TARGET_COLUMNS, ddl, target_read_types
 from feedlift.sinks.merge import merge_into
@@ -329,6 +329,16 @@ def test_rows_outside_of_ranges(spark, stretch):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_a_row_is_held_against_few_ranges(spark):
+    rows = spark.range(20 * NEAR).selectExpr("0 AS kafka_partition", "id AS kafka_offset")
+    found = ranges(rows.where("kafka_offset % 2 = 0"))
+    assert found.count() == 10 * NEAR
+    met = by_stretch(found).groupBy("_partition", "_stretch").count()
+    assert met.agg({"count": "max"}).first()[0] <= NEAR // 2 <= 1_000
+    got = outside(rows, found).where("kafka_offset % 2 = 1")
+    assert got.count() == outside(rows, found).count() == 10 * NEAR
+
+
 def test_no_rows_have_no_ranges(spark):
     assert ranges(held(spark, [])).count() == 0
     assert gaps(ranges(held(spark, []))).count() == 0

@@ -37,6 +37,11 @@ def _target(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ddl(target_read_types())).parquet(path).select(TARGET_COLUMNS)
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Tasks that rows read straight from a table are dealt to: by its size, none gets it whole."""
+    return rows.rdd.getNumPartitions()
+
+
 def _number() -> Column:
     return F.col("offset") * PARTITIONS + F.col("partition")
 
@@ -137,8 +142,11 @@ def sink_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sink that only appends, and a job lost after staging, while appending, and behind it."""
     work = fresh_folder(spark, "merge")
     options, out = {"path": f"{work}/topic"}, f"{work}/out"
-    for feed in ("events", "pages"):
-        write_topic(_envelope(FEEDS[feed](spark, sf_dir)).coalesce(1), "parquet", options)
+    feeds = [_envelope(FEEDS[feed](spark, sf_dir)) for feed in ("events", "pages")]
+    for messages in feeds:
+        write_topic(messages, "parquet", options)
+    # About a feed in a batch, however many files it has.
+    options["maxFilesPerTrigger"] = max(map(_tasks, feeds))
     append = append_to("parquet", path=out)
     losses = iter(("staged", "half", "appended", "staged"))
 
@@ -155,7 +163,7 @@ def sink_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def ingest() -> None:
         # One topic for each feed's places, or those of the other would be taken for them.
-        topic = read_topic(spark, "parquet", options | {"maxFilesPerTrigger": 1})
+        topic = read_topic(spark, "parquet", options)
         rows = topic.transform(read_posts)
         writer = batch_writer(merge_into(losing, read_sink, f"{work}/staging", _MERGE_KEY))
         drain(rows, writer, f"{work}/checkpoint")
@@ -243,10 +251,11 @@ def placement_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitions that have more than twice the mean.
     """
     work = fresh_folder(spark, "skew")
-    options, feeds = {"path": f"{work}/topic"}, ("events", "documents", "pages")
-    for feed in feeds:
-        write_topic(_envelope(FEEDS[feed](spark, sf_dir)).coalesce(1), "parquet", options)
-    topic = read_topic(spark, "parquet", options | {"maxFilesPerTrigger": len(feeds)})
+    options = {"path": f"{work}/topic"}
+    for feed in ("events", "documents", "pages"):
+        write_topic(_envelope(FEEDS[feed](spark, sf_dir)), "parquet", options)
+    # In one batch: the second reading is placed by the measures of all the first.
+    topic = read_topic(spark, "parquet", options | {"maxBytesPerTrigger": None})
     spread = Measured("key", _PLACES)
     for name in ("before", "measured"):
         placed = replace_in_folder(f"{work}/{name}")

@@ -4,6 +4,7 @@ import pytest
 
 from conftest import SMALL
 from feedlift.operators.placement import by_key
+from feedlift.plans import delivery
 from feedlift.plans.feeds import FEEDS, table
 from feedlift.plans.queries import QUERIES
 
@@ -93,3 +94,31 @@ def test_placed_rows_are_counted_where_they_are(spark, spread, shuffle):
 def test_tables_are_read_whole(spark):
     for name in FEEDS:
         assert FEEDS[name](spark, SMALL).count() == table(spark, SMALL, name).count()
+
+
+class _Written(Exception):
+    """The topic is there: what reads it is not of interest."""
+
+
+# How many tables each query sends to its topic in a batch job.
+@pytest.mark.parametrize("name, tables", [("placement_skewed", 3), ("sink_merge", 2)])
+def test_no_task_gets_a_whole_table(spark, monkeypatch, name, tables):
+    written = []
+
+    def read_topic(*args, **kwargs):
+        raise _Written
+
+    monkeypatch.setattr(
+        delivery, "write_topic", lambda rows, *how: written.append(rows.rdd.getNumPartitions())
+    )
+    monkeypatch.setattr(delivery, "read_topic", read_topic)
+    for setting in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.set(f"spark.sql.files.{setting}", "1k")
+    try:
+        with pytest.raises(_Written):
+            delivery.QUERIES[name](spark, SMALL)
+    finally:
+        for setting in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{setting}")
+    assert len(written) == tables
+    assert min(written) > 8

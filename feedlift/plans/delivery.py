@@ -42,6 +42,18 @@ def _tasks(rows: DataFrame) -> int:
     return rows.rdd.getNumPartitions()
 
 
+def _pieces(rows: DataFrame, batches: int) -> int:
+    """Files for ``batches`` batches of equally many, each about what a task reads of the table."""
+    return batches * -(-_tasks(rows) // batches)
+
+
+def _send_in_batches(messages: DataFrame, options: dict[str, object], batches: int) -> None:
+    """Writes a topic by many tasks, and bounds its ``options`` to be read in some batches."""
+    pieces = _pieces(messages, batches)
+    write_topic(messages.repartition(pieces), "parquet", options)
+    options["maxFilesPerTrigger"] = pieces // batches
+
+
 def _number() -> Column:
     return F.col("offset") * PARTITIONS + F.col("partition")
 
@@ -117,7 +129,7 @@ def feed_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     for kind, counts in kinds.items():
         rows = events_feed(spark, sf_dir).where(_number() % 3 == kind).withColumns(counts)
-        rows.repartition(2).write.mode("append").parquet(feed)
+        rows.repartition(_pieces(rows, 2)).write.mode("append").parquet(feed)
     publish.start(spark, arguments).awaitTermination()
     sent = read_topic(spark, "parquet", {"path": f"{work}/topic"}, stream=False)
     names = ("id", "score", "num_comments")
@@ -126,13 +138,14 @@ def feed_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A topic that holds many messages twice and some three times, in files read one by one."""
+    """A topic that holds many messages twice and some three times, read in several batches."""
     work = fresh_folder(spark, "dedup")
     options = {"path": f"{work}/topic"}
     messages = _envelope(events_feed(spark, sf_dir))
     for again in (F.lit(True), _number() % 2 == 0, _number() % 3 == 0):
-        write_topic(messages.where(again).coalesce(2), "parquet", options)
-    topic = read_topic(spark, "parquet", options | {"maxFilesPerTrigger": 1})
+        write_topic(messages.where(again), "parquet", options)
+    bound = {"maxFilesPerTrigger": -(-_tasks(messages) // 2)}
+    topic = read_topic(spark, "parquet", options | bound)
     rows = topic.transform(take_once).transform(read_posts)
     drain(rows, batch_writer(replace_in_folder(f"{work}/out")), f"{work}/checkpoint")
     return _target(spark, f"{work}/out")
@@ -181,12 +194,12 @@ def resume_without_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = fresh_folder(spark, "recover")
     options, out = {"path": f"{work}/topic"}, f"{work}/out"
     messages = _envelope(events_feed(spark, sf_dir))
-    write_topic(messages.repartition(4), "parquet", options)
+    _send_in_batches(messages, options, 4)
     came = (_number() % 5 != 0) & (F.col("offset") % 40 < 25)
     before = messages.where(came).transform(read_posts)
     replace_in_folder(out)(before, "lost", 0)
     for _ in range(2):
-        topic = read_topic(spark, "parquet", options | {"maxFilesPerTrigger": 1})
+        topic = read_topic(spark, "parquet", options)
         rest = resume_behind(topic, _target(spark, out), f"{work}/checkpoint")
         drain(
             rest.transform(read_posts), batch_writer(replace_in_folder(out)), f"{work}/checkpoint"
@@ -200,9 +213,9 @@ def offset_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     options, out, audit = {"path": f"{work}/topic"}, f"{work}/out", f"{work}/audit"
     there = (_number() % 50 >= 9) & (_number() % 331 != 0)
     messages = _envelope(events_feed(spark, sf_dir)).where(there)
-    write_topic(messages.repartition(4), "parquet", options)
+    _send_in_batches(messages, options, 4)
     write: WriteBatch = audited(replace_in_folder(out), audit, read_folder_batch(out))
-    topic = read_topic(spark, "parquet", options | {"maxFilesPerTrigger": 1})
+    topic = read_topic(spark, "parquet", options)
     drain(topic.transform(read_posts), batch_writer(write), f"{work}/checkpoint")
     return audited_gaps(spark, audit)
 
@@ -287,10 +300,9 @@ def ingest_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     work = fresh_folder(spark, "lag")
     options, out, lags = {"path": f"{work}/topic"}, f"{work}/out", f"{work}/lags"
-    messages = _envelope(FEEDS["documents"](spark, sf_dir))
-    write_topic(messages.repartition(4), "parquet", options)
+    _send_in_batches(_envelope(FEEDS["documents"](spark, sf_dir)), options, 4)
     write = with_lags(replace_in_folder(out), lags, read_folder_batch(out))
-    topic = read_topic(spark, "parquet", options | {"maxFilesPerTrigger": 1})
+    topic = read_topic(spark, "parquet", options)
     drain(topic.transform(read_posts), batch_writer(write), f"{work}/checkpoint")
     quantiles = (0.1, 0.5, 0.9)
     found = distributions(spark, lags, quantiles).select(

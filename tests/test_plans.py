@@ -101,7 +101,10 @@ class _Written(Exception):
 
 
 # How many tables each query sends to its topic in a batch job.
-@pytest.mark.parametrize("name, tables", [("placement_skewed", 3), ("sink_merge", 2)])
+@pytest.mark.parametrize("name, tables", [
+    ("placement_skewed", 3), ("sink_merge", 2), ("ingest_lag", 1), ("offset_gaps", 1),
+    ("resume_without_checkpoint", 1), ("stream_dedup", 3),
+])
 def test_no_task_gets_a_whole_table(spark, monkeypatch, name, tables):
     written = []
 

@@ -47,7 +47,18 @@ UNITS = frozenset(
     "kmh dollar dollars cent cents euro euros percent degree degrees".split()
 )
 
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]+")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]+")
+
+
+def _class(pattern: str) -> str:
+    """The characters of up to two bytes that match, as ranges: one table for the matcher."""
+    runs = re.findall(f"{pattern}+", "".join(map(chr, range(1 << 16))))
+    return "".join(f"{run[0]}-{run[-1]}" for run in runs)
+
+
+# The same for texts without characters beyond these, by tables of them.
+_DIGITS = _class(r"\d")
+_SHORT_TOKEN = re.compile(rf"[{_class(r'[^\W\d_]')}]+|[{_DIGITS}]+(?:[.,][{_DIGITS}]+)*|[.!?\n]+")
 _WORD, _NAME, _UNIT, _NUMBER, _END = range(5)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,6 +89,12 @@ _CODES = _Codes()
 _PLACEHOLDERS = np.array([0, *(xxhash.xxh64_intdigest(str(k)) for k in (1, 2, 3))], np.uint64)
 
 
+def tokens_of(text: str) -> list[str]:
+    """Words, numbers, and ends of sentences."""
+    short = text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+    return (_SHORT_TOKEN if short else _TOKEN).findall(text)
+
+
 def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of a text's words, of its template, and which token each word is.
 
@@ -89,7 +106,7 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def forms(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As :func:`template`, and hashes of words and values as they are, but for capitals."""
-    tokens = _TOKEN.findall(text)
+    tokens = tokens_of(text)
     codes = np.fromiter(map(_CODES.__getitem__, tokens), np.uint64, len(tokens))
     kinds = (codes & np.uint64(7)).astype(np.int8)
     before = np.concatenate([np.array([_END], np.int8), kinds])[:-1]
@@ -112,26 +129,46 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
 
 def _hashes(steps: list[np.ndarray]) -> np.ndarray:
     """Hashes of windows, given as their first words, their second words and so on."""
+    total = _mixed(steps)
+    total[~_mostly_words(steps)] = 0
+    return total
+
+
+def _mixed(steps: list[np.ndarray]) -> np.ndarray:
+    """Hashes of windows, also of those that are nearly all placeholders."""
     total = np.zeros(len(steps[0]), np.uint64)
-    typed = np.zeros(len(steps[0]), np.int8)
     for step, part in enumerate(steps):
         total ^= part + np.uint64(step)
         total *= _FACTOR
         total ^= total >> np.uint64(29)
+    return total.view(np.int64)
+
+
+def _mostly_words(steps: list[np.ndarray]) -> np.ndarray:
+    """Which windows have ``LEAST_LITERAL`` words that are no placeholders."""
+    typed = np.zeros(len(steps[0]), np.int8)
+    for part in steps:
         for placeholder in _PLACEHOLDERS[1:]:
             typed += part == placeholder
-    total[typed > WINDOW - LEAST_LITERAL] = 0
-    return total.view(np.int64)
+    return typed <= WINDOW - LEAST_LITERAL
 
 
-def typed_hashes(plain: np.ndarray, typed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows with a name begin, and their hashes; the others are those of ``plain``."""
+def typed_begins(plain: np.ndarray, typed: np.ndarray) -> np.ndarray:
+    """Where windows with a name begin; the hashes of others are those of ``plain``."""
     n = len(plain) - WINDOW + 1
     names = np.nonzero(plain != typed)[0]
     if n <= 0 or not len(names):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    begins = np.unique(names[:, None] - np.arange(WINDOW))
-    begins = begins[(begins >= 0) & (begins < n)]
+        return names[:0]
+    changed = np.zeros(n + 2 * WINDOW, bool)
+    for step in range(WINDOW):
+        changed[names + step] = True
+    # What was marked at a word is where a window that ends there begins, shifted by its words.
+    return np.nonzero(changed[WINDOW - 1 : WINDOW - 1 + n])[0]
+
+
+def typed_hashes(plain: np.ndarray, typed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows with a name begin, and their hashes; the others are those of ``plain``."""
+    begins = typed_begins(plain, typed)
     return begins, _hashes([typed[begins + step] for step in range(WINDOW)])
 
 
@@ -212,32 +249,52 @@ def passages(
         flags[known & ((1 << 20) - 1)] = True
 
     def met(hashes: np.ndarray) -> np.ndarray:
+        """Which hashes are an item's; 0 is never one."""
         if known is None:
-            return hashes != 0
+            return np.nonzero(hashes)[0]
         if not len(known):
-            return np.zeros(len(hashes), bool)
-        found = flags[hashes & ((1 << 20) - 1)] & (hashes != 0)
-        some = np.nonzero(found)[0]
+            return np.zeros(0, np.int64)
+        some = np.nonzero(flags[hashes & ((1 << 20) - 1)])[0]
         at = np.minimum(np.searchsorted(known, hashes[some]), len(known) - 1)
-        found[some] = known[at] == hashes[some]
-        return found
+        return some[known[at] == hashes[some]]
+
+    def windows(words: np.ndarray, begins: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Where an item's windows begin, of those at ``begins`` or of all, and their hashes."""
+        n, none = len(words) - WINDOW + 1, np.zeros(0, np.int64)
+        if n <= 0 or (begins is not None and not len(begins)):
+            return none, none
+        steps = [
+            words[step : step + n] if begins is None else words[begins + step]
+            for step in range(WINDOW)
+        ]
+        hashes = _mixed(steps)
+        hit = np.arange(len(hashes)) if known is None else met(hashes)
+        if not len(hit):
+            return none, none
+        # Placeholders are counted where a window meets an item, which few do.
+        hit = hit[_mostly_words([part[hit] for part in steps])]
+        hit = hit[hashes[hit] != 0]
+        return (hit if begins is None else begins[hit]), hashes[hit]
+
+    def copies(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        hashes = raw_hashes(words, length)
+        hit = met(hashes)
+        return hit, hashes[hit]
 
     def cut(rows: list[dict]) -> pa.RecordBatch:
         out: dict[str, list] = {"doc_id": [], "text_key": [], "place": [], "hashes": [], "part": []}
         for row in rows:
             plain, typed, at, raw = forms(row["text"])
-            everywhere = np.arange(len(plain))
             # Where hits begin, their hashes and their last words.
             begins, found, lasts = [], [], []
-            for places, hashes, length in (
-                (everywhere, window_hashes(plain), WINDOW),
-                (*typed_hashes(plain, typed), WINDOW),
-                *((everywhere, raw_hashes(raw, length), length) for length in lengths),
+            for (places, hashes), length in (
+                (windows(plain, None), WINDOW),
+                (windows(typed, typed_begins(plain, typed)), WINDOW),
+                *((copies(raw, length), length) for length in lengths),
             ):
-                hit = np.nonzero(met(hashes))[0]
-                begins.append(places[hit])
-                found.append(hashes[hit])
-                lasts.append(places[hit] + length - 1)
+                begins.append(places)
+                found.append(hashes)
+                lasts.append(places + length - 1)
             begins, found, lasts = map(np.concatenate, (begins, found, lasts))
             if not len(begins):
                 continue

@@ -1,5 +1,6 @@
 """op2: copies and re-parameterised questions found, others left alone."""
 
+import numpy as np
 import pytest
 from conftest import SMALL
 
@@ -135,3 +136,24 @@ def test_every_place_of_an_item_is_looked_at(spark, monkeypatch, most, apart):
     found = leaks(table(spark, texts.items()), items(spark, rows)).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 1), (4, 2)}
     assert {r.covered for r in found if r.item_id == 1} == {32 / 40}
+
+
+def test_tokens_by_tables_are_those_of_the_pattern():
+    """Every character between letters, digits, points and itself; beyond the tables too."""
+    for last in (0x80, 0x10000, 0x11000):
+        chars = [c for c in map(chr, range(last)) if not "\ud800" <= c <= "\udfff"]
+        text = "".join(f"a{c}b {c}{c}1{c}2.3,{c} " for c in chars)
+        assert decontaminate.tokens_of(text) == decontaminate._TOKEN.findall(text)
+    assert decontaminate.tokens_of("x_1,5.٣ Ünï𐐀9") == ["x", "1,5.٣", "Ünï𐐀", "9"]
+
+
+@pytest.mark.parametrize("n", [0, 3, 5, 6, 7, 40])
+def test_windows_with_a_name_begin_in_reach_of_one(n):
+    plain = np.arange(1, n + 1, dtype=np.uint64)
+    for names in ([], [0], [n - 1], [2, 17], list(range(n))):
+        typed = plain.copy()
+        typed[[at for at in names if 0 <= at < n]] = 0
+        want = [
+            at for at in range(n - 5) if list(plain[at : at + 6]) != list(typed[at : at + 6])
+        ]
+        assert decontaminate.typed_begins(plain, typed).tolist() == want
